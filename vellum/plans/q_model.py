@@ -190,3 +190,97 @@ SELECT param, class_no, term, round(log10(variance), 6) AS log10_variance FROM v
 def q_fisher_var(spark, sf_dir):
     _, _, var = fisher_tables(spark, sf_dir)
     return var.select("param", "class_no", "term", F.round(F.log10("variance"), 6).alias("log10_variance"))
+
+
+# ---------------------------------------------------------------- uncertainty per document
+_UNC_SQL = _FISHER_SQL + """,
+zz AS (SELECT dc.doc_id, dc.class_no,
+              coalesce(sum(feat.x * feat.x * vw.variance), 0) + any_value(vb.variance) AS z
+       FROM (SELECT doc_id, class_no FROM d, classes) dc
+       JOIN (SELECT class_no, variance FROM var WHERE param = 'bias') vb USING (class_no)
+       LEFT JOIN feat ON feat.doc_id = dc.doc_id
+       LEFT JOIN (SELECT class_no, term, variance FROM var WHERE param = 'weight') vw
+              ON vw.term = feat.term AND vw.class_no = dc.class_no
+       GROUP BY dc.doc_id, dc.class_no),
+pz AS (SELECT prob.doc_id, prob.class_no, prob.p, zz.z FROM prob JOIN zz USING (doc_id, class_no)),
+unc AS (SELECT doc_id, class_no, p,
+               p * p * (z * (1 - p) * (1 - p) + (sum(p * p * z) OVER (PARTITION BY doc_id) - p * p * z)) AS v
+        FROM pz)"""
+
+
+def uncertainty_table(spark, sf_dir):
+    m, _, var = fisher_tables(spark, sf_dir)
+    wv = var.filter(F.col("param") == "weight").select("class_no", "term", "variance")
+    bv = var.filter(F.col("param") == "bias").select("class_no", "variance")
+    return m, SC.softmax_uncertainty(m.features, m.weights, m.bias, wv, bv, m.docs.select("doc_id"), K)
+
+
+@register("softmax_uncertainty", _UNC_SQL + """
+SELECT doc_id, class_no, round(p, 6) AS prob, round(log10(v), 6) AS log10_variance FROM unc""")
+def q_unc(spark, sf_dir):
+    _, u = uncertainty_table(spark, sf_dir)
+    rows = u.select("doc_id", F.posexplode(F.arrays_zip("probs", "variance")).alias("class_no", "z"))
+    return rows.select("doc_id", F.col("class_no").cast("int").alias("class_no"), F.round("z.probs", 6).alias("prob"),
+                       F.round(F.log10("z.variance"), 6).alias("log10_variance"))
+
+
+@register("probability_interval", _UNC_SQL + """,
+iv AS (SELECT doc_id, class_no, p AS mean, sqrt(greatest(v, 1e-15)) AS std FROM unc),
+lh AS (SELECT *, mean - 2 * std AS lo, mean + 2 * std AS hi FROM iv),
+rg AS (SELECT *, min(lo) OVER (PARTITION BY doc_id) AS rlo, max(hi) OVER (PARTITION BY doc_id) AS rhi FROM lh)
+SELECT doc_id, class_no, round(std, 6) AS std, round(lo, 6) AS lo, round(hi, 6) AS hi,
+       round(CASE WHEN rhi - rlo = 0 THEN -0.5 ELSE rlo - (rhi - rlo) * 0.1 END, 6) AS range_lo,
+       round(CASE WHEN rhi - rlo = 0 THEN 1.5 ELSE rhi + (rhi - rlo) * 0.1 END, 6) AS range_hi
+FROM rg""")
+def q_interval(spark, sf_dir):
+    _, u = uncertainty_table(spark, sf_dir)
+    iv = SC.probability_interval(u)
+    return iv.select("doc_id", "class_no", *[F.round(c, 6).alias(c) for c in ("std", "lo", "hi", "range_lo", "range_hi")])
+
+
+def _fmt_list_sql(col, fmt):
+    return f"array_to_string(list_transform(list({col} ORDER BY class_no), lambda x: printf('{fmt}', x)), ',')"
+
+
+@register("finetune_results", _UNC_SQL + f"""
+SELECT unc.doc_id, any_value(d.label) AS gold_label, {_fmt_list_sql('p', '%.6f')} AS prob_distribution,
+       {_fmt_list_sql('v', '%.6e')} AS diamond_uncertainty
+FROM unc JOIN d USING (doc_id) WHERE NOT d.is_train GROUP BY unc.doc_id""")
+def q_finetune(spark, sf_dir):
+    m, u = uncertainty_table(spark, sf_dir)
+    test = m.docs.filter(~F.col("is_train")).select("doc_id", F.col("label").alias("gold_label"))
+    fmt = lambda c, f: F.array_join(F.transform(c, lambda x: F.format_string(f, x)), ",")
+    return (test.join(u, "doc_id")
+                .select("doc_id", "gold_label", fmt(F.col("probs"), "%.6f").alias("prob_distribution"),
+                        fmt(F.col("variance"), "%.6e").alias("diamond_uncertainty")))
+
+
+# ---------------------------------------------------------------- wide / long prediction tables
+def _prob_cols():
+    return [f"Probability Distribution {k}: {lang}" for k, lang in enumerate(LANGS)]
+
+
+_PIVOT_SQL = W + ",\npiv AS (SELECT doc_id, " + ", ".join(
+    f'round(max(CASE WHEN class_no = {k} THEN p END), 6) AS "{c}"' for k, c in enumerate(_prob_cols())) + \
+    " FROM prob GROUP BY doc_id)"
+
+
+@register("pivot_predictions", _PIVOT_SQL + "\nSELECT * FROM piv")
+def q_pivot(spark, sf_dir):
+    from vellum.operators.tables import pivot_predictions
+    _, sc = _scored(spark, sf_dir)
+    wide = pivot_predictions(SC.long_probs(sc), list(LANGS))
+    return wide.select("doc_id", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in _prob_cols()])
+
+
+@register("melt_predictions", _PIVOT_SQL + """,
+m AS (UNPIVOT piv ON COLUMNS(* EXCLUDE (doc_id)) INTO NAME column_name VALUE value)
+SELECT doc_id, column_name, 'probability distribution' AS pred_type,
+       CAST(regexp_extract(column_name, '(\\d+)\\s*:', 1) AS INTEGER) AS number,
+       trim(regexp_extract(column_name, ':\\s*(.*)$', 1)) AS word, value FROM m""")
+def q_melt(spark, sf_dir):
+    from vellum.operators.tables import melt_predictions, pivot_predictions
+    _, sc = _scored(spark, sf_dir)
+    wide = pivot_predictions(SC.long_probs(sc), list(LANGS))
+    wide = wide.select("doc_id", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in _prob_cols()])
+    return melt_predictions(wide, id_cols=["doc_id"]).select("doc_id", "column_name", "pred_type", "number", "word", "value")
