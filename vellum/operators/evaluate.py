@@ -129,11 +129,17 @@ def histogram(values: DataFrame, value_col: str = "variance", bins: int = 50, ke
 
 
 def log_histogram(values: DataFrame, value_col: str = "variance", keys=()) -> DataFrame:
-    """Bins ``[0,1), [1,10), …, [10^(m−1), 10^m]`` with ``m = ceil(log10(max(1, max)))``;
-    values below 1 fall in bin 0. ``(keys…, bin, lo, hi, n)``."""
+    """Bins ``[0,1), [1,10), …, [10^(m−1), 10^m]`` with ``m = ceil(log10(max(1, max)))``
+    per ``keys`` (the last bin is closed); ``(keys…, bin, lo, hi, n)``."""
     keys = list(keys)
     v = F.col(value_col)
-    b = F.when(v < 1, F.lit(0)).otherwise(F.floor(F.log10(v)) + 1).cast("int")
+    if keys:
+        mx = values.groupBy(*keys).agg(F.max(value_col).alias("_mx"))
+        values = values.join(F.broadcast(mx), keys)          # one row per key group
+        m = F.ceil(F.log10(F.greatest(F.lit(1.0), F.col("_mx"))))
+    else:
+        m = F.ceil(F.log10(F.greatest(F.lit(1.0), F.lit(values.agg(F.max(value_col)).first()[0]))))
+    b = F.when(v < 1, F.lit(0)).otherwise(F.least(F.floor(F.log10(v)) + 1, m)).cast("int")
     out = values.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return out.select(*keys, "bin", F.when(F.col("bin") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(10.0), F.col("bin") - 1)).alias("lo"),
                       F.pow(F.lit(10.0), F.col("bin")).alias("hi"), "n")

@@ -6,6 +6,11 @@ partition, numbered locally with ``monotonically_increasing_id`` (partition id i
 upper bits, row in partition in the lower 33 bits), and shifted by the sizes of the
 partitions before it. The offset table has one row per partition, so its broadcast
 size is bounded by the partition count, not by the data.
+
+The range boundaries come from a sample whose outcome depends on the row order of
+the input, so the numbered table is checkpointed (written to the session's reliable
+checkpoint folder) before the sizes are counted: both the counts and the rows then
+come from the same materialised partitions, also after an executor loss.
 """
 
 from __future__ import annotations
@@ -27,7 +32,8 @@ def global_index(df: DataFrame, order: list[Column], name: str = "idx",
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbered = (df.repartitionByRange(n, *order)
                   .sortWithinPartitions(*order)
-                  .withColumn("_mid", F.monotonically_increasing_id()))
+                  .withColumn("_mid", F.monotonically_increasing_id())
+                  .checkpoint(eager=True))
     numbered = (numbered.withColumn("_pid", F.shiftrightunsigned(F.col("_mid"), 33))
                         .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))))
     sizes = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

@@ -44,21 +44,21 @@ def q_pred(spark, sf_dir):
 
 
 _METRICS_SQL = """
-conf AS (SELECT {keys}label, pred, count(*) AS c FROM {src} GROUP BY ALL),
-sup AS (SELECT {keys}label AS cls, sum(c) AS support FROM conf GROUP BY ALL),
-np AS (SELECT {keys}pred AS cls, sum(c) AS npred FROM conf GROUP BY ALL),
-tp AS (SELECT {keys}label AS cls, c AS tp FROM conf WHERE label = pred),
-per AS (SELECT {skeys}sup.cls, support, coalesce(npred, 0) AS npred, coalesce(tp, 0) AS tp,
+{p}conf AS (SELECT {keys}label, pred, count(*) AS c FROM {src} GROUP BY ALL),
+{p}sup AS (SELECT {keys}label AS cls, sum(c) AS support FROM {p}conf GROUP BY ALL),
+{p}np AS (SELECT {keys}pred AS cls, sum(c) AS npred FROM {p}conf GROUP BY ALL),
+{p}tp AS (SELECT {keys}label AS cls, c AS tp FROM {p}conf WHERE label = pred),
+{p}per AS (SELECT {skeys}{p}sup.cls, support, coalesce(npred, 0) AS npred, coalesce(tp, 0) AS tp,
                coalesce(2.0 * coalesce(tp, 0) / nullif(coalesce(npred, 0) + support, 0), 0) AS f1
-        FROM sup LEFT JOIN np USING ({ukeys}cls) LEFT JOIN tp USING ({ukeys}cls)),
-met AS (SELECT {keys}sum(tp) / sum(support) AS accuracy, sum(support * f1) / sum(support) AS weighted_f1,
-               CAST(sum(support) AS BIGINT) AS n FROM per {group})"""
+        FROM {p}sup LEFT JOIN {p}np USING ({ukeys}cls) LEFT JOIN {p}tp USING ({ukeys}cls)),
+{p}met AS (SELECT {keys}sum(tp) / sum(support) AS accuracy, sum(support * f1) / sum(support) AS weighted_f1,
+               CAST(sum(support) AS BIGINT) AS n FROM {p}per {group})"""
 
 
-def metrics_sql(src: str, keys: list[str] = ()) -> str:
+def metrics_sql(src: str, keys: list[str] = (), prefix: str = "") -> str:
     k = "".join(f"{x}, " for x in keys)
-    sk = "".join(f"sup.{x}, " for x in keys)
-    return _METRICS_SQL.format(keys=k, skeys=sk, ukeys=k, src=src,
+    sk = "".join(f"{prefix}sup.{x}, " for x in keys)
+    return _METRICS_SQL.format(keys=k, skeys=sk, ukeys=k, src=src, p=prefix,
                                group=("GROUP BY " + ", ".join(keys)) if keys else "")
 
 
@@ -284,3 +284,220 @@ def q_melt(spark, sf_dir):
     wide = pivot_predictions(SC.long_probs(sc), list(LANGS))
     wide = wide.select("doc_id", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in _prob_cols()])
     return melt_predictions(wide, id_cols=["doc_id"]).select("doc_id", "column_name", "pred_type", "number", "word", "value")
+
+
+# ---------------------------------------------------------------- ablation
+CURVE_STEP = 0.1
+SCHED = None
+
+
+def _sched_sql():
+    from vellum.operators.evaluate import retention_schedule
+    return "[" + ", ".join(repr(float(f)) for f in retention_schedule(CURVE_STEP)) + "]::DOUBLE[]"
+
+
+def _ablation_inputs(spark, sf_dir):
+    m, sc, var = fisher_tables(spark, sf_dir)
+    test = m.docs.filter(~F.col("is_train")).select("doc_id", "label")
+    feats = m.features.filter(~F.col("is_train")).select("doc_id", "term", "x")
+    wv = var.filter(F.col("param") == "weight").select(
+        "class_no", "term", F.round(F.log10("variance"), 9).alias("variance"))
+    return m, sc, test, feats, wv
+
+
+_TEST_FEAT_SQL = """
+tf AS (SELECT feat.doc_id, feat.term, feat.x FROM feat WHERE NOT feat.is_train),
+tl AS (SELECT doc_id, label FROM d WHERE NOT is_train)"""
+
+
+def _curve_sql(masked_cte: str, key: str) -> str:
+    """SQL for F1 per key given a CTE mw(key, class_no, term, w) and key list kl(key)."""
+    return f""",
+{masked_cte},
+cl AS (SELECT tl.doc_id, tl.label, kl.{key}, classes.class_no, b.b
+       FROM tl, kl, classes JOIN b USING (class_no)),
+cz AS (SELECT cl.doc_id, cl.label, cl.{key}, cl.class_no, any_value(cl.b) + coalesce(sum(tf.x * mw.w), 0) AS z
+       FROM cl LEFT JOIN tf ON tf.doc_id = cl.doc_id
+       LEFT JOIN mw ON mw.{key} = cl.{key} AND mw.class_no = cl.class_no AND mw.term = tf.term
+       GROUP BY cl.doc_id, cl.label, cl.{key}, cl.class_no),
+cp AS (SELECT doc_id, label, {key}, min(class_no) AS pred FROM
+       (SELECT *, max(z) OVER (PARTITION BY doc_id, {key}) AS mz FROM cz) WHERE z = mz GROUP BY doc_id, label, {key}),
+""" + metrics_sql("cp", [key]).lstrip().lstrip(",")
+
+
+_RET_SQL = _FISHER_SQL + "," + _TEST_FEAT_SQL + """,
+vr AS (SELECT class_no, term, row_number() OVER (ORDER BY round(log10(variance), 9), class_no, term) - 1 AS r
+       FROM var WHERE param = 'weight'),
+np_ AS (SELECT count(*) AS N FROM vr),
+kl AS (SELECT unnest(%s) AS fraction)""" % _sched_sql() + _curve_sql(
+    """mw AS (SELECT kl.fraction, vr.class_no, vr.term,
+              CASE WHEN vr.r < greatest(1, floor(kl.fraction * np_.N)) THEN w.w ELSE 0 END AS w
+       FROM kl, vr JOIN w USING (class_no, term), np_)""", "fraction")
+
+
+@register("f1_retention_curve", _RET_SQL + """
+SELECT fraction, round(accuracy, 6) AS accuracy, round(weighted_f1, 6) AS weighted_f1, n FROM met""")
+def q_retention(spark, sf_dir):
+    from vellum.operators import ablation as AB
+    m, sc, test, feats, wv = _ablation_inputs(spark, sf_dir)
+    ranked = EV.ranked_parameters(wv)
+    c = AB.f1_retention_curve(feats, test, m.weights, m.bias, ranked, K, CURVE_STEP)
+    return c.select("fraction", F.round("accuracy", 6).alias("accuracy"), F.round("weighted_f1", 6).alias("weighted_f1"), "n")
+
+
+_VOCAB_RET_SQL = _FISHER_SQL + "," + _TEST_FEAT_SQL + """,
+tv AS (SELECT term, avg(round(log10(variance), 9)) AS mv FROM var WHERE param = 'weight' GROUP BY term),
+vr AS (SELECT term, row_number() OVER (ORDER BY round(mv, 9), term) - 1 AS r FROM tv),
+np_ AS (SELECT count(*) AS N FROM vr),
+kl AS (SELECT unnest(%s) AS fraction)""" % _sched_sql() + _curve_sql(
+    """mw AS (SELECT kl.fraction, w.class_no, vr.term,
+              CASE WHEN vr.r < greatest(1, floor(kl.fraction * np_.N)) THEN w.w ELSE 0 END AS w
+       FROM kl, vr JOIN w USING (term), np_)""", "fraction")
+
+
+@register("f1_vocabulary_retention", _VOCAB_RET_SQL + """
+SELECT fraction, round(accuracy, 6) AS accuracy, round(weighted_f1, 6) AS weighted_f1, n FROM met""")
+def q_vocab_retention(spark, sf_dir):
+    from vellum.operators import ablation as AB
+    from vellum.operators.ranking import global_index as gi
+    m, sc, test, feats, wv = _ablation_inputs(spark, sf_dir)
+    tv = wv.groupBy("term").agg(F.round(F.avg("variance"), 9).alias("mv"))
+    term_rank = gi(tv, [F.col("mv"), F.col("term")], "rank").select("term", "rank")
+    c = AB.f1_vocabulary_retention(feats, test, m.weights, m.bias, term_rank, K, CURVE_STEP)
+    return c.select("fraction", F.round("accuracy", 6).alias("accuracy"), F.round("weighted_f1", 6).alias("weighted_f1"), "n")
+
+
+@register("f1_bias_removal", W + "," + _TEST_FEAT_SQL + """,
+bl AS (SELECT tl.doc_id, tl.label, r.removed_class, logit.class_no,
+              logit.z - CASE WHEN logit.class_no = r.removed_class THEN b.b ELSE 0 END AS z
+       FROM tl JOIN logit USING (doc_id) JOIN b ON b.class_no = logit.class_no,
+            (SELECT class_no AS removed_class FROM classes) r),
+bp AS (SELECT doc_id, label, removed_class, min(class_no) AS pred FROM
+       (SELECT *, max(z) OVER (PARTITION BY doc_id, removed_class) AS mz FROM bl) WHERE z = mz
+       GROUP BY doc_id, label, removed_class),""" + metrics_sql("bp", ["removed_class"]).lstrip().lstrip(",") + """
+SELECT removed_class, round(accuracy, 6) AS accuracy, round(weighted_f1, 6) AS weighted_f1, n FROM met""")
+def q_bias_removal(spark, sf_dir):
+    from vellum.operators import ablation as AB
+    m, sc = _scored(spark, sf_dir)
+    test = m.docs.filter(~F.col("is_train")).select("doc_id", "label")
+    r = AB.f1_bias_removal(sc, test, m.bias, K)
+    return r.select("removed_class", F.round("accuracy", 6).alias("accuracy"),
+                    F.round("weighted_f1", 6).alias("weighted_f1"), "n")
+
+
+REMOVE_M = 10
+
+
+@register("f1_feature_removal", W + "," + _TEST_FEAT_SQL + f""",
+topf AS (SELECT term AS removed FROM st WHERE term IN (SELECT term FROM vocab) ORDER BY cf DESC, term LIMIT {REMOVE_M}),
+fl AS (SELECT tl.doc_id, tl.label, t.removed, logit.class_no,
+              logit.z - coalesce((SELECT tf.x FROM tf WHERE tf.doc_id = tl.doc_id AND tf.term = t.removed), 0)
+                      * (SELECT w.w FROM w WHERE w.term = t.removed AND w.class_no = logit.class_no) AS z
+       FROM tl JOIN logit USING (doc_id), topf t),
+fp AS (SELECT doc_id, label, removed, min(class_no) AS pred FROM
+       (SELECT *, max(z) OVER (PARTITION BY doc_id, removed) AS mz FROM fl) WHERE z = mz
+       GROUP BY doc_id, label, removed),""" + metrics_sql("fp", ["removed"]).lstrip().lstrip(",") + """
+SELECT removed, round(accuracy, 6) AS accuracy, round(weighted_f1, 6) AS weighted_f1, n FROM met""")
+def q_feature_removal(spark, sf_dir):
+    from vellum.operators import ablation as AB
+    m, sc = _scored(spark, sf_dir)
+    test = m.docs.filter(~F.col("is_train")).select("doc_id", "label")
+    stats = m.counts.join(F.broadcast(m.vocab), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("cf"))
+    terms = [r[0] for r in stats.orderBy(F.desc("cf"), "term").limit(REMOVE_M).collect()]   # M names
+    feats = m.features.filter(~F.col("is_train")).select("doc_id", "term", "x")
+    r = AB.f1_feature_removal(feats, sc, test, m.weights, terms, K)
+    return r.select("removed", F.round("accuracy", 6).alias("accuracy"),
+                    F.round("weighted_f1", 6).alias("weighted_f1"), "n")
+
+
+N_SLICES = 5
+
+
+@register("slice_f1", W + f""",
+sl AS (SELECT doc_id, label, pred,
+              CAST(least(floor((row_number() OVER (ORDER BY doc_id) - 1) / (SELECT greatest(count(*) // {N_SLICES}, 1) FROM test)),
+                         {N_SLICES - 1}) AS INTEGER) AS slice FROM test),""" + metrics_sql("sl", ["slice"]).lstrip().lstrip(",")
+          + "," + metrics_sql("test", [], "all_") + """
+SELECT slice, round(weighted_f1, 6) AS weighted_f1, n,
+       round(avg(weighted_f1) OVER (), 6) AS mean_f1, round(stddev_pop(weighted_f1) OVER (), 6) AS std_f1,
+       round((SELECT weighted_f1 FROM all_met), 6) AS chosen_f1,
+       round(((SELECT weighted_f1 FROM all_met) - avg(weighted_f1) OVER ()) / greatest(stddev_pop(weighted_f1) OVER (), 1e-12), 6) AS z
+FROM met""")
+def q_slice_f1(spark, sf_dir):
+    m, p = _preds(spark, sf_dir)
+    pairs = p.join(m.docs.filter(~F.col("is_train")).select("doc_id", "label"), "doc_id").select("doc_id", "label", "pred")
+    r = EV.slice_f1(pairs, N_SLICES)
+    return r.select("slice", *[F.round(c, 6).alias(c) if c != "n" else F.col(c)
+                               for c in ("weighted_f1", "n", "mean_f1", "std_f1", "chosen_f1", "z")])
+
+
+KEEP_N = 0.3
+
+
+@register("keep_lowest_variance", _FISHER_SQL + f""",
+vr AS (SELECT class_no, term, row_number() OVER (ORDER BY round(log10(variance), 9), class_no, term) - 1 AS r
+       FROM var WHERE param = 'weight')
+SELECT class_no, term FROM vr WHERE r < greatest(1, floor({KEEP_N} * (SELECT count(*) FROM vr)))""")
+def q_keep_lowest(spark, sf_dir):
+    _, _, var = fisher_tables(spark, sf_dir)
+    wv = var.filter(F.col("param") == "weight").select("class_no", "term", F.round(F.log10("variance"), 9).alias("variance"))
+    return EV.keep_lowest_variance(wv, KEEP_N).select("class_no", "term")
+
+
+def _class_name_sql():
+    return "CASE class_no " + " ".join(f"WHEN {k} THEN '{lang}'" for k, lang in enumerate(LANGS)) + " END"
+
+
+@register("variance_by_group", _FISHER_SQL + f"""
+SELECT param, -1 AS class_no, 'all' AS class_name, round(log10(avg(variance)), 6) AS log10_mean,
+       round(log10(greatest(1e-15, avg(variance))), 6) AS log10_floored FROM var GROUP BY param
+UNION ALL
+SELECT 'bias' AS param, class_no, {_class_name_sql()} AS class_name, round(log10(variance), 6),
+       round(log10(greatest(1e-15, variance)), 6) FROM var WHERE param = 'bias'""")
+def q_var_group(spark, sf_dir):
+    _, _, var = fisher_tables(spark, sf_dir)
+    g = var.groupBy("param").agg(F.avg("variance").alias("mv")).select(
+        "param", F.lit(-1).alias("class_no"), F.lit("all").alias("class_name"),
+        F.round(F.log10("mv"), 6).alias("log10_mean"), F.round(F.log10(F.greatest(F.lit(1e-15), "mv")), 6).alias("log10_floored"))
+    names = F.element_at(F.array(*[F.lit(x) for x in LANGS]), F.col("class_no") + 1)
+    b = var.filter(F.col("param") == "bias").select(
+        "param", "class_no", names.alias("class_name"), F.round(F.log10("variance"), 6).alias("log10_mean"),
+        F.round(F.log10(F.greatest(F.lit(1e-15), "variance")), 6).alias("log10_floored"))
+    return g.unionByName(b)
+
+
+def _hist_sql(value: str, bins: int) -> str:
+    def one(keysel, part):
+        return f"""SELECT {keysel} AS class_no, CAST(CASE WHEN mx = mn THEN 0 ELSE least(floor(({value} - mn) / ((mx - mn) / {bins})), {bins - 1}) END AS INTEGER) AS bin
+               FROM (SELECT *, min({value}) OVER ({part}) AS mn, max({value}) OVER ({part}) AS mx FROM var WHERE param = 'weight')"""
+    return f"""
+SELECT class_no, bin, count(*) AS n FROM ({one('-1', '')} UNION ALL {one('class_no', 'PARTITION BY class_no')})
+GROUP BY class_no, bin"""
+
+
+@register("variance_histogram", _FISHER_SQL + _hist_sql("variance", 50))
+def q_var_hist(spark, sf_dir):
+    _, _, var = fisher_tables(spark, sf_dir)
+    wv = var.filter(F.col("param") == "weight").select("class_no", "variance")
+    overall = EV.histogram(wv, "variance", 50).select(F.lit(-1).alias("class_no"), "bin", "n")
+    per = EV.histogram(wv, "variance", 50, ["class_no"]).select("class_no", "bin", "n")
+    return overall.unionByName(per)
+
+
+def _log_hist_sql() -> str:
+    def one(keysel, part):
+        return f"""SELECT {keysel} AS class_no,
+                   CAST(CASE WHEN variance < 1 THEN 0 ELSE least(floor(log10(variance)) + 1, ceil(log10(greatest(1, mx)))) END AS INTEGER) AS bin
+               FROM (SELECT *, max(variance) OVER ({part}) AS mx FROM var WHERE param = 'weight')"""
+    return f"""
+SELECT class_no, bin, count(*) AS n FROM ({one('-1', '')} UNION ALL {one('class_no', 'PARTITION BY class_no')})
+GROUP BY class_no, bin"""
+
+
+@register("variance_log_histogram", _FISHER_SQL + _log_hist_sql())
+def q_var_log_hist(spark, sf_dir):
+    _, _, var = fisher_tables(spark, sf_dir)
+    wv = var.filter(F.col("param") == "weight").select("class_no", "variance")
+    overall = EV.log_histogram(wv, "variance").select(F.lit(-1).alias("class_no"), "bin", "n")
+    per = EV.log_histogram(wv, "variance", ["class_no"]).select("class_no", "bin", "n")
+    return overall.unionByName(per)
