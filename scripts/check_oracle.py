@@ -1,90 +1,35 @@
 """Run registered queries in Spark and their oracle SQL in DuckDB; compare results.
 
 Usage: python scripts/check_oracle.py [sf_dir] [name ...]
-Compares row count, column names and an order-insensitive multiset of rows, with
-doubles rounded to 6 places (a relative tolerance guards the last digit).
 """
 
 from __future__ import annotations
 
-import math
 import os
 import sys
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
-def norm(v):
-    if v is None:
-        return None
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return round(v, 5)
-    if hasattr(v, "item"):
-        return norm(v.item())
-    if isinstance(v, (list, tuple)):
-        return tuple(norm(x) for x in v)
-    return v
-
 
 def main():
-    import duckdb
+    from vellum.plans.catalog import QUERIES
+    from vellum.plans.verify import compare, duck
     from vellum.session import get_session
-    from vellum.plans.catalog import ORACLE, QUERIES
     args = sys.argv[1:]
     sf_dir = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")] or sorted(QUERIES)
     spark = get_session("local[8]", 8)
-    con = duckdb.connect()
-    for t in TABLES:
-        p = f"{sf_dir}/{t}.parquet"
-        if os.path.exists(p):
-            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+    con = duck(sf_dir)
     bad = 0
     for name in names:
         t0 = time.time()
         try:
-            sdf = QUERIES[name](spark, sf_dir)
-            rows = [tuple(r) for r in sdf.collect()]
-            cols = sdf.columns
-        except Exception as e:  # noqa: BLE001
-            print(f"FAIL {name}: spark error {type(e).__name__}: {str(e)[:300]}")
-            bad += 1
-            continue
-        ts = time.time() - t0
-        if name not in ORACLE:
-            print(f"ROWS {name}: {len(rows)} rows (no oracle) {ts:.1f}s")
-            continue
-        try:
-            res = con.execute(ORACLE[name])
-            ocols = [d[0] for d in res.description]
-            orows = res.fetchall()
+            ok, msg = compare(spark, con, name, sf_dir)
         except Exception as e:  # noqa: BLE001
-            print(f"FAIL {name}: duckdb error {type(e).__name__}: {str(e)[:300]}")
-            bad += 1
-            continue
-        if sorted(cols) != sorted(ocols):
-            print(f"FAIL {name}: columns {cols} vs {ocols}")
-            bad += 1
-            continue
-        order = sorted(range(len(cols)), key=lambda i: cols[i])
-        oorder = sorted(range(len(ocols)), key=lambda i: ocols[i])
-        a = sorted((tuple(norm(r[i]) for i in order) for r in rows), key=repr)
-        b = sorted((tuple(norm(r[i]) for i in oorder) for r in orows), key=repr)
-        if len(a) != len(b):
-            print(f"FAIL {name}: rows {len(a)} vs oracle {len(b)}")
-            bad += 1
-            continue
-        diff = [(x, y) for x, y in zip(a, b) if x != y]
-        if diff:
-            print(f"FAIL {name}: {len(diff)} differing rows, e.g. {diff[:2]}")
-            bad += 1
-        else:
-            print(f"OK   {name}: {len(a)} rows {ts:.1f}s")
+            ok, msg = False, f"error {type(e).__name__}: {str(e)[:300]}"
+        bad += not ok
+        print(f"{'OK  ' if ok else 'FAIL'} {name}: {msg} {time.time() - t0:.1f}s", flush=True)
     print("bad:", bad)
     return bad
 
