@@ -97,3 +97,34 @@ def map_labels(df: DataFrame, label_col: str, mapping: dict | None, strict: bool
                                                                  F.lit(" not found in label_mapping."))).cast("int")
                         ).otherwise(mapped)
     return df.withColumn(out_col, mapped)
+
+
+# ---------------------------------------------------------------- lemmatising
+# --- fixed values: noun suffix rules (suffix, replacement), tried on every token ----
+NOUN_SUFFIX_RULES = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"),
+                     ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"))
+
+
+def lemmatise(tokens: DataFrame, vocab: DataFrame, exceptions: DataFrame | None = None,
+              token_col: str = "token", term_col: str = "term") -> DataFrame:
+    """``(token, lemma)`` for distinct lower-case alphabetic tokens.
+
+    Candidates are the token and its suffix-rule rewrites; a candidate is valid when it is
+    in the vocabulary; the shortest valid candidate wins (ties: alphabetical); no valid
+    candidate → the token itself. An ``exceptions`` table ``(token, lemma)`` overrides.
+    Work is on the distinct-token table (vocabulary-sized) with a semi-join, and the
+    result is meant to be broadcast back onto token rows.
+    """
+    t = F.col(token_col)
+    cands = [t] + [F.when(t.endswith(suf) & (F.length(t) > len(suf)),
+                          F.concat(F.expr(f"substring({token_col}, 1, length({token_col}) - {len(suf)})"), F.lit(rep)))
+                   for suf, rep in NOUN_SUFFIX_RULES]
+    distinct = tokens.select(token_col).distinct()
+    c = distinct.select(token_col, F.explode(F.array(*cands)).alias("cand")).filter(F.col("cand").isNotNull())
+    valid = c.join(vocab.select(F.col(term_col).alias("cand")).distinct(), "cand", "left_semi")
+    best = valid.groupBy(token_col).agg(F.min_by("cand", F.struct(F.length("cand"), F.col("cand"))).alias("lemma"))
+    out = distinct.join(best, token_col, "left").select(token_col, F.coalesce("lemma", F.col(token_col)).alias("lemma"))
+    if exceptions is not None:
+        out = (out.join(exceptions.select(token_col, F.col("lemma").alias("exc")), token_col, "left")
+                  .select(token_col, F.coalesce("exc", "lemma").alias("lemma")))
+    return out
