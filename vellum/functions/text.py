@@ -132,15 +132,22 @@ def clean_markup(col) -> Column:
     return collapse_whitespace(strip_html(_c(col).cast("string")))
 
 
-def token_text(col) -> Column:
-    """Lower-case and space-separate the word tokens (recipe A before the final split)."""
+def token_text(col, cleaned: bool = False) -> Column:
+    """Lower-case and space-separate the word tokens (recipe A before the final split).
+
+    ``cleaned=True`` (input already whitespace-collapsed by :func:`clean_markup`) skips
+    the whitespace pass: it only merges runs of spaces, and the empty tokens such runs
+    produce are dropped after the split anyway.
+    """
     c = F.lower(_c(col))
-    for pattern, repl, _ in TOKEN_STEPS:
+    for i, (pattern, repl, _) in enumerate(TOKEN_STEPS):
+        if cleaned and i == 1:
+            continue
         c = F.regexp_replace(c, pattern, repl)
     return c
 
 
-def word_tokens(col, mode: str = "words") -> Column:
+def word_tokens(col, mode: str = "words", cleaned: bool = False) -> Column:
     """Lower-cased tokens as ``array<string>``.
 
     ``words``: punctuation separated, contractions split, hyphenated words / numbers /
@@ -151,7 +158,7 @@ def word_tokens(col, mode: str = "words") -> Column:
         return F.filter(F.split(s, WS + "+"), lambda t: F.length(t) > 0)
     if mode != "words":
         raise ValueError(f"unknown tokeniser mode {mode!r}")
-    return F.filter(F.split(token_text(col), " "), lambda t: F.length(t) > 0)
+    return F.filter(F.split(token_text(col, cleaned), " "), lambda t: F.length(t) > 0)
 
 
 def stop_list(extra: bool = False) -> list[str]:

@@ -21,14 +21,18 @@ def weighted_f1(pairs: DataFrame, keys=(), label_col: str = "label", pred_col: s
     Undefined per-class F1 (no predictions and no support) counts as 0.
     """
     keys = list(keys)
-    conf = pairs.groupBy(*keys, label_col, pred_col).agg(F.count(F.lit(1)).alias("c"))
-    support = conf.groupBy(*keys, F.col(label_col).alias("cls")).agg(F.sum("c").alias("support"))
-    npred = conf.groupBy(*keys, F.col(pred_col).alias("cls")).agg(F.sum("c").alias("npred"))
-    tp = conf.filter(F.col(label_col) == F.col(pred_col)).select(*keys, F.col(label_col).alias("cls"), F.col("c").alias("tp"))
-    per = (support.join(npred, keys + ["cls"], "left").join(tp, keys + ["cls"], "left")
-                  .na.fill(0, ["npred", "tp"])
-                  .withColumn("f1", F.coalesce(2.0 * F.col("tp") / F.nullif(F.col("npred") + F.col("support"), F.lit(0)),
-                                               F.lit(0.0))))
+    # Each (label, pred) row counts once as support of its label and once as a
+    # prediction of its class: one generator + one aggregate, no self-joins, so the
+    # (possibly expensive) plan behind ``pairs`` runs once.
+    roles = F.explode(F.array(
+        F.struct(F.col(label_col).alias("cls"), F.lit(1).alias("s"), F.lit(0).alias("p"),
+                 (F.col(label_col) == F.col(pred_col)).cast("int").alias("t")),
+        F.struct(F.col(pred_col).alias("cls"), F.lit(0).alias("s"), F.lit(1).alias("p"), F.lit(0).alias("t"))))
+    per = (pairs.select(*keys, roles.alias("r"))
+                .groupBy(*keys, F.col("r.cls").alias("cls"))
+                .agg(F.sum("r.s").alias("support"), F.sum("r.p").alias("npred"), F.sum("r.t").alias("tp"))
+                .withColumn("f1", F.coalesce(2.0 * F.col("tp") / F.nullif(F.col("npred") + F.col("support"), F.lit(0)),
+                                             F.lit(0.0))))
     agg = per.groupBy(*keys) if keys else per.groupBy()
     return agg.agg((F.sum("tp") / F.sum("support")).alias("accuracy"),
                    (F.sum(F.col("support") * F.col("f1")) / F.sum("support")).alias("weighted_f1"),

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators.common import reuse
 from vellum.operators.ranking import global_index
 
 
@@ -73,6 +74,7 @@ def tfidf(counts: DataFrame, doc_col: str = "doc_id", term_col: str = "term", n_
     Norms are a ``groupBy`` on the document, not a window, so a long document is
     aggregated map-side instead of being sorted inside one task.
     """
+    counts = reuse(counts)      # read by the df statistics, the weights and the norms
     if n_docs is None:
         n_docs = counts.select(F.countDistinct(doc_col)).first()[0] or 0
     kept = count_vectorise(counts, doc_col, term_col, n_col, min_df, max_df, None, n_docs)

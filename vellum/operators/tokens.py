@@ -30,7 +30,7 @@ def ngrams(tokens, n_min: int = 1, n_max: int = 2) -> Column:
 
 def filtered_tokens(text_col, extra: bool = False, mode: str = "words") -> Column:
     """clean mark-up → word tokens → alphabetic, non-stop tokens (array column)."""
-    return T.filter_tokens(T.word_tokens(T.clean_markup(text_col), mode), extra=extra)
+    return T.filter_tokens(T.word_tokens(T.clean_markup(text_col), mode, cleaned=True), extra=extra)
 
 
 def with_tokens(df: DataFrame, text_col: str = "Text", extra: bool = False,
