@@ -117,3 +117,14 @@ def test_streaming_columns(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["c"] for r in spark.sql("select c from clean_stream_test").collect()] == ["Hello World see"]
+
+
+def test_streaming_module(spark, tmp_path):
+    from vellum.streaming.clean import start_clean_stream
+    src = tmp_path / "src"
+    spark.createDataFrame([(1, "The #QuickFox jumps"), (2, "<p>Hello there</p>")], "doc_id long, text string") \
+        .write.parquet(str(src))
+    q = start_clean_stream(spark, str(src), "doc_id long, text string", str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.awaitTermination(120)
+    got = {r["doc_id"]: (r["clean"], list(r["tokens"])) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: ("The Quick Fox jumps", ["quickfox", "jumps"]), 2: ("Hello there", ["hello"])}

@@ -501,3 +501,15 @@ def q_var_log_hist(spark, sf_dir):
     overall = EV.log_histogram(wv, "variance").select(F.lit(-1).alias("class_no"), "bin", "n")
     per = EV.log_histogram(wv, "variance", ["class_no"]).select("class_no", "bin", "n")
     return overall.unionByName(per)
+
+
+@register("variance_store", _FISHER_SQL + """
+SELECT param, class_no, term, round(log10(variance), 6) AS log10_variance FROM var""")
+def q_variance_store(spark, sf_dir):
+    from vellum.sources.documents import load_variance, save_variance, scratch_path
+    _, _, var = fisher_tables(spark, sf_dir)
+    base = scratch_path(spark, "variance")
+    save_variance(var.select("param", "class_no", "term", "variance"), base, "v1")
+    save_variance(var.select("param", "class_no", "term", (F.col("variance") * 2).alias("variance")), base, "v2")
+    back = load_variance(spark, base, "v1")
+    return back.select("param", "class_no", "term", F.round(F.log10("variance"), 6).alias("log10_variance"))

@@ -198,3 +198,30 @@ def q_count_chunks(spark, sf_dir):
     parts = [TO.count_chunks(d, m, CHUNK_L, "s").select(F.lit(m).alias("mode"), "n_docs", "n_chunks")
              for m in ("classic", "longform", "snapshot")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# --- fixed values: emoji alias table used by the checked query (a user-supplied table
+# in general); the emoji are attached to the documents by language below.
+EMOJI_ALIASES = {"👍": "thumbs_up", "😀": "grinning_face", "❤": "red_heart", "🎉": "party_popper"}
+_LANG_EMOJI = {"en": "👍", "fr": "❤", "de": "😀", "es": "🎉"}
+
+
+def _with_emoji(col_text, col_lang):
+    e = F.coalesce(*[F.when(col_lang == k, F.lit(v)) for k, v in _LANG_EMOJI.items()], F.lit(""))
+    return F.concat(e, F.lit(" "), col_text, F.lit(" "), e, e)
+
+
+_EMOJI_SQL_IN = ("(CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _LANG_EMOJI.items()) + " ELSE '' END)")
+_EMOJI_SRC_SQL = f"{_EMOJI_SQL_IN} || ' ' || text || ' ' || {_EMOJI_SQL_IN} || {_EMOJI_SQL_IN}"
+
+
+def _sql_replace_emojis(e):
+    for k in sorted(EMOJI_ALIASES, key=len, reverse=True):
+        e = f"replace({e}, '{k}', ':{EMOJI_ALIASES[k]}:')"
+    return e
+
+
+@register("replace_emojis", f"SELECT doc_id, {_sql_replace_emojis(_EMOJI_SRC_SQL)} AS out FROM documents")
+def q_replace_emojis(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", T.replace_emojis(_with_emoji(F.col("text"), F.col("lang")), EMOJI_ALIASES).alias("out"))

@@ -1,0 +1 @@
+"""Streaming use of the stateless column functions."""
