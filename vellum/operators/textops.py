@@ -35,8 +35,9 @@ def chunk_tokens(df: DataFrame, mode: str = "classic", L: int = 128, text_col: s
     classic: the text; longform: blocks of L tokens when longer than L; snapshot: first
     and last L//2 tokens when longer than L. Per-row array work, no shuffle.
     """
+    from vellum.operators.tokens import explode_values
     parts, _ = _chunk_parts(F.col(text_col), mode, L)
-    return df.select(id_col, F.posexplode(parts).alias("chunk_no", "chunk_text"))
+    return explode_values(df, [id_col], parts, "chunk_text", "chunk_no")
 
 
 def count_chunks(df: DataFrame, mode: str = "classic", L: int = 128, text_col: str = "Text",
@@ -64,7 +65,8 @@ def encode_fixed_length(tokens: DataFrame, vocab: DataFrame, max_len: int = 128,
     Ids are ``token_id + 1`` of the vocabulary; only the first ``max_len`` positions are
     exploded and joined, so the per-document regroup is bounded by ``max_len``.
     """
-    rows = tokens.select(id_col, F.posexplode(F.slice(token_col, 1, max_len)).alias("pos", "term"))
+    from vellum.operators.tokens import explode_values
+    rows = explode_values(tokens, [id_col], F.slice(token_col, 1, max_len), "term", "pos")
     ids = (rows.join(vocab.select("term", (F.col("token_id") + 1).cast("int").alias("tid")), "term", "left")
                .groupBy(id_col)
                .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("tid", F.lit(0)).alias("tid")))).alias("e")))

@@ -50,13 +50,25 @@ def preprocess_corpus(df: DataFrame, text_col: str = "Text", join: bool = True,
     return df.withColumn(out_col, F.array_join(toks, " ") if join else toks)
 
 
+def explode_values(df: DataFrame, keep, arr, alias: str, pos_alias: str | None = None) -> DataFrame:
+    """Explode an array column into rows, skipping empty arrays.
+
+    Written as ``explode_outer`` + a null filter on purpose: for a plain ``explode``
+    Catalyst infers ``size(arr) > 0`` and pushes it to the scan, which evaluates an
+    expensive array expression (the whole tokeniser) twice — once below any
+    repartition, i.e. before the work is spread over the cores.
+    """
+    keep = [F.col(c) if isinstance(c, str) else c for c in keep]
+    if pos_alias:
+        out = df.select(*keep, F.posexplode_outer(arr).alias(pos_alias, alias))
+        return out.filter(F.col(pos_alias).isNotNull())
+    return df.select(*keep, F.explode_outer(arr).alias(alias)).filter(F.col(alias).isNotNull())
+
+
 def token_rows(df: DataFrame, tokens, id_cols=("doc_id",), pos: bool = True,
                token_col: str = "token") -> DataFrame:
     """Explode a token array into ``(*id_cols, pos, token)`` rows (pos is 0-based)."""
-    ids = [F.col(c) for c in id_cols]
-    if pos:
-        return df.select(*ids, F.posexplode(T._c(tokens)).alias("pos", token_col))
-    return df.select(*ids, F.explode(T._c(tokens)).alias(token_col))
+    return explode_values(df, list(id_cols), T._c(tokens), token_col, "pos" if pos else None)
 
 
 def filter_token_rows(rows: DataFrame, token_col: str = "token", extra: bool = False,
@@ -75,5 +87,5 @@ def filter_token_rows(rows: DataFrame, token_col: str = "token", extra: bool = F
 
 def term_counts(df: DataFrame, terms, group_cols=("doc_id",), term_col: str = "term") -> DataFrame:
     """``(*group_cols, term, n)`` counts of an array column; partial aggregation runs map-side."""
-    return (df.select(*[F.col(c) for c in group_cols], F.explode(T._c(terms)).alias(term_col))
+    return (explode_values(df, list(group_cols), T._c(terms), term_col)
               .groupBy(*group_cols, term_col).agg(F.count(F.lit(1)).alias("n")))

@@ -73,7 +73,7 @@ best AS (SELECT token, first(c ORDER BY length(c), c) AS lemma FROM valid GROUP
 SELECT tk.token, coalesce(best.lemma, tk.token) AS lemma FROM tk LEFT JOIN best USING (token)""")
 def q_lemma(spark, sf_dir):
     d = TK.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    toks = d.select(F.explode("tokens").alias("token"))
+    toks = TK.explode_values(d, [], F.col("tokens"), "token")
     vocab = toks.select(F.col("token").alias("term")).distinct()
     return TO.lemmatise(toks, vocab)
 
