@@ -13,6 +13,7 @@ from vellum.operators.common import key_hash
 from vellum.operators.ranking import global_index
 
 DEFAULT_SOURCE = "Unknown"
+TOP_K_LIMIT = 100_000   # above this, a sample is ranked by global_index instead of a top-k
 
 
 def read_documents(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -79,8 +80,14 @@ def sample_documents(df: DataFrame, n: int | None, shuffle: bool = True, seed: i
     """
     order = ([F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))] if shuffle else []) + [F.col(id_col)]
     if n is None or n <= 0:
-        return df.withColumn("_h", order[0]).drop("_h") if shuffle else df
-    return df.orderBy(*order).limit(int(n))
+        return df
+    if n <= TOP_K_LIMIT:
+        return df.orderBy(*order).limit(int(n))
+    # Large samples: rank the keys with a range-partitioned global index instead of a
+    # top-k that would gather n rows into one task, then semi-join the rows back.
+    keys = df.select(id_col, *[o.alias(f"_o{i}") for i, o in enumerate(order[:-1])])
+    ranked = global_index(keys, [F.col(f"_o{i}") for i in range(len(order) - 1)] + [F.col(id_col)], "_rank")
+    return df.join(ranked.filter(F.col("_rank") < int(n)).select(id_col), id_col, "left_semi")
 
 
 def split_documents(df: DataFrame, train_share: int = 80, id_col: str = "doc_id",
@@ -105,13 +112,15 @@ def attach_truncated(df: DataFrame, results: DataFrame, id_col: str = "doc_id",
     and the pairing is an equi-join on the position.
     """
     res_order = res_order or id_col
-    left = global_index(df, [F.col(id_col)], "_pos")
     r = results
     if res_order in df.columns:
         r = r.withColumnRenamed(res_order, "result_" + res_order)
         res_order = "result_" + res_order
-    right = global_index(r, [F.col(res_order)], "_pos")
-    return left.join(right, "_pos").drop("_pos")
+    # Only the keys are ranked (and checkpointed); the rows join back on their keys.
+    lpos = global_index(df.select(id_col), [F.col(id_col)], "_pos")
+    rpos = global_index(r.select(res_order), [F.col(res_order)], "_pos")
+    pairs = lpos.join(rpos, "_pos").drop("_pos")
+    return df.join(pairs, id_col).join(r, res_order)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
