@@ -81,11 +81,11 @@ def retention_schedule(step=0.1) -> list[float]:
     """
     if isinstance(step, (tuple, list)):
         coarse, fine, pivot = step
-        scale = 10 ** 6
-        top = [round(1.0 - i * coarse, 6) for i in range(int(round((1.0 - pivot) / coarse)) + 1)]
-        low = [round(pivot - i * fine, 6) for i in range(1, int(math.floor(round(pivot / fine, 6))) + 1)]
-        vals = top + low + [0.0]
-        _ = scale
+        n_top = int(math.floor(round((1.0 - pivot) / coarse, 6)))
+        n_low = int(math.floor(round(pivot / fine, 6)))
+        top = [round(1.0 - i * coarse, 6) for i in range(n_top + 1)]
+        low = [round(pivot - i * fine, 6) for i in range(1, n_low + 1)]
+        vals = top + [round(pivot, 6)] + low + [0.0]
     else:
         n = int(round(1.0 / step))
         vals = [round(1.0 - i * step, 6) for i in range(n + 1)] + [0.0]

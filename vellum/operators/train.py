@@ -18,15 +18,13 @@ from vellum.operators import scoring as SC
 
 
 def train_classifier(df: DataFrame, features_col: str = "features", label_col: str = "label",
-                     max_iter: int = 50, reg: float = 0.0, init=None):
-    """Multinomial logistic regression (cross-entropy) on a vector column; ``init`` is a
-    previously fitted model whose coefficients warm-start the fit."""
+                     max_iter: int = 50, reg: float = 0.0):
+    """Multinomial logistic regression (cross-entropy) on a vector column. MLlib's Python
+    API has no warm start; warm-starting from stored weights is done with
+    :func:`train_fisher_adam` (``init=``)."""
     from pyspark.ml.classification import LogisticRegression
-    lr = LogisticRegression(featuresCol=features_col, labelCol=label_col, family="multinomial",
-                            maxIter=max_iter, regParam=reg)
-    if init is not None:
-        lr = lr.setInitialModel(init) if hasattr(lr, "setInitialModel") else lr
-    return lr.fit(df)
+    return LogisticRegression(featuresCol=features_col, labelCol=label_col, family="multinomial",
+                              maxIter=max_iter, regParam=reg).fit(df)
 
 
 def train_regressor(df: DataFrame, features_col: str = "features", label_col: str = "y", max_iter: int = 50,
