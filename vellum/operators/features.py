@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.operators.common import reuse
@@ -71,8 +71,7 @@ def tfidf(counts: DataFrame, doc_col: str = "doc_id", term_col: str = "term", n_
     """Smoothed TF-IDF, L2-normalised per document, in long form ``(doc, term, tf, idf, w)``.
 
     ``idf = ln((1+N)/(1+df)) + 1`` (MLlib's ``IDF`` has no ``+1``, so it is written out).
-    Norms are a ``groupBy`` on the document, not a window, so a long document is
-    aggregated map-side instead of being sorted inside one task.
+    The idf table is the kept vocabulary (broadcast when AQE measures it small).
     """
     counts = reuse(counts)      # read by the df statistics, the weights and the norms
     if n_docs is None:
@@ -82,6 +81,7 @@ def tfidf(counts: DataFrame, doc_col: str = "doc_id", term_col: str = "term", n_
     raw = (counts.join(idf, term_col)
                  .select(doc_col, term_col, F.col(n_col).alias("tf"), "idf",
                          (F.col(n_col) * F.col("idf")).alias("raw")))
-    norms = raw.groupBy(doc_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return (raw.join(norms, doc_col)
-               .select(doc_col, term_col, "tf", "idf", (F.col("raw") / F.col("norm")).alias("w")))
+    # One document's kept terms per window group (bounded by the document, no hot key);
+    # when the counts are already partitioned by document this needs no shuffle at all.
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(doc_col)))
+    return raw.select(doc_col, term_col, "tf", "idf", (F.col("raw") / norm).alias("w"))
