@@ -24,7 +24,7 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    from vellum.plans import model_fixture
+    from vellum.plans import model_fixture, q_model
     from vellum.plans.catalog import QUERIES
     from vellum.session import get_session
     spark = get_session(f"local[{cpus}]", int(cpus) * 2)
@@ -32,6 +32,7 @@ def main():
     times, rows = {}, {}
     for name in names:
         model_fixture._CACHE.clear()
+        q_model._FISHER_CACHE.clear()
         spark.catalog.clearCache()
         t0 = time.time()
         df = QUERIES[name](spark, sf_dir)

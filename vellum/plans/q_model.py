@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import evaluate as EV
 from vellum.operators import scoring as SC
-from vellum.operators.common import key_hash
+from vellum.operators.common import key_hash, reuse
 from vellum.operators.ranking import global_index
 from vellum.plans import sqlgen as S
 from vellum.plans.model_fixture import BATCH, BETA2, K, LANGS, lang_model, model_ctes
@@ -158,8 +158,20 @@ var AS (SELECT param, class_no, term, fim,
         FROM fim)"""
 
 
+_FISHER_CACHE: dict = {}
+
+
 def fisher_tables(spark, sf_dir):
-    """(model, variance table with param/class_no/term/fim/variance)."""
+    """(model, scores, variance table with param/class_no/term/fim/variance).
+
+    The variance table (classes × vocabulary + classes rows) is persisted: the bias
+    variances collected to the driver and the per-document propagation read the same
+    gradients, computed once.
+    """
+    from vellum.plans import model_fixture
+    key = (id(spark), sf_dir, id(model_fixture._CACHE.get((id(spark), sf_dir))))
+    if key in _FISHER_CACHE:
+        return _FISHER_CACHE[key]
     m, sc = _scored(spark, sf_dir)
     train = m.docs.filter("is_train").select("doc_id", "label")
     batches = global_index(train.withColumn("h", key_hash("doc_id")), [F.col("h"), F.col("doc_id")], "idx") \
@@ -174,7 +186,9 @@ def fisher_tables(spark, sf_dir):
     bv = (m.bias.select("class_no").join(fb, "class_no", "left")
                 .select(F.lit("bias").alias("param"), F.col("class_no").cast("int"), F.lit("").alias("term"),
                         F.coalesce("fim", F.lit(0.0)).alias("fim")))
-    var = SC.fisher_variance(wv.unionByName(bv))
+    var = reuse(SC.fisher_variance(wv.unionByName(bv)))
+    _FISHER_CACHE.clear()
+    _FISHER_CACHE[key] = (m, sc, var)
     return m, sc, var
 
 
