@@ -150,7 +150,7 @@ def q_sentence_pairs(spark, sf_dir):
 
 
 @register("coords_codec", """
-SELECT vec_id, pos, round(CAST(CAST(v AS VARCHAR) AS DOUBLE), 6) AS value
+SELECT vec_id, pos, CAST(round(CAST(CAST(v AS VARCHAR) AS DECIMAL(20, 10)), 6) AS DOUBLE) AS value
 FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS pos FROM embeddings)""")
 def q_coords_codec(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")

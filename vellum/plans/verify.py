@@ -25,7 +25,9 @@ def _norm(v):
     if hasattr(v, "item") and not isinstance(v, (list, tuple, str, bytes)):
         v = v.item()
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 5)
+        if math.isnan(v):
+            return "nan"
+        return v if os.environ.get("VELLUM_EXACT") else round(v, 5)
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     return v
