@@ -142,3 +142,26 @@ def test_reduce_topics_reaches_target(spark):
 def test_model_queries_run(spark, name):
     from vellum.plans.catalog import QUERIES
     assert QUERIES[name](spark, SF_SMALL).count() > 0
+
+
+def test_batch_embed_hook(spark):
+    import numpy as np
+    from vellum.operators.models import batch_embed
+    df = spark.createDataFrame([(1, "ab"), (2, "abcd"), (3, None)], "doc_id long, Text string")
+    enc = lambda texts: np.array([[len(t), 1.0] for t in texts])
+    got = {r["doc_id"]: list(r["embedding"]) for r in batch_embed(df, "Text", enc, 2).collect()}
+    assert got == {1: [2.0, 1.0], 2: [4.0, 1.0], 3: [0.0, 1.0]}
+
+
+def test_small_helpers(spark):
+    from vellum.operators import topics as TP
+    from vellum.operators.textops import unmapped_labels
+    from vellum.sources.documents import select_split
+    words = spark.createDataFrame([(0, 1, "a", 0.5), (0, 2, "b", 0.2)], "topic int, rank int, word string, score double")
+    assert TP.words_for_topic(words, 0) == [("a", 0.5), ("b", 0.2)]
+    with pytest.raises(ValueError):
+        TP.words_for_topic(words, 7)
+    df = spark.createDataFrame([("x",), ("y",), (None,)], "lab string")
+    assert unmapped_labels(df, "lab", {"x": 0}) == 1
+    d = spark.range(0, 200).withColumnRenamed("id", "doc_id")
+    assert select_split(d, "train").count() + select_split(d, "test").count() == 200

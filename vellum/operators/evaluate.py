@@ -97,10 +97,13 @@ def retention_schedule(step=0.1) -> list[float]:
     return out
 
 
-def keep_lowest_variance(variance: DataFrame, fraction, order=("class_no", "term")) -> DataFrame:
+def keep_lowest_variance(variance: DataFrame, fraction, order=("class_no", "term"),
+                         group: str | None = None) -> DataFrame:
     """Rows of the parameter table with the smallest variance: ``max(1, floor(n·N))``
     of them (ties by the order keys); ``fraction ≥ 1`` or ``'auto'`` keeps all.
     Ranks come from :func:`global_index` (no single-task window)."""
+    if group is not None and "param" in variance.columns:
+        variance = variance.filter(F.col("param") == group)
     if fraction == "auto" or float(fraction) >= 1.0:
         return variance
     n_params = variance.count()

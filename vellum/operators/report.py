@@ -55,8 +55,9 @@ def class_histogram(preds: DataFrame, classes: DataFrame, pred_col: str = "pred"
     ``(class_no, class_name)``, one row per class)."""
     h = preds.filter(F.col(pred_col).isNotNull()).groupBy(F.col(pred_col).alias("class_no")).agg(
         F.count(F.lit(1)).alias("n"))
-    return classes.join(F.broadcast(h), "class_no", "left").select(
-        "class_no", "class_name", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return (classes.join(F.broadcast(h), "class_no", "left")
+                   .select("class_no", "class_name", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+                   .orderBy(F.desc("n"), F.desc("class_name")))     # one row per class
 
 
 def continuous_series(df: DataFrame, score_col: str, source_col: str = "Source", time_col: str = "Parsed_Time") -> DataFrame:

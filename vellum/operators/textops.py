@@ -57,6 +57,12 @@ def count_chunks(df: DataFrame, mode: str = "classic", L: int = 128, text_col: s
     return per.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chunks").cast("long").alias("n_chunks"))
 
 
+def unmapped_labels(df: DataFrame, label_col: str, mapping: dict) -> int:
+    """Number of rows whose label the mapping does not cover (non-strict mode report)."""
+    return map_labels(df, label_col, mapping, strict=False, out_col="_m").filter(
+        F.col("_m").isNull() & F.col(label_col).isNotNull()).count()
+
+
 # ---------------------------------------------------------------- encoding
 def encode_fixed_length(tokens: DataFrame, vocab: DataFrame, max_len: int = 128,
                         token_col: str = "tokens", id_col: str = "doc_id") -> DataFrame:

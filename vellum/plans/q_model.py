@@ -77,10 +77,9 @@ SELECT c.class_no, c.class_name, coalesce(h.n, 0) AS n
 FROM (SELECT unnest(range(0, %d)) ::INTEGER AS class_no, unnest(%s) AS class_name) c LEFT JOIN h USING (class_no)"""
           % (K, "[" + ", ".join(S.q(x) for x in LANGS) + "]"))
 def q_class_hist(spark, sf_dir):
+    from vellum.operators.report import class_histogram
     _, p = _preds(spark, sf_dir)
-    h = p.groupBy(F.col("pred").alias("class_no")).agg(F.count(F.lit(1)).alias("n"))
-    return (_classes_df(spark).join(F.broadcast(h), "class_no", "left")    # K rows
-                              .select("class_no", "class_name", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+    return class_histogram(p, _classes_df(spark))
 
 
 @register("loss_metrics", W + """

@@ -97,6 +97,14 @@ def split_documents(df: DataFrame, train_share: int = 80, id_col: str = "doc_id"
     return df.withColumn(split_col, F.when(bucket < train_share, F.lit("train")).otherwise(F.lit("test")))
 
 
+def select_split(df: DataFrame, name: str = "train", split_col: str = "split", train_share: int = 80,
+                 id_col: str = "doc_id") -> DataFrame:
+    """Rows of a named split; tables without a split column get one by key hash first."""
+    if split_col not in df.columns:
+        df = split_documents(df, train_share, id_col, split_col)
+    return df.filter(F.col(split_col) == name)
+
+
 def attach_results(df: DataFrame, results: DataFrame, on: str = "doc_id") -> DataFrame:
     """Left equi-join of result columns; same-named columns are replaced by the results."""
     clash = [c for c in results.columns if c in df.columns and c != on]
