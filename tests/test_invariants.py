@@ -165,3 +165,14 @@ def test_small_helpers(spark):
     assert unmapped_labels(df, "lab", {"x": 0}) == 1
     d = spark.range(0, 200).withColumnRenamed("id", "doc_id")
     assert select_split(d, "train").count() + select_split(d, "test").count() == 200
+
+
+def test_lsh_pairs_are_a_subset_of_exact_pairs(spark):
+    from vellum.operators import models as MD
+    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    exact = {(r["i"], r["j"]) for r in MD.neighbour_pairs(e, "vec_id", "embedding", 1.2, 128).collect()}
+    approx = {(r["i"], r["j"]) for r in MD.neighbour_pairs(e, "vec_id", "embedding", 1.2, None,
+                                                             bucket_length=2.0, num_tables=8).collect()}
+    assert approx <= exact and len(exact) > 0
+    d = MD.density_clusters(e, "vec_id", "embedding", 2, 1.2, exact_block_rows=None)
+    assert d.count() == e.count()
