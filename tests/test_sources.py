@@ -60,3 +60,17 @@ def test_split_is_deterministic(spark):
     a = {r["doc_id"] for r in SD.select_split(d, "test").collect()}
     b = {r["doc_id"] for r in SD.select_split(d.repartition(7), "test").collect()}
     assert a == b and 50 < len(a) < 150
+
+
+def test_top_bottom_two_columns_and_truncation(spark):
+    from vellum.operators.report import top_bottom_table
+    rows = [(i, " ".join(["w"] * 60), i / 10, 1 - i / 10, None if i == 0 else i * 1.0) for i in range(6)]
+    wide = spark.createDataFrame(rows, "doc_id long, Text string, `Probability Distribution 0: neg` double, "
+                                       "`Probability Distribution 1: pos` double, `continuous: score` double")
+    t = top_bottom_table(wide, n=2)
+    cols = {r["column_name"] for r in t.collect()}
+    assert cols == {"Probability Distribution 0: neg", "continuous: score"}
+    top = [r["doc_id"] for r in t.filter("column_name = 'continuous: score' AND Category = 'Top Scores'").collect()]
+    low = [r["doc_id"] for r in t.filter("column_name = 'continuous: score' AND Category = 'Lowest Scores'").collect()]
+    assert sorted(top) == [4, 5] and sorted(low) == [1, 2]          # the NULL score is excluded
+    assert all(r["Text"].endswith("...") and len(r["Text"].split(" ")) == 48 for r in t.collect())

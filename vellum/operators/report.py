@@ -50,6 +50,24 @@ def top_bottom(long: DataFrame, n: int = 10, key_col: str = "column_name", score
     return top.unionByName(low).drop("_r")
 
 
+def top_bottom_table(wide: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str | None = "Text",
+                     nulls_as_lowest: bool = False) -> DataFrame:
+    """Top/bottom rows for every prediction column of a wide table, with the text cut to
+    48 words. With exactly two probability columns only the first is reported (the
+    second is its complement). Columns are found from the schema (driver metadata)."""
+    from vellum.operators.tables import melt_predictions, prediction_columns
+    base = (id_col,) + ((text_col,) if text_col else ())
+    probs = [c for c, t, _, _ in prediction_columns(wide.columns, base) if t == "probability distribution"]
+    src = wide.drop(probs[1]) if len(probs) == 2 else wide
+    long = melt_predictions(src.drop(text_col) if text_col else src, id_cols=[id_col]).select(
+        id_col, "column_name", F.col("value").alias("score"))
+    out = top_bottom(long, n, "column_name", "score", id_col, nulls_as_lowest)
+    if text_col:
+        texts = wide.select(id_col, T.truncate_words(text_col, 48).alias(text_col))
+        out = out.join(texts, id_col, "left")          # ≤ 2n rows per column
+    return out
+
+
 def class_histogram(preds: DataFrame, classes: DataFrame, pred_col: str = "pred") -> DataFrame:
     """Documents per highest-probability class; zero-count classes kept (classes is
     ``(class_no, class_name)``, one row per class)."""
