@@ -257,7 +257,7 @@ def _fmt_list_sql(col, fmt):
 
 @register("finetune_results", _UNC_SQL + f"""
 SELECT unc.doc_id, any_value(d.label) AS gold_label, {_fmt_list_sql('p', '%.6f')} AS prob_distribution,
-       {_fmt_list_sql('v', '%.6e')} AS diamond_uncertainty
+       {_fmt_list_sql('v', '%.6e')} AS uncertainty_distribution
 FROM unc JOIN d USING (doc_id) WHERE NOT d.is_train GROUP BY unc.doc_id""")
 def q_finetune(spark, sf_dir):
     m, u = uncertainty_table(spark, sf_dir)
@@ -265,7 +265,7 @@ def q_finetune(spark, sf_dir):
     fmt = lambda c, f: F.array_join(F.transform(c, lambda x: F.format_string(f, x)), ",")
     return (test.join(u, "doc_id")
                 .select("doc_id", "gold_label", fmt(F.col("probs"), "%.6f").alias("prob_distribution"),
-                        fmt(F.col("variance"), "%.6e").alias("diamond_uncertainty")))
+                        fmt(F.col("variance"), "%.6e").alias("uncertainty_distribution")))
 
 
 # ---------------------------------------------------------------- wide / long prediction tables
