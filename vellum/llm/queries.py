@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import quality_rules
+from vellum.llm import quality_rules, topk_search, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,3 +51,36 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v1")
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fail_bits",
                        (F.col("fail_bits").bitwiseAND(F.lit(quality_rules.BASE)) != 0).alias("base_failed"), "kept")
+
+
+@register("op5_topk_search", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""")
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", topk_search.quantise("embedding").alias("vector"))
+    return topk_search.top_k(rows, rows.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+def _rule_sql(value: str) -> str:
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r.name))
+    cases = " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, value)}'" for r in rules)
+    return f"CASE {cases} END"
+
+
+_LISTED_SQL = " OR ".join(f"host = '{b}' OR ends_with(host, '.{b}') OR host || path = '{b}'" for b in url_filter.BLOCKED)
+
+
+@register("op8_url_filter", rf"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, host, path, {_rule_sql("name")} AS rule, ({_LISTED_SQL}) AS listed,
+       coalesce({_rule_sql("verdict")}, CASE WHEN {_LISTED_SQL} THEN 'block' ELSE 'allow' END) AS verdict FROM p
+""")
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocked = spark.createDataFrame([(b,) for b in url_filter.BLOCKED], "entry string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), blocked)
