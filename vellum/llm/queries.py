@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import quality_rules, topk_search, url_filter
+from vellum.llm import ngram_join, quality_rules, topk_search, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +84,20 @@ SELECT page_id, host, path, {_rule_sql("name")} AS rule, ({_LISTED_SQL}) AS list
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocked = spark.createDataFrame([(b,) for b in url_filter.BLOCKED], "entry string")
     return url_filter.judge(table(spark, sf_dir, "pages"), blocked)
+
+
+@register("op9_ngram_jaccard_join", r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS gram
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b, common = na.n AND common = nb.n AS same FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 9 * common >= 4 * (na.n + nb.n)),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+k AS (SELECT node, min(seen) AS class_id FROM r GROUP BY node),
+l AS (SELECT a, count(*) AS links, min(CASE WHEN same THEN b END) AS copy FROM e GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(copy, doc_id)) AS copy_id, class_id, coalesce(links, 0)::BIGINT AS n_links, coalesce(n, 0)::BIGINT AS n_grams
+FROM documents JOIN k ON node = doc_id LEFT JOIN l ON a = doc_id LEFT JOIN n USING (doc_id)
+""")
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_join(table(spark, sf_dir, "documents"))
