@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe_codec, ngram_join, quality_rules, suffix_dedup, topk_search, url_filter
+from vellum.llm import bpe_codec, ngram_join, packing, quality_rules, suffix_dedup, topk_search, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -122,3 +122,9 @@ def tokenizer_path() -> str:
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe_codec.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@register("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
