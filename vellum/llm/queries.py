@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe_codec, ngram_join, packing, quality_rules, suffix_dedup, topk_search, url_filter
+from vellum.llm import bpe_codec, language_id, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, topk_search, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -128,3 +128,24 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def _fold(n: int):
+    """Remainder of the checksum of a document id, by which held-out rows are set."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+@register("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(_fold(5) != 0))
+    held = docs.withColumn("id", F.struct("doc_id", (_fold(5) == 0).alias("held_out")))
+    return language_id.predict(held, model, id_col="id").select("id.doc_id", "id.held_out", "lang_pred", "score")
+
+
+@register("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_classifier.train(docs, labels.filter(_fold(3) != 1))
+    held = docs.withColumn("id", F.struct("doc_id", (_fold(3) == 1).alias("held_out")))
+    return quality_classifier.predict(held, model, id_col="id").select("id.doc_id", "id.held_out", "score", "predicted")
