@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe_codec, language_id, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, topk_search, url_filter
+from vellum.llm import bpe_codec, language_id, ngram_join, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, topk_search, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -149,3 +149,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_classifier.train(docs, labels.filter(_fold(3) != 1))
     held = docs.withColumn("id", F.struct("doc_id", (_fold(3) == 1).alias("held_out")))
     return quality_classifier.predict(held, model, id_col="id").select("id.doc_id", "id.held_out", "score", "predicted")
+
+
+@register("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "place", "start", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
