@@ -7,7 +7,8 @@ bits alone, what each rule removes and what it removes on its own.
 
 Defined results: a null or empty text has no words, so it fails ``few_words``; repeated
 rows are judged row by row; further columns of the input are kept out of the ledger unless
-named in ``keep``; an empty table gives an empty ledger. All measurements cover whole texts.
+named in ``keep`` (a struct column keeps any, whatever their names); an empty table gives an
+empty ledger. All measurements cover whole texts.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellum.llm import textspans as ts
 
@@ -109,8 +111,8 @@ def ledger(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tu
     One pass over the texts in Arrow batches; no shuffle.
     """
     kept = [id_col, *[c for c in keep if c != id_col]]
-    src = docs.select(*kept, F.col(text).alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*kept).schema] + [f"`{m}` long" for m in MEASURES])
+    src = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    schema = T.StructType([*src.schema.fields[:len(kept)], *[T.StructField(m, T.LongType()) for m in MEASURES]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
