@@ -7,8 +7,8 @@ and read again as the next stage's ``docs``. All but the last return the columns
 Defined results, for every stage: null and empty texts, repeated rows, rows without an id,
 further columns (whatever their names) and empty tables are allowed. A text without words
 fails the rules. Rows without an id count as documents of their own and are never dropped as
-duplicates of rows with one. Repeated rows of one id are one document for the near-duplicate
-stage. Further columns are carried to the packing stage, which returns its pieces only.
+duplicates of rows with one. Rows that share an id are one document for the near-duplicate stage,
+which keeps the one with the smallest text. Further columns are carried to the packing stage, which returns its pieces only.
 """
 
 from __future__ import annotations
@@ -36,8 +36,9 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     again = docs.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1")
     if again.isEmpty():
         return kept
-    twice = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return twice.unionByName(kept.filter("doc_id IS NULL"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row"))
+    return once.select("row.*").unionByName(kept.filter("doc_id IS NULL"))
 
 
 def repeated_passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

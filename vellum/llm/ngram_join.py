@@ -36,6 +36,7 @@ BAND_ROWS = 5
 RECALL = 0.99995
 BLOCK = 512          # documents in a block of a large component
 UNIT_ROWS = 1024     # documents of small components that are dealt to one unit
+_CHUNK = 2 << 20
 _COLUMNS = 4096      # distinct n-grams of a strip of the incidence matrix
 
 
@@ -91,7 +92,7 @@ def sketches(docs: DataFrame, text: str, id_col: str, n: int = N_WORDS, bands: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in ts.chunks(batch.column(1)):
+            for part in ts.chunks(batch.column(1), _CHUNK):
                 row, size, g1, g2, found = _sketch(part, n, bands, rows)
                 ids = batch.column(0).slice(part.lo, part.n)
                 empty = np.setdiff1d(np.arange(part.n), row)
@@ -114,7 +115,7 @@ def _gram_sets(rows: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in ts.chunks(batch.column(len(keep))):
+            for part in ts.chunks(batch.column(len(keep)), _CHUNK):
                 h, d = grams_of(part, n)
                 bounds = np.searchsorted(d, np.arange(part.n + 1)) * 8
                 sets = pa.Array.from_buffers(pa.large_binary(), part.n, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(h)])
@@ -187,18 +188,22 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def similarity_join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = N_WORDS, threshold: Fraction = THRESHOLD,
                     band_rows: int = BAND_ROWS, recall: float = RECALL) -> DataFrame:
-    """``id_col, copy_id, class_id, n_links, n_grams`` for every row of ``docs``.
+    """``id_col, copy_id, class_id, n_links, n_grams`` for every document.
 
-    ``n_links``: other rows with Jaccard similarity of at least ``threshold`` over distinct
+    ``n_links``: other documents with Jaccard similarity of at least ``threshold`` over distinct
     word n-grams, copies included. ``copy_id``: smallest id with the same n-gram set.
     ``class_id``: smallest id of the connected component of the links.
 
     Defined results: words are runs of ``[^\\x20\\x09-\\x0D]``; a text of fewer than ``n`` words
     is one n-gram; a null text, or one without a word, links to nothing and is its own class;
-    repeated rows count as copies; further columns are ignored; an empty table gives none.
+    rows that share an id are one document (its smallest text) and one row; rows without an id
+    are left out; further columns are ignored; an empty table gives none.
     """
     bands = band_count(float(threshold), band_rows, recall)
-    sk = materialise(sketches(docs, text, id_col, n, bands, band_rows), "sketch")
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).filter("id IS NOT NULL")
+    if not docs.groupBy("id").count().filter("count > 1").isEmpty():
+        docs = docs.groupBy("id").agg(F.min("t").alias("t"))
+    sk = materialise(sketches(docs, "t", "id", n, bands, band_rows), "sketch")
     has = sk.filter("g1 IS NOT NULL")
     reps = materialise(has.groupBy("g1", "g2", "n_grams").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "id").alias("bands")), "reps")
 
@@ -218,9 +223,8 @@ def similarity_join(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             F.when(k < F.col("block"), 1).otherwise(0).alias("side"))))
     dealt = (groups.join(materialise(sizes, "sizes"), "root").withColumn("block", block)
              .select("node", "root", pairs.alias("units")))
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).cast("string").alias("t"))
     members = dealt.join(reps.select(F.col("rep").alias("node"), "copies"), "node")
-    sets = _gram_sets(texts.join(members, "node").dropDuplicates(["node"]) if _repeats(sk) else texts.join(members, "node"), n)
+    sets = _gram_sets(docs.select(F.col("id").alias("node"), "t").join(members, "node"), n)
     work = sets.withColumn("u", F.explode("units")).select("node", "root", "copies", "grams", "u.*")
 
     def verify(unit: pa.Table) -> pa.Table:
@@ -246,7 +250,3 @@ def similarity_join(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return (has.select("id", "g1", "g2", "n_grams").join(per_rep, ["g1", "g2", "n_grams"])
             .select("id", "copy_id", "class_id", "n_links", "n_grams").unionByName(none).withColumnRenamed("id", id_col))
 
-
-def _repeats(sk: DataFrame) -> bool:
-    """Whether an id stands in more than one row (its text is then verified once)."""
-    return not sk.groupBy("id").count().filter("count > 1").isEmpty()
