@@ -34,13 +34,33 @@ def test_filter_pushdown(spark):
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,click)]" in plan(df)
 
 
-def test_large_sample_uses_global_ranks(spark, monkeypatch):
+def test_sample_is_the_first_ids_in_hash_order(spark):
+    import hashlib
     from vellum.sources import documents as SD
     df = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id")
-    small = {r[0] for r in SD.sample_documents(df, 50, True, 7).collect()}
-    monkeypatch.setattr(SD, "TOP_K_LIMIT", 10)
-    big = {r[0] for r in SD.sample_documents(df, 50, True, 7).collect()}
-    assert small == big and len(big) == 50
+    got = {r[0] for r in SD.sample_documents(df, 50, True, 7).collect()}
+    ids = sorted((r[0] for r in df.collect()), key=lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest())
+    assert got == set(ids[:50])
+
+
+def test_term_counts_need_no_shuffle_however_the_table_is_stored(spark, tmp_path):
+    from vellum.operators import tokens as TK
+    one = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    one.repartition(24).write.parquet(str(tmp_path / "documents.parquet"))
+    many = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    plans = [plan(TK.term_counts(TK.with_tokens(d, "text"), "tokens")) for d in (one, many)]
+    assert not any("Exchange" in p for p in plans)
+    counts = [sorted(map(tuple, TK.term_counts(TK.with_tokens(d, "text"), "tokens").collect())) for d in (one, many)]
+    assert counts[0] == counts[1]
+
+
+def test_plans_above_the_scan_do_not_depend_on_the_files(spark, tmp_path):
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{SF_SMALL}/{name}.parquet").repartition(24).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("word_tokens", "ngrams", "tfidf", "build_vocabulary"):
+        one, many = (plan(QUERIES[name](spark, d)) for d in (SF_SMALL, str(tmp_path)))
+        exchanges = [[x.split("ENSURE")[0].split("#")[0] for x in p.split("\n") if "Exchange hash" in x or "Exchange range" in x] for p in (one, many)]
+        assert exchanges[0] == exchanges[1]
 
 
 def test_retention_schedule():

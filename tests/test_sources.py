@@ -53,6 +53,32 @@ def test_write_and_variance_store(spark, tmp_path):
     assert SD.load_variance(spark, base, "v1").first()["variance"] == 2.0
     assert SD.load_variance(spark, base, "v2").first()["variance"] == 3.0
     assert SD.load_variance(spark, str(tmp_path / "none"), "v1") is None
+    assert SD.load_variance(spark, base, "v3") is None
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("not a table")
+    with pytest.raises(Exception):
+        SD.load_variance(spark, str(tmp_path / "broken"), "v1")
+
+
+def test_results_can_replace_the_table_they_read(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    SD.write_results(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, v string"), path)
+    for k in range(2):
+        SD.write_results(spark.read.parquet(path).withColumn(f"c{k}", F.lit(k)), path)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a", 0, 1), (2, "b", 0, 1)]
+    broken = spark.read.parquet(path).select(F.raise_error(F.lit("stop")).alias("x"))
+    with pytest.raises(Exception):
+        SD.write_results(broken, path)
+    assert spark.read.parquet(path).count() == 2
+    assert [p.name for p in tmp_path.iterdir() if "old" in p.name] == []
+
+
+def test_weighted_and_seeded_splits(spark):
+    d = spark.range(0, 2000).withColumnRenamed("id", "doc_id")
+    n = {r["split"]: r["count"] for r in SD.split_documents(d, weights={"a": 1, "b": 1, "c": 2}).groupBy("split").count().collect()}
+    assert set(n) == {"a", "b", "c"} and abs(n["c"] - 1000) < 120 and abs(n["a"] - 500) < 100
+    one, two = ({r["doc_id"] for r in SD.split_documents(d, seed=s).filter("split = 'test'").collect()} for s in (1, 2))
+    assert one != two and abs(len(one) - 400) < 90
 
 
 def test_split_is_deterministic(spark):
@@ -65,11 +91,11 @@ def test_split_is_deterministic(spark):
 def test_top_bottom_two_columns_and_truncation(spark):
     from vellum.operators.report import top_bottom_table
     rows = [(i, " ".join(["w"] * 60), i / 10, 1 - i / 10, None if i == 0 else i * 1.0) for i in range(6)]
-    wide = spark.createDataFrame(rows, "doc_id long, Text string, `Probability Distribution 0: neg` double, "
-                                       "`Probability Distribution 1: pos` double, `continuous: score` double")
+    wide = spark.createDataFrame(rows, "doc_id long, Text string, `Probability Distribution 1: neg` double, "
+                                       "`Probability Distribution 2: pos` double, `continuous: score` double")
     t = top_bottom_table(wide, n=2)
     cols = {r["column_name"] for r in t.collect()}
-    assert cols == {"Probability Distribution 0: neg", "continuous: score"}
+    assert cols == {"Probability Distribution 1: neg", "continuous: score"}
     top = [r["doc_id"] for r in t.filter("column_name = 'continuous: score' AND Category = 'Top Scores'").collect()]
     low = [r["doc_id"] for r in t.filter("column_name = 'continuous: score' AND Category = 'Lowest Scores'").collect()]
     assert sorted(top) == [4, 5] and sorted(low) == [1, 2]          # the NULL score is excluded

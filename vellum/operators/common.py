@@ -14,6 +14,15 @@ def reuse(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only if the table is counted to have at most ``max_rows`` rows;
+    otherwise return it as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def scalar(df: DataFrame, expr: Column):
     """One summary value of a (small, aggregated) table."""
     return df.select(expr).first()[0]

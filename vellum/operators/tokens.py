@@ -65,27 +65,16 @@ def explode_values(df: DataFrame, keep, arr, alias: str, pos_alias: str | None =
     return df.select(*keep, F.explode_outer(arr).alias(alias)).filter(F.col(alias).isNotNull())
 
 
-def token_rows(df: DataFrame, tokens, id_cols=("doc_id",), pos: bool = True,
-               token_col: str = "token") -> DataFrame:
-    """Explode a token array into ``(*id_cols, pos, token)`` rows (pos is 0-based)."""
-    return explode_values(df, list(id_cols), T._c(tokens), token_col, "pos" if pos else None)
-
-
-def filter_token_rows(rows: DataFrame, token_col: str = "token", extra: bool = False,
-                      stop: list[str] | None = None) -> DataFrame:
-    """Alphabetic filter + stop-word removal on exploded rows.
+def term_counts(df: DataFrame, terms, group_cols=("doc_id",), term_col: str = "term") -> DataFrame:
+    """``(*group_cols, term, n)`` for every row of ``df``: its terms and how often each occurs.
 
-    The stop table has a fixed, small size, so it is broadcast and the probe is a
-    hash lookup per token (no shuffle of the token rows).
+    Counted inside the row (sort the array, cut it into runs), so a document's counts need
+    no shuffle, however the table is stored. ``df`` has one row per document.
     """
-    spark = rows.sparkSession
-    words = stop if stop is not None else T.stop_list(extra)
-    stop_df = spark.createDataFrame([(w,) for w in words], f"{token_col} string")
-    return (rows.filter(F.col(token_col).rlike(T.ALPHA_ONLY))
-                .join(F.broadcast(stop_df), token_col, "left_anti"))
-
-
-def term_counts(df: DataFrame, terms, group_cols=("doc_id",), term_col: str = "term") -> DataFrame:
-    """``(*group_cols, term, n)`` counts of an array column; partial aggregation runs map-side."""
-    return (explode_values(df, list(group_cols), T._c(terms), term_col)
-              .groupBy(*group_cols, term_col).agg(F.count(F.lit(1)).alias("n")))
+    rows = df.select(*group_cols, F.array_sort(T._c(terms)).alias("_sorted"))
+    i = F.sequence(F.lit(1), F.size("_sorted"))
+    first = F.filter(i, lambda k: (k == 1) | (F.element_at("_sorted", k) != F.element_at("_sorted", F.greatest(k - 1, F.lit(1)))))
+    rows = rows.select(*group_cols, "_sorted", F.when(F.size("_sorted") > 0, first).alias("_first"))
+    ends = F.concat(F.slice("_first", 2, F.size("_first")), F.array(F.size("_sorted") + 1))
+    runs = F.zip_with("_first", ends, lambda a, b: F.struct(F.element_at("_sorted", a).alias(term_col), (b - a).cast("long").alias("n")))
+    return explode_values(rows, list(group_cols), runs, "_run").select(*group_cols, f"_run.{term_col}", "_run.n")

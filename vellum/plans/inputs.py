@@ -8,29 +8,16 @@ from pyspark.sql import functions as F
 TIME_FMT = "yyyy-MM-dd HH:mm:ss"
 
 
-KEYS = {"documents": "doc_id", "events": "event_id", "embeddings": "vec_id", "pages": "page_id",
-        "conversations": "conv_id", "labels": "doc_id", "benchmark": "item_id"}
-
-
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Give a scan at least one task per core.
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's tables.
 
-    A table stored in fewer files than the session's parallelism (a single-row-group
-    file is read by one task) is hash-partitioned on its key into ``2 × parallelism``
-    partitions, so the CPU-heavy text work that follows runs on every core. A large
-    table (more files than cores) is returned untouched: its file splits already spread
-    the scan, and no shuffle of the raw input is added.
+    A file of one row group is read by one task, whatever its size, so a scan with fewer
+    partitions than the session has cores is dealt out evenly (round robin). No key is
+    involved: operators plan the same joins, aggregates and exchanges above either scan.
     """
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= par:
-        return df
-    n = 2 * par
-    return df.repartition(n, key) if key and key in df.columns else df.repartition(n)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), KEYS.get(name))
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(2 * cores)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,16 +14,16 @@ from vellum.operators.common import key_hash
 from vellum.operators.ranking import global_index
 
 DEFAULT_SOURCE = "Unknown"
-TOP_K_LIMIT = 100_000   # above this, a sample is ranked by global_index instead of a top-k
 
 
-def read_documents(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_documents(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
     """CSV with a header (quoted multi-line fields) or any table format Spark reads.
 
-    A missing path raises (Spark's path check), as the reference does.
+    A quoted line break makes a CSV file unsplittable, so each file is one task; pass
+    ``multi_line=False`` for large files without such fields. A missing path raises.
     """
     if fmt == "csv":
-        return (spark.read.option("header", True).option("multiLine", True)
+        return (spark.read.option("header", True).option("multiLine", multi_line)
                      .option("escape", '"').csv(path))
     return spark.read.format(fmt).load(path)
 
@@ -32,7 +33,7 @@ def load_config(path: str, name: str) -> dict:
     with open(path) as fh:
         cfg = json.load(fh)
     if name not in cfg:
-        raise ValueError(f"Dataset {name} not found in configuration.")
+        raise ValueError(f"the configuration has no entry named {name}")
     return cfg[name]
 
 
@@ -46,7 +47,7 @@ def normalise_documents(df: DataFrame, cfg: dict, id_col: str | None = "doc_id",
     cols = set(df.columns)
     text_field = cfg.get("text_field") or ""
     if not text_field or text_field not in cols:
-        raise ValueError(f"Text field {text_field!r} not found in dataset.")
+        raise ValueError(f"the table has no text column {text_field!r}")
     src_field = cfg.get("source_field") or ""
     time_field = cfg.get("time_field") or ""
     src = F.col(src_field).cast("string") if src_field in cols else F.lit(cfg.get("source") or default_source)
@@ -72,29 +73,35 @@ def union_sources(user: DataFrame | None, background: DataFrame | None) -> DataF
 
 def sample_documents(df: DataFrame, n: int | None, shuffle: bool = True, seed: int = 42,
                      id_col: str = "doc_id") -> DataFrame:
-    """``0 < n < total``: n rows, in hash order when shuffling else in key order.
+    """``0 < n < total``: the first n rows in hash order when shuffling, else in key order.
 
-    A seeded md5 of the key gives a deterministic order (a task re-run after an
-    executor loss draws the same rows); ``orderBy().limit()`` is a top-k per partition
-    then a merge of partitions × n rows. No n → all rows, in the same order.
+    A seeded md5 of the key gives a deterministic order (a task re-run after an executor
+    loss draws the same rows). The keys are ranked by a range-partitioned global index
+    and the rows semi-joined, so no task gathers the sample. No n → all rows.
     """
     order = ([F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))] if shuffle else []) + [F.col(id_col)]
     if n is None or n <= 0:
         return df
-    if n <= TOP_K_LIMIT:
-        return df.orderBy(*order).limit(int(n))
-    # Large samples: rank the keys with a range-partitioned global index instead of a
-    # top-k that would gather n rows into one task, then semi-join the rows back.
     keys = df.select(id_col, *[o.alias(f"_o{i}") for i, o in enumerate(order[:-1])])
     ranked = global_index(keys, [F.col(f"_o{i}") for i in range(len(order) - 1)] + [F.col(id_col)], "_rank")
     return df.join(ranked.filter(F.col("_rank") < int(n)).select(id_col), id_col, "left_semi")
 
 
-def split_documents(df: DataFrame, train_share: int = 80, id_col: str = "doc_id",
-                    split_col: str = "split") -> DataFrame:
-    """``train``/``test`` by a key hash bucket in [0, 100): deterministic, no shuffle."""
-    bucket = key_hash(id_col) % 100
-    return df.withColumn(split_col, F.when(bucket < train_share, F.lit("train")).otherwise(F.lit("test")))
+def split_documents(df: DataFrame, train_share: int = 80, id_col: str = "doc_id", split_col: str = "split",
+                    weights: dict[str, float] | None = None, seed: int | None = None) -> DataFrame:
+    """Named splits by a key hash bucket in [0, 100): deterministic, no shuffle.
+
+    ``train``/``test`` by ``train_share``, or any names by ``weights`` (relative shares, in
+    order). A ``seed`` draws another split of the same shares.
+    """
+    key = F.col(id_col) if seed is None else F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))
+    bucket = key_hash(key) % 100
+    shares = weights or {"train": train_share, "test": 100 - train_share}
+    edges = list(accumulate(shares.values()))
+    name = F.lit(list(shares)[-1])
+    for split, edge in reversed(list(zip(shares, edges, strict=True))[:-1]):
+        name = F.when(bucket < F.lit(100.0 * edge / edges[-1]), F.lit(split)).otherwise(name)
+    return df.withColumn(split_col, name)
 
 
 def select_split(df: DataFrame, name: str = "train", split_col: str = "split", train_share: int = 80,
@@ -141,15 +148,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> str:
-    """Overwrite the result table at ``path``. Write to a new path and swap names when
-    the input is read from the same path (Spark cannot overwrite what it is reading)."""
-    w = df.write.mode("overwrite")
+    """Replace the result table at ``path``, which ``df`` may itself read.
+
+    The rows are written to a sibling folder first; only when that has succeeded does it
+    take the place of the old table, which is removed last. A failed write leaves the
+    old table as it was.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    token = uuid.uuid4().hex
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fresh, old = (jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{kind}-{token}") for kind in ("new", "old"))
+    w = df.write
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        w.option("header", True).option("escape", '"').csv(fresh.toString())
     else:
-        w.format(fmt).save(path)
+        w.format(fmt).save(fresh.toString())
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"cannot move {path} aside; the new rows are in {fresh.toString()}")
+    if not fs.rename(fresh, target):
+        fs.rename(old, target)
+        raise OSError(f"cannot move the new rows to {path}")
+    if fs.exists(old):
+        fs.delete(old, True)
+    spark.catalog.refreshByPath(path)
     return path
 
 
@@ -161,9 +186,13 @@ def save_variance(variance: DataFrame, base_path: str, version: str) -> str:
 
 
 def load_variance(spark: SparkSession, base_path: str, version: str) -> DataFrame | None:
-    """Reload one version (partition pruning reads only that folder); missing → None."""
-    try:
-        df = spark.read.parquet(base_path)
-    except Exception:  # noqa: BLE001 - a missing store means "no uncertainty"
+    """Reload one version (partition pruning reads only that folder).
+
+    None if the store or the version is missing; any other failure is raised.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base_path)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
         return None
-    return df.filter(F.col("version") == version).drop("version")
+    df = spark.read.parquet(base_path).filter(F.col("version") == version).drop("version")
+    return None if df.isEmpty() else df
