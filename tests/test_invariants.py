@@ -112,28 +112,95 @@ def test_ward_threshold_zero_keeps_micro_clusters(spark):
     assert merged.select("cluster").distinct().count() == 1
 
 
-def test_fisher_adam_zero_lr_and_decreasing_loss(spark):
+def test_fisher_adam_zero_rate_and_decreasing_loss(spark):
     from vellum.operators import train as TR
     from vellum.plans.model_fixture import K, lang_model
     m = lang_model(spark, SF_SMALL)
-    terms = sorted(r[0] for r in m.vocab.collect())
     feats = m.features.select("doc_id", "term", "x")
     labels = m.docs.select("doc_id", "label")
     train = m.docs.filter("is_train").select("doc_id")
-    W, b, log, _, _ = TR.train_fisher_adam(feats, labels, terms, K, train, None, lr=0.0, epochs=1, n_batches=2)
-    assert np.all(W == 0) and np.all(b == 0)
-    W, b, log, _, _ = TR.train_fisher_adam(feats, labels, terms, K, train, train, lr=0.5, epochs=3, n_batches=2)
+    _, states = TR.train_fisher_adam(feats, labels, m.vocab, K, train, None, TR.FisherAdam(rate=0.0), epochs=1, n_batches=2)
+    assert states[-1].filter("value <> 0").isEmpty()
+    log, states = TR.train_fisher_adam(feats, labels, m.vocab, K, train, train, epochs=3, n_batches=2)
     rows = log.orderBy("epoch").collect()
     assert rows[-1]["eval_loss"] <= rows[0]["eval_loss"]
     best = TR.best_epoch(log).first()
     assert best["eval_loss"] == min(r["eval_loss"] for r in rows)
+    assert TR.best_state(log, states) is states[int(best["epoch"]) - 1]
+
+
+def test_fisher_adam_step_matches_the_published_equations(spark):
+    from vellum.operators import train as TR
+    rng = np.random.default_rng(0)
+    grads = {"weight": rng.normal(size=(3, 2, 5)), "bias": rng.normal(size=(3, 2, 1))}
+    start = {p: rng.normal(size=g.shape[1:]) for p, g in grads.items()}
+    cell = lambda p, x: [(p, k, f"t{j}" if p == "weight" else "", float(x[k, j])) for k in range(x.shape[0]) for j in range(x.shape[1])]
+    s = TR.FisherAdam(rate=0.3, decay=0.05)
+    schema = "param string, class_no int, term string"
+    state = spark.createDataFrame([(*r, 0.0, 1.0) for p, x in start.items() for r in cell(p, x)], schema + ", value double, moment double, fisher double")
+    for t in range(3):
+        state = s.update(state, spark.createDataFrame([r for p, g in grads.items() for r in cell(p, g[t])], schema + ", g double"), t + 1)
+    got = {(r["param"], r["class_no"], r["term"]): r["value"] for r in state.collect()}
+    for p, theta in start.items():
+        fim, mom = np.ones_like(theta), np.zeros_like(theta)
+        for t in range(1, 4):
+            g = grads[p][t - 1]
+            b2 = 0.999 * (1 - 0.999 ** (t - 1)) / (1 - 0.999 ** t)
+            fim = b2 * fim + (1 - b2) * g ** 2
+            pre = fim ** 0.5 + 1e-8 * min(1, np.sqrt((g ** 2).mean()))
+            clipped = lambda x: x / max(1, np.sqrt((x ** 2).mean()))
+            mom = 0.9 * mom + 0.1 * clipped(g / pre)
+            theta = theta - 0.3 * (mom + (0.05 * clipped(theta / pre) if p == "weight" else 0))
+        for q, k, term, v in cell(p, theta):
+            assert abs(got[(q, k, term)] - v) < 1e-9
+
+
+def test_best_epoch_of_a_stored_log(spark):
+    from vellum.operators import train as TR
+    state = spark.createDataFrame([([(1.0, 5, 0.9), (2.0, 10, 0.4), (3.0, 15, 0.4), (4.0, 20, None)],)], "log_history array<struct<epoch:double,step:long,eval_loss:double>>")
+    best = TR.best_epoch(TR.flatten_log_history(state)).first()
+    assert (best["epoch"], best["step"]) == (2.0, 10)
+
+
+def test_vocabulary_of_two_fits_agrees(spark):
+    from vellum.operators import models as MD
+    from vellum.operators import tokens as TK
+    d = TK.with_tokens(spark.read.parquet(f"{SF_SMALL}/documents.parquet"), "text")
+    one, two = (MD.vocabulary_stats(x, "tokens", 0.02, 0.57) for x in (d, d.repartition(11)))
+    assert one == two and len(one[0]) > 100
+
+
+def test_density_components_that_do_not_settle_raise(spark):
+    from vellum.operators import models as MD
+    edges = spark.createDataFrame([(i, i + 1) for i in range(600)] + [(i + 1, i) for i in range(600)], "i long, j long")
+    nodes = spark.range(601).withColumnRenamed("id", "node")
+    with pytest.raises(RuntimeError):
+        MD.connected_components(edges, nodes, max_rounds=2)
+
+
+def test_score_dropout_averages_raw_scores(spark):
+    from vellum.operators import scoring as SC
+    feats = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5), (2, "a", 1.0)], "doc_id long, term string, x double")
+    w = spark.createDataFrame([("a", 2.0), ("b", -1.0)], "term string, w double")
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
+    plain = {r["doc_id"]: r for r in SC.mc_dropout_columns(SC.mc_dropout_scores(feats, w, 10.0, docs, p=0.0), continuous=True).collect()}
+    assert {i: (r["MC Continuous Mean"], r["MC Continuous Std"]) for i, r in plain.items()} == {1: (10.5, 0.0), 2: (12.0, 0.0), 3: (10.0, 0.0)}
+    noisy = {r["doc_id"]: r for r in SC.mc_dropout_scores(feats, w, 10.0, docs, n_samples=50, p=0.5).collect()}
+    assert noisy[2]["mc_std"] > 0 and abs(noisy[2]["mc_mean"] - 12.0) < 1.5 and noisy[3]["mc_std"] == 0
+
+
+def test_prediction_columns_found_anywhere_in_the_name(spark):
+    from vellum.operators.tables import prediction_columns
+    names = ["doc_id", "Sentiment continuous: x", "probability distribution 2: pos", "other"]
+    assert [p[1:] for p in prediction_columns(names)] == [("continuous", None, "x"), ("probability distribution", 2, "pos"), ("unknown", None, "other")]
 
 
 def test_reduce_topics_reaches_target(spark):
     from vellum.operators import topics as TP
     cc = spark.createDataFrame([(t, f"w{(t * 3 + i) % 7}", 1 + (t + i) % 3) for t in range(-1, 6) for i in range(5)],
                                "topic int, term string, n long")
-    m = TP.reduce_topics(cc, 3)
+    sizes = spark.createDataFrame([(t, 10 + t) for t in range(-1, 6)], "topic int, size long")
+    m = TP.reduce_topics(cc, 3, sizes=sizes)
     assert m.filter("new_topic >= 0").select("new_topic").distinct().count() == 3
     assert m.filter("topic = -1").first()["new_topic"] == -1
 

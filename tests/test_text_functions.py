@@ -93,6 +93,28 @@ def test_parse_time(spark):
     assert (rep["n_parsed"], rep["n_unparsed"]) == (3, 3)
 
 
+def test_parse_time_shapes(spark):
+    from vellum.operators.report import parse_time
+    cases = {"2020-01-02T03:04:05Z": "2020-01-02 03:04:05.000", "2020-01-02 03:04": "2020-01-02 03:04:00.000", "Jan 2, 2020": "2020-01-02 00:00:00.000",
+             "Apr 6 2009": "2009-04-06 00:00:00.000", "2020-01-02 03:04:05.123": "2020-01-02 03:04:05.123", "03/04/2020": "2020-03-04 00:00:00.000",
+             "2020-01-02T03:04:05+02:00": "2020-01-02 01:04:05.000", "25/12/2020": "2020-12-25 00:00:00.000", "2 January 2020": "2020-01-02 00:00:00.000",
+             "Thu, 02 Jan 2020 03:04:05 +0000": "2020-01-02 03:04:05.000", "3/4/2020 5:06 PM": "2020-03-04 17:06:00.000", "2020/1/2": "2020-01-02 00:00:00.000"}
+    df = spark.createDataFrame([(k,) for k in cases], "Time string")
+    got = {r["Time"]: r["t"] for r in parse_time(df).select("Time", F.date_format("Parsed_Time", "yyyy-MM-dd HH:mm:ss.SSS").alias("t")).collect()}
+    assert got == cases
+
+
+def test_parse_time_custom_formats(spark):
+    from vellum.operators.report import parse_time
+    import pytest
+    df = spark.createDataFrame([("05.06.2021 07h08",), ("2021-06-05",)], "Time string")
+    for fmt in ("%d.%m.%Y %Hh%M", "dd.MM.yyyy HH'h'mm"):
+        got = [str(r["Parsed_Time"]) for r in parse_time(df, custom=fmt).collect()]
+        assert got == ["2021-06-05 07:08:00", "None"]
+    with pytest.raises(ValueError):
+        parse_time(df, custom="%Q")
+
+
 def test_metadata(spark):
     from vellum.operators.tables import metadata_to_map
     df = spark.createDataFrame([(1, "Metadata\nkey: a: b\nother = v"), (2, "KEY: later\nbare words")],

@@ -9,18 +9,55 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 
 WEEKDAY = r"^\s*(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+"
-# Formats tried in order after a leading weekday name is removed (``EEE`` cannot be
-# used in a Spark 4 parse pattern).
-DEFAULT_TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd",
-                        "MMM dd HH:mm:ss zzz yyyy", "MMM dd yyyy", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy")
+# Formats tried in order after a leading weekday name is removed (``EEE`` cannot be used in
+# a Spark 4 parse pattern), commas are dropped and white space is collapsed. Ambiguous
+# numeric dates are read month first; day first is tried where that fails.
+DEFAULT_TIME_FORMATS = (
+    "yyyy-M-d['T'][ ]H:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][.SS][.S][XXX][XX][X][ z]", "yyyy-M-d['T'][ ]H:mm[XXX][X][ z]", "yyyy-M-d", "yyyy-M", "yyyy/M/d[ H:mm[:ss]]", "yyyyMMdd['T'HHmmss]",
+    "MMM d H:mm:ss[ z] yyyy", "MMM d yyyy[ H:mm[:ss]]", "MMMM d yyyy[ H:mm[:ss]]", "d MMM yyyy[ H:mm[:ss]][ z][ XX]", "d MMMM yyyy[ H:mm[:ss]]", "MMM yyyy", "MMMM yyyy",
+    "M/d/yyyy[ H:mm[:ss]]", "M/d/yyyy h:mm[:ss] a", "d/M/yyyy[ H:mm[:ss]]", "M-d-yyyy[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]")
+
+# Fixed values: ``%`` directives and the pattern letters that read the same field.
+_DIRECTIVES = {"%Y": "yyyy", "%y": "yy", "%m": "M", "%d": "d", "%H": "H", "%I": "h", "%M": "m", "%S": "s", "%f": "SSSSSS", "%p": "a",
+               "%b": "MMM", "%B": "MMMM", "%j": "D", "%z": "XX", "%Z": "z", "%%": "%", "%T": "H:m:s", "%F": "yyyy-M-d", "%D": "M/d/yy"}
+
+
+def spark_pattern(fmt: str) -> str:
+    """A ``%``-style time format as a Spark pattern (a Spark pattern is returned as it is);
+    weekday names, which carry no date, are left out."""
+    if "%" not in fmt:
+        return fmt
+    out, literal, i = "", "", 0
+    while i < len(fmt):
+        pair = fmt[i:i + 2]
+        if pair in ("%a", "%A"):
+            i += 2
+            while i < len(fmt) and fmt[i] in ", ":
+                i += 1
+            continue
+        if pair[0] == "%" and pair not in _DIRECTIVES:
+            raise ValueError(f"no such time directive: {pair}")
+        if pair[0] == "%" and pair != "%%":
+            out += (f"'{literal}'" if literal.isalpha() else literal) + _DIRECTIVES[pair]
+            literal, i = "", i + 2
+        else:
+            step = 2 if pair == "%%" else 1
+            letter = fmt[i]
+            if literal and literal.isalpha() != letter.isalpha():
+                out, literal = out + (f"'{literal}'" if literal.isalpha() else literal), ""
+            literal += letter
+            i += step
+    return out + (f"'{literal}'" if literal.isalpha() else literal)
 
 
 def parse_time_col(col, formats=None, custom: str | None = None) -> Column:
-    """String → timestamp: the custom format alone when given, else the first of the
-    known formats that parses; failures are NULL (``try_to_timestamp``, ANSI-safe)."""
+    """String → timestamp: the custom format alone when given (Spark or ``%`` style), else the
+    first of the known formats that parses; failures are NULL (``try_to_timestamp``, ANSI-safe)."""
     s = F.trim(F.regexp_replace(T._c(col).cast("string"), WEEKDAY, ""))
-    fmts = [custom] if custom else list(formats or DEFAULT_TIME_FORMATS)
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in fmts])
+    if custom:
+        return F.try_to_timestamp(s, F.lit(spark_pattern(custom)))
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, ",", " "), r"\s+", " "))
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in (formats or DEFAULT_TIME_FORMATS)])
 
 
 def parse_time(df: DataFrame, col: str = "Time", out_col: str = "Parsed_Time", formats=None,
@@ -63,8 +100,9 @@ def top_bottom_table(wide: DataFrame, n: int = 10, id_col: str = "doc_id", text_
         id_col, "column_name", F.col("value").alias("score"))
     out = top_bottom(long, n, "column_name", "score", id_col, nulls_as_lowest)
     if text_col:
-        texts = wide.select(id_col, T.truncate_words(text_col, 48).alias(text_col))
-        out = out.join(texts, id_col, "left")          # ≤ 2n rows per column
+        # The ranked rows are few (2n per column), so they go to the texts, not the texts to them.
+        texts = wide.select(id_col, text_col).join(F.broadcast(out.select(id_col).distinct()), id_col, "left_semi")
+        out = out.join(texts.select(id_col, T.truncate_words(text_col, 48).alias(text_col)), id_col, "left")
     return out
 
 
@@ -103,8 +141,9 @@ def source_counts(df: DataFrame, source_col: str = "Source") -> DataFrame:
 
 def hover_text(score: Column, time: Column, text: Column, topic: Column | None = None,
                words: Column | None = None, context: str = "Sentiment") -> Column:
-    """Per-row hover string: score, date, 16-word text, then the topic note."""
-    base = F.concat(F.lit(f"{context} essence score: "), F.format_string("%.6f", score), F.lit("<br>Date: "),
+    """Per-row hover string: score (empty if missing), date, 16-word text, then the topic note."""
+    shown = F.when(score.isNull(), F.lit("")).otherwise(F.format_string("%.6f", score))
+    base = F.concat(F.lit(f"{context} essence score: "), shown, F.lit("<br>Date: "),
                     F.coalesce(F.date_format(time, "yyyy-MM-dd"), F.lit("")), F.lit("<br>Text: "),
                     T.truncate_words(text, 16), F.lit("<br>"))
     if topic is None:

@@ -5,9 +5,9 @@ Model tables:
   weights  ``(class_no, term, w)`` and bias ``(class_no, b)``,
   variance ``(param, class_no, term, variance)`` with ``param`` in {weight, bias}.
 
-Scoring joins features to the weights and sums per document. The weight table is
-bounded by classes × vocabulary (the vocabulary is capped by ``max_features``), so it is
-broadcast; the large feature side is never shuffled for the join. Per-document results
+Scoring joins features to the weights and sums per document. The weight table holds the
+whole vocabulary; it is broadcast if its row count is below a limit and joined by a
+shuffle on the term beyond it. Per-document results
 are formed in one ``groupBy(doc_id)`` with one sum per class (map-side partial
 aggregation), and the softmax is array arithmetic inside that row.
 """
@@ -17,21 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.operators.common import unit_hash
-
-
-# ---------------------------------------------------------------- features
-def doc_term_features(counts: DataFrame, vocab: DataFrame, term_col: str = "term") -> DataFrame:
-    """``(doc_id, term, n, x)``: counts restricted to the vocabulary, ``x = n / Σ n``.
-
-    The vocabulary is capped by ``max_features`` (broadcast semi-join). The per-document
-    total is a window over one document's distinct vocabulary terms (≤ vocabulary size).
-    """
-    kept = counts.join(F.broadcast(vocab.select(term_col)), term_col, "left_semi")
-    total = F.sum("n").over(Window.partitionBy("doc_id"))
-    return kept.select("doc_id", term_col, "n", (F.col("n") / total).alias("x"))
+from vellum.operators.common import checked_broadcast, unit_hash
 
 
+# ---------------------------------------------------------------- weights
 def closed_form_weights(class_counts: DataFrame, class_docs: DataFrame, vocab: DataFrame,
                         n_classes: int, term_col: str = "term"):
     """Smoothed class log-likelihood weights and log-prior biases.
@@ -45,7 +34,7 @@ def closed_form_weights(class_counts: DataFrame, class_docs: DataFrame, vocab: D
     grid = vocab.select(term_col, F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))).alias("class_no"))
     nc = class_counts.groupBy("class_no").agg(F.sum("n").alias("nc"))
     w = (grid.join(class_counts, ["class_no", term_col], "left")
-             .join(F.broadcast(nc), "class_no", "left")
+             .join(nc, "class_no", "left")
              .select("class_no", term_col,
                      F.log((F.coalesce(F.col("n"), F.lit(0)) + 1.0) /
                            (F.coalesce(F.col("nc"), F.lit(0)) + F.lit(float(v_size)))).alias("w")))
@@ -87,7 +76,7 @@ def _per_doc_sums(features: DataFrame, wide: DataFrame, docs: DataFrame, n_class
     Documents without any feature still get a row: their ids are unioned in with
     zeros, so no join against the document table is needed.
     """
-    joined = features.join(F.broadcast(wide), term_col)
+    joined = features.join(checked_broadcast(wide), term_col)
     cols = []
     for name, fn in exprs.items():
         cols += [fn(k).alias(f"{name}_{k}") for k in range(n_classes)]
@@ -171,17 +160,41 @@ def mc_dropout(features: DataFrame, weights: DataFrame, bias: DataFrame, docs: D
                       F.col("z.m").alias("mc_mean"), F.col("z.s").alias("mc_std"))
 
 
+def mc_dropout_scores(features: DataFrame, weights: DataFrame, intercept: float, docs: DataFrame,
+                      n_samples: int = 10, p: float = 0.1, seed: int = 42, term_col: str = "term") -> DataFrame:
+    """Monte-Carlo dropout of a one-output model: ``(doc_id, mc_mean, mc_std)`` of the raw score
+    (no softmax), with the masks of :func:`mc_dropout` and the population std across passes.
+
+    All passes of a feature are evaluated in its row, so the features are read once and
+    one aggregate per document holds one sum per pass.
+    """
+    joined = features.join(checked_broadcast(weights.select(term_col, "w")), term_col)
+    value = F.col("x") * F.col("w") / F.lit(1.0 - p)
+    kept = [F.when(unit_hash(F.col("doc_id"), F.col(term_col), F.lit(i), F.lit(seed)) >= F.lit(p), value).otherwise(0.0).alias(f"s_{i}")
+            for i in range(1, n_samples + 1)]
+    zeros = docs.select("doc_id", *[F.lit(0.0).alias(f"s_{i}") for i in range(1, n_samples + 1)])
+    sums = joined.select("doc_id", *kept).unionByName(zeros).groupBy("doc_id").agg(
+        *[F.sum(f"s_{i}").alias(f"s_{i}") for i in range(1, n_samples + 1)])
+    scores = F.array(*[F.col(f"s_{i}") + F.lit(float(intercept)) for i in range(1, n_samples + 1)])
+    mean = F.aggregate("scores", F.lit(0.0), lambda a, v: a + v) / n_samples
+    spread = F.aggregate("scores", F.lit(0.0), lambda a, v: a + (v - F.col("mc_mean")) * (v - F.col("mc_mean"))) / n_samples
+    return (sums.select("doc_id", scores.alias("scores")).withColumn("mc_mean", mean)
+                .select("doc_id", "mc_mean", F.sqrt(spread).alias("mc_std")))
+
+
 def mc_dropout_columns(mc: DataFrame, labels: list[str] | None = None, continuous: bool = False) -> DataFrame:
-    """Wide MC output: ``MC Continuous Mean/Std`` or ``MC Mean/Std Probability Dist i: label``."""
+    """Wide MC output: ``MC Continuous Mean/Std`` or ``MC Mean/Std Probability Dist i: label``
+    (classes numbered from 1)."""
     if continuous:
+        # One output: the table of ``mc_dropout_scores``.
         return mc.select("doc_id", F.col("mc_mean").alias("MC Continuous Mean"),
                          F.col("mc_std").alias("MC Continuous Std"))
     ks = sorted({int(r[0]) for r in mc.select("class_no").distinct().collect()}) if labels is None else range(len(labels))
-    names = {k: (labels[k] if labels else f"Class_{k}") for k in ks}
+    names = {k: (labels[k] if labels else f"Class_{k + 1}") for k in ks}
     aggs = []
     for k in ks:
-        aggs.append(F.max(F.when(F.col("class_no") == k, F.col("mc_mean"))).alias(f"MC Mean Probability Dist {k}: {names[k]}"))
-        aggs.append(F.max(F.when(F.col("class_no") == k, F.col("mc_std"))).alias(f"MC Std Probability Dist {k}: {names[k]}"))
+        aggs.append(F.max(F.when(F.col("class_no") == k, F.col("mc_mean"))).alias(f"MC Mean Probability Dist {k + 1}: {names[k]}"))
+        aggs.append(F.max(F.when(F.col("class_no") == k, F.col("mc_std"))).alias(f"MC Std Probability Dist {k + 1}: {names[k]}"))
     return mc.groupBy("doc_id").agg(*aggs)
 
 
@@ -202,12 +215,12 @@ def batch_gradients(features: DataFrame, scored: DataFrame, labels: DataFrame, b
     gsum = (features.join(res, "doc_id")
                     .groupBy("batch", term_col)
                     .agg(F.array(*[F.sum(F.col("r")[k] * F.col("x")) for k in range(n_classes)]).alias("gs")))
-    gw = (gsum.join(F.broadcast(sizes), "batch")
+    gw = (gsum.join(sizes, "batch")
               .select("batch", term_col, F.posexplode("gs").alias("class_no", "gs"), "bs")
               .select("batch", F.col("class_no").cast("int").alias("class_no"), term_col,
                       (F.col("gs") / F.col("bs")).alias("g")))
     gb = (res.groupBy("batch").agg(F.array(*[F.sum(F.col("r")[k]) for k in range(n_classes)]).alias("gs"))
-             .join(F.broadcast(sizes), "batch")
+             .join(sizes, "batch")
              .select("batch", F.posexplode("gs").alias("class_no", "gs"), "bs")
              .select("batch", F.col("class_no").cast("int").alias("class_no"), (F.col("gs") / F.col("bs")).alias("g")))
     return gw, gb
@@ -246,6 +259,8 @@ def softmax_uncertainty(features: DataFrame, weights: DataFrame, bias: DataFrame
                      term_col=term_col, prefix="v"), term_col, "left").na.fill(0.0)
     b = bias_list(bias, n_classes)
     bv = [0.0] * n_classes
+    # Without the bias variance the store is incomplete and the uncertainty is all zero.
+    incomplete = consider_bias and b_var is None
     if consider_bias and b_var is not None:
         bv = bias_list(b_var.select("class_no", F.col("variance").alias("b")), n_classes)
     sums = _per_doc_sums(features, wide, docs, n_classes,
@@ -256,6 +271,8 @@ def softmax_uncertainty(features: DataFrame, weights: DataFrame, bias: DataFrame
     out = sums.select("doc_id", probs.alias("probs"), z.alias("z"))
     cross = F.aggregate(F.zip_with("probs", "z", lambda p, zz: p * p * zz), F.lit(0.0), lambda a, v: a + v)
     var = F.zip_with("probs", "z", lambda p, zz: p * p * (zz * (1 - p) * (1 - p) + (cross - p * p * zz)))
+    if incomplete:
+        var = F.transform("probs", lambda p: F.lit(0.0))
     return out.select("doc_id", "probs", var.alias("variance"))
 
 

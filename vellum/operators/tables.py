@@ -8,24 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _PROB = re.compile(r"probability\s+distribution", re.I)
-_CONT = re.compile(r"^\s*continuous\s*:", re.I)
+_CONT = re.compile(r"continuous\s*:", re.I)
 
 
 def pivot_predictions(long: DataFrame, labels: list[str] | None = None, value_col: str = "prob",
                       n_outputs: int | None = None) -> DataFrame:
-    """``(doc_id, class_no, prob)`` → ``Probability Distribution i: label`` columns
+    """Class probabilities → ``Probability Distribution i: label`` columns, numbered from 1
     (``continuous: label`` when there is one output). Labels default to ``Class_i``.
 
-    The pivot values are listed explicitly, so Spark does not run a distinct job first.
+    Scored rows with a ``probs`` array already hold a document's columns and are read off
+    without a shuffle; a long table ``(doc_id, class_no, prob)`` is pivoted over explicit
+    values, so Spark does not run a distinct job first.
     """
     k = n_outputs or (len(labels) if labels else None)
     if k is None:
         raise ValueError("pass labels or n_outputs")
-    names = [labels[i] if labels else f"Class_{i}" for i in range(k)]
+    names = [labels[i] if labels else f"Class_{i + 1}" for i in range(k)]
+    out = [f"Probability Distribution {i + 1}: {names[i]}" for i in range(k)] if k > 1 else [f"continuous: {names[0]}"]
+    if "probs" in long.columns:
+        return long.select("doc_id", *[F.col("probs")[i].alias(out[i]) for i in range(k)])
     if k == 1:
-        return long.groupBy("doc_id").agg(F.first(value_col).alias(f"continuous: {names[0]}"))
+        return long.groupBy("doc_id").agg(F.first(value_col).alias(out[0]))
     wide = long.groupBy("doc_id").pivot("class_no", list(range(k))).agg(F.first(value_col))
-    return wide.select("doc_id", *[F.col(f"`{i}`").alias(f"Probability Distribution {i}: {names[i]}") for i in range(k)])
+    return wide.select("doc_id", *[F.col(f"`{i}`").alias(out[i]) for i in range(k)])
 
 
 def prediction_columns(columns: list[str], base=("text", "source", "time", "doc_id")) -> list[tuple[str, str, int | None, str]]:
@@ -37,7 +42,7 @@ def prediction_columns(columns: list[str], base=("text", "source", "time", "doc_
         if c.strip().lower() in base_l:
             continue
         if _CONT.search(c):
-            out.append((c, "continuous", None, c.split(":", 1)[1].strip()))
+            out.append((c, "continuous", None, c[_CONT.search(c).end():].strip()))
         elif _PROB.search(c):
             m = re.search(r"(\d+)\s*:\s*(.*)$", c)
             out.append((c, "probability distribution", int(m.group(1)) if m else None,

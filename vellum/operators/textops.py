@@ -101,8 +101,8 @@ def map_labels(df: DataFrame, label_col: str, mapping: dict | None, strict: bool
     by_int = F.try_element_at(m, as_int)
     mapped = F.coalesce(by_str, by_int)
     if strict:
-        mapped = F.when(mapped.isNull(), F.raise_error(F.concat(F.lit("Label "), F.coalesce(lab, F.lit("null")),
-                                                                 F.lit(" not found in label_mapping."))).cast("int")
+        mapped = F.when(mapped.isNull(), F.raise_error(F.concat(F.lit("the mapping has no class for label "),
+                                                                 F.coalesce(lab, F.lit("null")))).cast("int")
                         ).otherwise(mapped)
     return df.withColumn(out_col, mapped)
 

@@ -1,20 +1,20 @@
 """Training: MLlib linear models and the Fisher-preconditioned optimiser.
 
-The optimiser keeps its state (weights, momentum, Fisher diagonal) on the driver; this
-is bounded by classes × vocabulary (the vocabulary is capped by ``max_features``). Each
-step's gradient is a distributed aggregate over the batch's feature rows joined to the
-broadcast weights, so the data never leaves the executors.
+The optimiser's state is a table with one row per parameter (weight, momentum, Fisher
+diagonal). A step joins the batch's gradient table to it and updates the columns; only
+two root-mean-squares per parameter tensor come to the driver. The state is checkpointed
+every step, so a lost executor costs no step.
 """
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.operators import scoring as SC
+from vellum.operators.common import key_hash
 
 
 def train_classifier(df: DataFrame, features_col: str = "features", label_col: str = "label",
@@ -30,115 +30,129 @@ def train_classifier(df: DataFrame, features_col: str = "features", label_col: s
 def train_regressor(df: DataFrame, features_col: str = "features", label_col: str = "y", max_iter: int = 50,
                     epsilon: float = 1.35):
     """Single-output linear regression with the Huber loss (MLlib requires epsilon > 1 and
-    also fits a scale; the reference's smooth-L1 has beta 1 — a documented difference)."""
+    also fits a scale, unlike a smooth-L1 loss with beta 1)."""
     from pyspark.ml.regression import LinearRegression
     return LinearRegression(featuresCol=features_col, labelCol=label_col, loss="huber", epsilon=epsilon,
                             maxIter=max_iter).fit(df)
 
 
-class FisherAdamState:
-    """Driver-side optimiser state for one parameter tensor."""
-
-    def __init__(self, shape):
-        self.step = 0
-        self.m = np.zeros(shape)
-        self.fim = np.ones(shape)
-
-    def update(self, p, g, lr, wd, beta1, beta2, clip, pval, eps):
-        self.step += 1
-        t = self.step
-        curr_beta2 = beta2 * (1 - beta2 ** (t - 1)) / (1 - beta2 ** t)
-        self.fim = curr_beta2 * self.fim + (1 - curr_beta2) * g * g
-        rms_grad = math.sqrt(float(np.mean(g * g)))
-        curr_eps = eps * min(1.0, rms_grad)
-        base = np.power(self.fim, pval) + curr_eps
-        nat = g / base
-        nat = nat / (max(1.0, math.sqrt(float(np.mean(nat * nat)))) / clip)
-        self.m = beta1 * self.m + (1 - beta1) * nat
-        step = self.m
-        if wd:
-            gw = p / base
-            gw = gw / (max(1.0, math.sqrt(float(np.mean(gw * gw)))) / clip)
-            step = self.m + wd * gw
-        return p - lr * step
-
-
-def _gradients(features: DataFrame, labels: DataFrame, W: np.ndarray, b: np.ndarray, terms: list[str],
-               docs: DataFrame, term_col: str = "term"):
-    """Mean cross-entropy gradient and loss over ``docs`` with weights ``W`` (K × V) and ``b``."""
-    spark = features.sparkSession
-    K = W.shape[0]
-    wide = spark.createDataFrame([(t, *[float(W[k, i]) for k in range(K)]) for i, t in enumerate(terms)],
-                                 f"{term_col} string, " + ", ".join(f"w_{k} double" for k in range(K)))
-    blist = [float(x) for x in b]
-    sums = SC._per_doc_sums(features.join(docs.select("doc_id"), "doc_id", "left_semi"), wide, docs.select("doc_id"), K,
-                            {"s": lambda k: F.col("x") * F.col(f"w_{k}")}, term_col)
-    probs = SC.softmax(F.array(*[F.col(f"s_{k}") + F.lit(blist[k]) for k in range(K)]))
-    res = (sums.select("doc_id", probs.alias("p")).join(labels, "doc_id")
-               .select("doc_id", "p", F.transform(F.sequence(F.lit(0), F.lit(K - 1)),
-                       lambda k: F.col("p")[k] - F.when(F.col("label") == k, 1.0).otherwise(0.0)).alias("r"),
-                       (-F.log(F.element_at("p", F.col("label") + 1))).alias("loss")))
-    res = res.persist()
-    n = res.count()
-    gw_rows = (features.join(res.select("doc_id", "r"), "doc_id").groupBy(term_col)
-                       .agg(F.array(*[F.sum(F.col("r")[k] * F.col("x")) for k in range(K)]).alias("g")).collect())
-    agg = res.agg(F.array(*[F.sum(F.col("r")[k]) for k in range(K)]).alias("gb"), F.avg("loss").alias("loss")).first()
-    res.unpersist()
-    pos = {t: i for i, t in enumerate(terms)}
-    gW = np.zeros_like(W)
-    for r in gw_rows:
-        if r[term_col] in pos:
-            gW[:, pos[r[term_col]]] = np.array(r["g"]) / max(n, 1)
-    gb = np.array(agg["gb"] or [0.0] * K) / max(n, 1)
-    return gW, gb, float(agg["loss"] or 0.0)
-
-
-def train_fisher_adam(features: DataFrame, labels: DataFrame, vocab_terms: list[str], n_classes: int,
-                      train_docs: DataFrame, eval_docs: DataFrame | None = None, lr: float = 0.5,
-                      betas=(0.9, 0.999), weight_decay: float = 0.1, clip: float = 1.0, p: float = 0.5,
-                      eps: float = 1e-8, epochs: int = 3, n_batches: int = 4, seed: int = 42,
-                      init: tuple[np.ndarray, np.ndarray] | None = None):
-    """Fisher-Adam training of the linear softmax scorer.
-
-    Batches are key-hash buckets of the training documents (deterministic). Per step:
-    bias-corrected β2, Fisher moving average of g², eps scaled by min(1, rms g),
-    g / (FIM^p + eps), RMS clip, momentum β1, the same preconditioned and clipped weight
-    decay for the weights only, then ``p ← p − lr·step``. Returns weights, bias, the
-    per-epoch log (DataFrame) and the final Fisher diagonals.
+@dataclass(frozen=True)
+class FisherAdam:
+    """Settings of natural-gradient Adam with a diagonal empirical Fisher matrix.
+
+    A direction (the gradient, or the parameters themselves for the decay) is divided by
+    ``fisher ** power + epsilon`` and scaled down where its root mean square exceeds 1.
     """
-    from vellum.operators.common import key_hash
-    beta1, beta2 = betas
-    V = len(vocab_terms)
-    W = np.zeros((n_classes, V)) if init is None else init[0].copy()
-    b = np.zeros(n_classes) if init is None else init[1].copy()
-    sw, sb = FisherAdamState(W.shape), FisherAdamState(b.shape)
-    batches = train_docs.withColumn("batch", (key_hash(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))) % n_batches))
-    log = []
-    step = 0
+
+    rate: float = 0.5
+    momentum: float = 0.9
+    memory: float = 0.999
+    decay: float = 0.1
+    clip: float = 1.0
+    power: float = 0.5
+    epsilon: float = 1e-8
+
+    def memory_at(self, step: int) -> float:
+        """Share of the old Fisher diagonal at a step: none at the first, ``memory`` in the limit."""
+        return self.memory * (1 - self.memory ** (step - 1)) / (1 - self.memory ** step)
+
+    def update(self, state: DataFrame, gradients: DataFrame, step: int) -> DataFrame:
+        """State after one step. ``state``: ``param, class_no, term, value, moment, fisher``;
+        ``gradients``: ``param, class_no, term, g`` (a parameter without a row has gradient 0)."""
+        key = ["param", "class_no", "term"]
+        keep = self.memory_at(step)
+        now = (state.join(gradients, key, "left").withColumn("g", F.coalesce("g", F.lit(0.0)))
+                    .withColumn("fisher", keep * F.col("fisher") + (1 - keep) * F.col("g") * F.col("g"))
+                    .checkpoint(eager=True))
+        floor = {p: self.epsilon * min(1.0, r["g"]) for p, r in _rms(now, g=F.col("g")).items()}
+        base = F.pow("fisher", F.lit(self.power)) + _by_param(floor)
+        size = _rms(now, push=F.col("g") / base, pull=F.col("value") / base)
+        push = F.col("g") / base * _by_param({p: self.clip / max(1.0, r["push"]) for p, r in size.items()})
+        pull = F.col("value") / base * _by_param({p: self.clip / max(1.0, r["pull"]) for p, r in size.items()})
+        moment = self.momentum * F.col("moment") + (1 - self.momentum) * push
+        decay = F.when(F.col("param") == "weight", self.decay * pull).otherwise(0.0)
+        return now.select(*key, (F.col("value") - self.rate * (moment + decay)).alias("value"), moment.alias("moment"), "fisher")
+
+
+def _rms(table: DataFrame, **columns: Column) -> dict[str, dict[str, float]]:
+    """Root mean square of each column over each parameter tensor."""
+    rows = table.groupBy("param").agg(*[F.sqrt(F.avg(c * c)).alias(n) for n, c in columns.items()]).collect()
+    return {r["param"]: {n: r[n] for n in columns} for r in rows}
+
+
+def _by_param(values: dict[str, float]) -> Column:
+    out = F.lit(0.0)
+    for param, value in values.items():
+        out = F.when(F.col("param") == param, F.lit(value)).otherwise(out)
+    return out
+
+
+def initial_state(vocab: DataFrame, n_classes: int, weights: DataFrame | None = None, bias: DataFrame | None = None) -> DataFrame:
+    """Zero parameters, or those of ``weights`` (``class_no, term, w``) and ``bias`` (``class_no, b``)."""
+    classes = F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))).alias("class_no")
+    w = vocab.select(F.lit("weight").alias("param"), classes, "term")
+    b = vocab.sparkSession.createDataFrame([("bias", k, "") for k in range(n_classes)], "param string, class_no int, term string")
+    w = w.join(weights.select("class_no", "term", F.col("w").alias("value")), ["class_no", "term"], "left") if weights is not None else w.withColumn("value", F.lit(0.0))
+    b = b.join(bias.select("class_no", F.col("b").alias("value")), "class_no", "left") if bias is not None else b.withColumn("value", F.lit(0.0))
+    state = w.select("param", "class_no", "term", "value").unionByName(b.select("param", "class_no", "term", "value"))
+    return state.select("param", "class_no", "term", F.coalesce("value", F.lit(0.0)).alias("value"), F.lit(0.0).alias("moment"), F.lit(1.0).alias("fisher"))
+
+
+def model_tables(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(class_no, term, w)`` and ``(class_no, b)`` of a state."""
+    return (state.filter("param = 'weight'").select("class_no", "term", F.col("value").alias("w")),
+            state.filter("param = 'bias'").select("class_no", F.col("value").alias("b")))
+
+
+def _residuals(state: DataFrame, features: DataFrame, labels: DataFrame, docs: DataFrame, n_classes: int) -> DataFrame:
+    """``doc_id, r`` (probabilities minus the true class) and ``loss`` of the given documents."""
+    weights, bias = model_tables(state)
+    rows = features.join(docs.select("doc_id"), "doc_id", "left_semi")
+    scored = SC.score_probabilities(rows, weights, bias, docs.select("doc_id"), n_classes).join(labels.select("doc_id", "label"), "doc_id")
+    true = F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda k: (F.col("label") == k).cast("double"))
+    return scored.select("doc_id", F.zip_with("probs", true, lambda p, y: p - y).alias("r"),
+                         (-F.log(F.element_at("probs", F.col("label") + 1))).alias("loss"))
+
+
+def _gradients(residuals: DataFrame, features: DataFrame, n: int, n_classes: int) -> DataFrame:
+    """Mean cross-entropy gradient: ``param, class_no, term, g``."""
+    each = [F.sum(F.col("r")[k] * F.col("x")).alias(str(k)) for k in range(n_classes)]
+    rows = features.join(residuals.select("doc_id", "r"), "doc_id").groupBy("term").agg(F.array(*each).alias("s"))
+    total = residuals.agg(F.array(*[F.sum(F.col("r")[k]) for k in range(n_classes)]).alias("s"))
+    both = rows.select(F.lit("weight").alias("param"), "term", "s").unionByName(total.select(F.lit("bias").alias("param"), F.lit("").alias("term"), "s"))
+    return both.select("param", "term", F.posexplode("s").alias("class_no", "g")).select("param", F.col("class_no").cast("int").alias("class_no"), "term", (F.col("g") / n).alias("g"))
+
+
+def train_fisher_adam(features: DataFrame, labels: DataFrame, vocab: DataFrame, n_classes: int, train_docs: DataFrame,
+                      eval_docs: DataFrame | None = None, settings: FisherAdam = FisherAdam(), epochs: int = 3,
+                      n_batches: int = 4, seed: int = 42, init: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """Train the linear softmax scorer; returns the log and the state after each epoch.
+
+    Batches are key-hash buckets of the training documents (deterministic); an empty one
+    is passed over. The log has ``epoch, step, loss, eval_loss``; evaluation computes the
+    loss only. ``init`` is a state to go on from.
+    """
+    spark = features.sparkSession
+    state = initial_state(vocab, n_classes) if init is None else init
+    batches = train_docs.select("doc_id", (key_hash(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))) % n_batches).alias("batch"))
+    log, states, step = [], [], 0
     for epoch in range(1, epochs + 1):
         losses = []
-        for bi in range(n_batches):
-            docs = batches.filter(F.col("batch") == bi).select("doc_id")
-            gW, gb, loss = _gradients(features, labels, W, b, vocab_terms, docs)
-            W = sw.update(W, gW, lr, weight_decay, beta1, beta2, clip, p, eps)
-            b = sb.update(b, gb, lr, 0.0, beta1, beta2, clip, p, eps)
-            losses.append(loss)
-            step += 1
+        for batch in range(n_batches):
+            docs = batches.filter(F.col("batch") == batch).select("doc_id")
+            residuals = _residuals(state, features, labels, docs, n_classes).checkpoint(eager=True)
+            n, loss = residuals.agg(F.count(F.lit(1)), F.avg("loss")).first()
+            if n:
+                step += 1
+                state = settings.update(state, _gradients(residuals, features, n, n_classes), step)
+                losses.append(loss)
+        state = state.checkpoint(eager=True)
+        states.append(state)
         eval_loss = None
         if eval_docs is not None:
-            _, _, eval_loss = _gradients(features, labels, W, b, vocab_terms, eval_docs.select("doc_id"))
-        log.append((float(epoch), int(step), float(np.mean(losses)), eval_loss, W.copy(), b.copy()))
-    spark = features.sparkSession
-    log_df = spark.createDataFrame([(e, s, l, ev) for e, s, l, ev, _, _ in log],
-                                   "epoch double, step long, loss double, eval_loss double")
-    return W, b, log_df, (sw.fim, sb.fim), log
-
-
-def weights_frame(spark, W: np.ndarray, b: np.ndarray, terms: list[str]):
-    """Model tables from arrays: ``(class_no, term, w)`` and ``(class_no, b)``."""
-    wrows = [(int(k), t, float(W[k, i])) for k in range(W.shape[0]) for i, t in enumerate(terms)]
-    return (spark.createDataFrame(wrows, "class_no int, term string, w double"),
-            spark.createDataFrame([(int(k), float(x)) for k, x in enumerate(b)], "class_no int, b double"))
+            eval_loss = _residuals(state, features, labels, eval_docs.select("doc_id"), n_classes).agg(F.avg("loss")).first()[0]
+        log.append((float(epoch), step, sum(losses) / len(losses) if losses else None, eval_loss))
+    return spark.createDataFrame(log, "epoch double, step long, loss double, eval_loss double"), states
 
 
 def best_epoch(log_df: DataFrame) -> DataFrame:
@@ -147,6 +161,11 @@ def best_epoch(log_df: DataFrame) -> DataFrame:
         F.min_by(F.struct("epoch", "step", "eval_loss"), F.struct("eval_loss", "epoch")).alias("best")).select("best.*")
 
 
+def best_state(log_df: DataFrame, states: list[DataFrame]) -> DataFrame:
+    """The parameters after the epoch of lowest eval loss."""
+    return states[int(best_epoch(log_df).first()["epoch"]) - 1]
+
+
 def flatten_log_history(state_json: DataFrame) -> DataFrame:
-    """Explode a trainer-state ``log_history`` array into one row per entry."""
+    """One row per entry of a stored trainer log (``log_history`` array); ``best_epoch`` reads it."""
     return state_json.select(F.explode("log_history").alias("h")).select("h.*")

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.operators import features as FE
 from vellum.operators import scoring as SC
 from vellum.operators import tokens as TK
-from vellum.operators.common import key_hash, reuse
+from vellum.operators.common import checked_broadcast, key_hash, reuse
 from vellum.operators.textops import map_labels
 from vellum.plans import sqlgen as S
 from vellum.plans.inputs import table
@@ -24,7 +24,7 @@ from vellum.plans.inputs import table
 # --- fixed values: class list and vocabulary settings of the checked model ---------
 LANGS = ("en", "fr", "de", "es")
 K = len(LANGS)
-MIN_DF, MAX_DF, MAX_FEATURES = 5, 0.9, 2000
+MIN_DF, MAX_DF = 5, 0.9
 TRAIN_SHARE = 80
 BATCH = 25
 BETA2 = 0.999
@@ -55,11 +55,11 @@ def lang_model(spark: SparkSession, sf_dir: str) -> LangModel:
     d = TK.with_tokens(d, "text", extra=False)
     docs = d.select("doc_id", "label", "is_train", "source", "n_chars")
     counts = reuse(TK.term_counts(d, "tokens", ("doc_id", "label", "is_train"), "term"))
-    vocab = reuse(FE.count_vectorise(counts, "doc_id", "term", "n", MIN_DF, MAX_DF, MAX_FEATURES, n_docs)
+    vocab = reuse(FE.count_vectorise(counts, "doc_id", "term", "n", MIN_DF, MAX_DF, None, n_docs)
                   .select("term"))
-    kept = counts.join(F.broadcast(vocab), "term", "left_semi")
-    from pyspark.sql import Window
-    features = kept.withColumn("x", F.col("n") / F.sum("n").over(Window.partitionBy("doc_id")))
+    kept = counts.join(checked_broadcast(vocab), "term", "left_semi")
+    # Partitioned by document once; scores, residuals and uncertainty all read this table.
+    features = reuse(kept.withColumn("x", F.col("n") / F.sum("n").over(Window.partitionBy("doc_id"))))
     train = kept.filter("is_train")
     class_counts = train.groupBy(F.col("label").alias("class_no"), "term").agg(F.sum("n").alias("n"))
     class_docs = docs.filter("is_train").groupBy(F.col("label").alias("class_no")).agg(F.count(F.lit(1)).alias("docs"))
@@ -79,8 +79,7 @@ d AS (SELECT doc_id, CASE lang {cases} END AS label, ({S.key_hash('doc_id')} % 1
              source, n_chars, {S.filtered_tokens('text')} AS f FROM documents),
 cnt AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(f) AS term FROM d) GROUP BY doc_id, term),
 st AS (SELECT term, count(*) AS df, sum(n) AS cf FROM cnt GROUP BY term),
-vocab AS (SELECT term FROM st WHERE df >= {MIN_DF} AND df <= {MAX_DF} * (SELECT count(*) FROM documents)
-          ORDER BY cf DESC, term LIMIT {MAX_FEATURES}),
+vocab AS (SELECT term FROM st WHERE df >= {MIN_DF} AND df <= {MAX_DF} * (SELECT count(*) FROM documents)),
 feat AS (SELECT cnt.doc_id, cnt.term, cnt.n, cnt.n / sum(cnt.n) OVER (PARTITION BY cnt.doc_id) AS x,
                 d.label, d.is_train
          FROM cnt JOIN d USING (doc_id) WHERE cnt.term IN (SELECT term FROM vocab)),

@@ -120,11 +120,18 @@ def q_mc(spark, sf_dir):
                                      F.round("mc_std", 6).alias("mc_std"))
 
 
+# Column names of the output format, written out for the check.
+MC_NAMES = ("1: en", "2: fr", "3: de", "4: es")
+PROB_COLUMNS = ("Probability Distribution 1: en", "Probability Distribution 2: fr",
+                "Probability Distribution 3: de", "Probability Distribution 4: es")
+
+
 def _mc_cols_sql():
     parts = []
-    for k, lang in enumerate(LANGS):
-        parts.append(f'round(max(CASE WHEN class_no = {k} THEN mc_mean END), 6) AS "MC Mean Probability Dist {k}: {lang}"')
-        parts.append(f'round(max(CASE WHEN class_no = {k} THEN mc_std END), 6) AS "MC Std Probability Dist {k}: {lang}"')
+    for k in range(K):
+        name = MC_NAMES[k]
+        parts.append(f'round(max(CASE WHEN class_no = {k} THEN mc_mean END), 6) AS "MC Mean Probability Dist {name}"')
+        parts.append(f'round(max(CASE WHEN class_no = {k} THEN mc_std END), 6) AS "MC Std Probability Dist {name}"')
     return _MC_SQL + "\nSELECT doc_id, " + ", ".join(parts) + " FROM mc GROUP BY doc_id"
 
 
@@ -270,7 +277,7 @@ def q_finetune(spark, sf_dir):
 
 # ---------------------------------------------------------------- wide / long prediction tables
 def _prob_cols():
-    return [f"Probability Distribution {k}: {lang}" for k, lang in enumerate(LANGS)]
+    return list(PROB_COLUMNS)
 
 
 _PIVOT_SQL = W + ",\npiv AS (SELECT doc_id, " + ", ".join(
@@ -282,8 +289,8 @@ _PIVOT_SQL = W + ",\npiv AS (SELECT doc_id, " + ", ".join(
 def q_pivot(spark, sf_dir):
     from vellum.operators.tables import pivot_predictions
     _, sc = _scored(spark, sf_dir)
-    wide = pivot_predictions(SC.long_probs(sc), list(LANGS))
-    return wide.select("doc_id", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in _prob_cols()])
+    wide = pivot_predictions(sc, list(LANGS))
+    return wide.select("doc_id", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in wide.columns[1:]])
 
 
 @register("melt_predictions", _PIVOT_SQL + """,
@@ -294,8 +301,8 @@ SELECT doc_id, column_name, 'probability distribution' AS pred_type,
 def q_melt(spark, sf_dir):
     from vellum.operators.tables import melt_predictions, pivot_predictions
     _, sc = _scored(spark, sf_dir)
-    wide = pivot_predictions(SC.long_probs(sc), list(LANGS))
-    wide = wide.select("doc_id", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in _prob_cols()])
+    wide = pivot_predictions(sc, list(LANGS))
+    wide = wide.select("doc_id", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in wide.columns[1:]])
     return melt_predictions(wide, id_cols=["doc_id"]).select("doc_id", "column_name", "pred_type", "number", "word", "value")
 
 
@@ -415,7 +422,7 @@ def q_feature_removal(spark, sf_dir):
     from vellum.operators import ablation as AB
     m, sc = _scored(spark, sf_dir)
     test = m.docs.filter(~F.col("is_train")).select("doc_id", "label")
-    stats = m.counts.join(F.broadcast(m.vocab), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("cf"))
+    stats = m.counts.join(m.vocab, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("cf"))
     terms = [r[0] for r in stats.orderBy(F.desc("cf"), "term").limit(REMOVE_M).collect()]   # M names
     feats = m.features.filter(~F.col("is_train")).select("doc_id", "term", "x")
     r = AB.f1_feature_removal(feats, sc, test, m.weights, terms, K)

@@ -14,6 +14,7 @@ from vellum.plans import sqlgen as S
 from vellum.plans.inputs import table
 from vellum.plans.model_fixture import K, LANGS, lang_model
 from vellum.plans.registry import register
+from vellum.sources import documents as SD
 
 
 def _doc_tokens(spark, sf_dir, extra=True):
@@ -96,7 +97,7 @@ def q_reduce_emb(spark, sf_dir):
 @register("lda_fit")
 def q_lda(spark, sf_dir):
     d = _doc_tokens(spark, sf_dir)
-    _, counted = MD.count_vectors(d, "tokens", vocab_size=2000, out_col="counts")
+    _, counted = MD.count_vectors(d, "tokens", out_col="counts")
     model = MD.lda_fit(counted, k=10, seed=42, max_iter=10)
     topics = model.describeTopics(10)
     return topics.select(F.col("topic").cast("int").alias("topic"), "termIndices", "termWeights")
@@ -104,7 +105,7 @@ def q_lda(spark, sf_dir):
 
 def _lda_matrix(spark, sf_dir, k=10):
     d = _doc_tokens(spark, sf_dir)
-    _, counted = MD.count_vectors(d, "tokens", vocab_size=2000, out_col="counts")
+    _, counted = MD.count_vectors(d, "tokens", out_col="counts")
     counted = counted.persist()
     model = MD.lda_fit(counted, k=k, seed=42, max_iter=10)
     return MD.lda_topic_matrix(model, counted, k)
@@ -127,7 +128,7 @@ def q_pca_lda(spark, sf_dir):
 def _tfidf_vectors(spark, sf_dir):
     d = _doc_tokens(spark, sf_dir)
     d = d.withColumn("terms", TK.ngrams("tokens", 1, 2))
-    return MD.tfidf_vectors(d, "terms", vocab_size=1000, min_df=0.02, max_df=0.57).persist()
+    return MD.tfidf_vectors(d, "terms", min_df=0.02, max_df=0.57).persist()
 
 
 @register("pca_tfidf")
@@ -180,50 +181,48 @@ def q_topic_map(spark, sf_dir):
 
 @register("reduce_topics")
 def q_reduce_topics(spark, sf_dir):
-    from vellum.plans.q_topics import _topic_docs
+    from vellum.plans.q_topics import _assigned, _topic_docs
     cc = TP.class_term_counts(_topic_docs(spark, sf_dir), "tokens")
-    return TP.reduce_topics(cc, 10)
+    return TP.reduce_topics(cc, 10, sizes=TP.topic_sizes(_assigned(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- training
 @register("train_classifier")
 def q_train_clf(spark, sf_dir):
+    """Fit on the training split, predict the other."""
     t = _tfidf_vectors(spark, sf_dir)
-    lab = TO.map_labels(t, "lang", {lang: i for i, lang in enumerate(LANGS)})
-    model = TR.train_classifier(lab, "features", "label", max_iter=30)
-    out = model.transform(lab)
+    lab = SD.split_documents(TO.map_labels(t, "lang", {lang: i for i, lang in enumerate(LANGS)}))
+    model = TR.train_classifier(lab.filter("split = 'train'"), "features", "label", max_iter=30)
+    out = model.transform(lab.filter("split = 'test'"))
     return out.select("doc_id", "label", F.col("prediction").cast("int").alias("pred"),
                       MD.vector_to_array("probability").alias("probs"))
 
 
 @register("train_regressor")
 def q_train_reg(spark, sf_dir):
+    """Fit on the training split, predict the other."""
     t = _tfidf_vectors(spark, sf_dir)
     ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("value").alias("y"))
-    df = t.join(ev, "doc_id")
-    model = TR.train_regressor(df, "features", "y", max_iter=30)
-    return model.transform(df).select("doc_id", "y", "prediction")
+    df = SD.split_documents(t.join(ev, "doc_id"))
+    model = TR.train_regressor(df.filter("split = 'train'"), "features", "y", max_iter=30)
+    return model.transform(df.filter("split = 'test'")).select("doc_id", "y", "prediction")
 
 
 def _fadam(spark, sf_dir):
     m = lang_model(spark, sf_dir)
-    terms = sorted(r[0] for r in m.vocab.collect())       # vocabulary: bounded by max_features
-    feats = m.features.select("doc_id", "term", "x").persist()
-    labels = m.docs.select("doc_id", "label")
-    train = m.docs.filter("is_train").select("doc_id")
-    test = m.docs.filter(~F.col("is_train")).select("doc_id")
-    return m, terms, feats, labels, TR.train_fisher_adam(feats, labels, terms, K, train, test, lr=0.5,
-                                                         epochs=3, n_batches=4)
+    feats = m.features.select("doc_id", "term", "x")
+    return TR.train_fisher_adam(feats, m.docs.select("doc_id", "label"), m.vocab, K, m.docs.filter("is_train").select("doc_id"),
+                                m.docs.filter(~F.col("is_train")).select("doc_id"), epochs=3, n_batches=4)
 
 
 @register("train_fisher_adam")
 def q_fadam(spark, sf_dir):
-    _, _, _, _, (W, b, log_df, fims, _) = _fadam(spark, sf_dir)
-    return log_df
+    return _fadam(spark, sf_dir)[0]
 
 
 @register("best_epoch")
 def q_best_epoch(spark, sf_dir):
-    _, _, _, _, (W, b, log_df, fims, _) = _fadam(spark, sf_dir)
-    return TR.best_epoch(log_df)
-
+    """Size of the best epoch's model, with its epoch and eval loss."""
+    log, states = _fadam(spark, sf_dir)
+    w, _ = TR.model_tables(TR.best_state(log, states))
+    return TR.best_epoch(log).crossJoin(w.agg(F.count(F.lit(1)).alias("n_weights"), F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("norm")))
