@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
-from vellum.llm import language_id, quality_classifier, secret_scan
+from vellum.llm import language_id, lineage, quality_classifier, secret_scan
 from vellum.llm import queries as Q
 from vellum.llm import textspans as ts
 
@@ -114,8 +114,13 @@ def leaks(spark):
     return df.withColumn("source", F.lit("src1")).withColumn("value", F.lit("v")).withColumn("label", F.lit(0)).withColumn("odd name", F.lit(1))
 
 
-def test_forest_finds_the_secrets_and_spans(leaks):
-    found = secret_scan.scan(leaks).collect()
+@pytest.fixture(scope="module")
+def scanned(leaks):
+    return lineage.materialise(secret_scan.scan(leaks), "scanned")
+
+
+def test_forest_finds_the_secrets_and_spans(leaks, scanned):
+    found = scanned.collect()
     texts = {r["doc_id"]: r["text"] for r in leaks.collect()}
     for r in found:
         assert texts[r["doc_id"]][r["start"]:r["start"] + len(r["value"])] == r["value"]
@@ -125,8 +130,8 @@ def test_forest_finds_the_secrets_and_spans(leaks):
     assert secrets == expected
 
 
-def test_redaction_masks_only_the_secrets(leaks):
-    out = secret_scan.redact(leaks, secret_scan.scan(leaks))
+def test_redaction_masks_only_the_secrets(leaks, scanned):
+    out = secret_scan.redact(leaks, scanned)
     assert out.columns == leaks.columns and out.count() == leaks.count()
     rows = {r["doc_id"]: r["text"] for r in out.collect()}
     assert rows[3] == "thon eren [SECRET] of the and ermore 4900000000000003 words"
@@ -138,11 +143,14 @@ def test_redaction_masks_only_the_secrets(leaks):
 def test_scan_without_candidates_or_with_one_class(empty_docs, odd_docs, leaks):
     assert secret_scan.scan(empty_docs).count() == 0
     plain = leaks.filter("doc_id = 302")
-    assert secret_scan.scan(plain).count() == 0 and secret_scan.redact(plain, secret_scan.scan(plain)).collect()[0]["text"] == "no candidate here"
+    none = lineage.materialise(secret_scan.scan(plain), "none")
+    assert none.count() == 0 and secret_scan.redact(plain, none).collect()[0]["text"] == "no candidate here"
     numbers = leaks.sparkSession.createDataFrame([(1, "call 4900000000000003 or 4200000000000001")], "doc_id long, text string")
     assert {(r["score"], r["is_secret"]) for r in secret_scan.scan(numbers).collect()} == {(0.0, False)}
 
 
-def test_scan_stays_in_the_jvm(leaks):
-    plan = secret_scan.redact(leaks, secret_scan.scan(leaks))._jdf.queryExecution().toString()
+def test_scan_stays_in_the_jvm(leaks, scanned):
+    rows = secret_scan.candidates(leaks)
+    plans = [x._jdf.queryExecution().toString() for x in (secret_scan.redact(leaks, scanned), rows, secret_scan.Scanner(["the"], [0.0] * 676, {"a": 1.0}).features(rows))]
+    plan = "".join(plans)
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))

@@ -53,7 +53,10 @@ def candidates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path
                         lambda v, c: F.struct(v.alias("value"), F.right(c["a"], F.lit(CONTEXT)).alias("before"), F.left(c["b"], F.lit(CONTEXT)).alias("after"), F.length(c["a"]).alias("gap")))
     one = (rows.select("id", "path", F.xxhash64("t").alias("text_key"), "t", parts.alias("parts"))
            .select("id", "path", "text_key", F.posexplode_outer(zipped).alias("place", "c")).filter("c IS NOT NULL").select("id", "path", "text_key", "place", "c.*"))
-    w = Window.partitionBy("id", "text_key", "path").orderBy("place", "gap").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Repeated rows have the same candidates, which count once.
+    keys = ["id", "text_key", "path", "place"]
+    one = one.groupBy(*keys).agg(F.min(F.struct("value", "before", "after", "gap")).alias("c")).select(*keys, "c.*")
+    w = Window.partitionBy("id", "text_key", "path").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size = F.length("value")
     return one.withColumn("start", F.sum(F.col("gap") + size).over(w) - size).drop("gap")
 
@@ -88,7 +91,7 @@ class Scanner:
             return F.size(F.regexp_extract_all(v, F.lit(pattern), 0)) / n
 
         table = F.array(*[F.lit(p) for p in self.pairs])
-        letters = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2))), lambda p: p.rlike("^[a-z]{2}$"))
+        letters = F.col("_letters")  # all letter pairs, in one pass over the candidate
         total = F.aggregate(letters, F.lit(0.0), lambda acc, p: acc + F.element_at(table, (F.ascii(p) - 97) * 26 + F.ascii(F.substring(p, 2, 1)) - 96))
         word = F.regexp_extract(F.lower("before"), r"([\p{L}_]+)[^\p{L}_]*$", 1)
         odds = F.coalesce(F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in self.neighbours]), F.array(*[F.lit(x) for x in self.neighbours.values()])), word), F.lit(0.0)) if self.neighbours else F.lit(0.0)
@@ -107,7 +110,8 @@ class Scanner:
             "quoted": (F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")).cast("int"),
             "in_address": (F.col("before").rlike(r"[@.]$") | F.col("after").rlike(r"^(@|\.[A-Za-z0-9])")).cast("int"),
         }
-        return rows.withColumns({f"f_{k}": c.cast("double") for k, c in columns.items()})
+        rows = rows.withColumn("_letters", F.regexp_extract_all(low, F.lit("(?=([a-z]{2}))"), 1))
+        return rows.withColumns({f"f_{k}": c.cast("double") for k, c in columns.items()}).drop("_letters")
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Add ``score`` (share of trees for a secret) and ``is_secret``."""
@@ -159,7 +163,7 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str
 
     Defined results: null and empty texts have no candidate; a text without a verdict above
     ``THRESHOLD`` has findings but no secret; repeated rows (same id, text and path) share their
-    findings row by row; where the labels hold one class only, every candidate gets that class'
+    findings, returned once; where the labels hold one class only, every candidate gets that class'
     share as score; further columns are ignored.
     """
     rows = materialise(candidates(docs, text, id_col, path), "candidates")
