@@ -96,6 +96,7 @@ def forward_backward(evidence: np.ndarray, begins: np.ndarray, transition: np.nd
     e[:n] = evidence
     fresh = np.zeros(blocks * _BLOCK, bool)
     fresh[:n] = begins
+    fresh[n:] = True  # what fills the last block tells nothing about the words before it
     e, fresh = e.reshape(blocks, _BLOCK, labels), fresh.reshape(blocks, _BLOCK)
     restart = np.repeat(initial[None, :], labels, 0)
     step = np.where(fresh[:, :, None, None], restart, transition)  # matrix into each word
