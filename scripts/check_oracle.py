@@ -28,8 +28,8 @@ def main():
             ok, msg = compare(spark, con, name, sf_dir)
         except Exception as e:  # noqa: BLE001
             ok, msg = False, f"error {type(e).__name__}: {str(e)[:300]}"
-        bad += not ok
-        print(f"{'OK  ' if ok else 'FAIL'} {name}: {msg} {time.time() - t0:.1f}s", flush=True)
+        bad += ok is False
+        print(f"{'----' if ok is None else 'OK  ' if ok else 'FAIL'} {name}: {msg} {time.time() - t0:.1f}s", flush=True)
     print("bad:", bad)
     return bad
 

@@ -24,4 +24,6 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     from vellum.plans.verify import compare
     ok, msg = compare(spark, con, name, SF_SMALL)
+    if ok is None:
+        pytest.skip(msg)
     assert ok, msg
