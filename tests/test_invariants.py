@@ -243,3 +243,33 @@ def test_lsh_pairs_are_a_subset_of_exact_pairs(spark):
     assert approx <= exact and len(exact) > 0
     d = MD.density_clusters(e, "vec_id", "embedding", 2, 1.2, exact_block_rows=None)
     assert d.count() == e.count()
+
+
+def test_variance_by_group_default_names(spark):
+    from vellum.operators import evaluate as EV
+    var = spark.createDataFrame([("weight", 0, "a", 10.0), ("weight", 1, "a", 1000.0), ("bias", 0, "", 100.0), ("bias", 1, "", 0.0)],
+                                "param string, class_no int, term string, variance double")
+    rows = {(r["param"], r["class_no"]): r for r in EV.variance_by_group(var).collect()}
+    assert rows[("bias", 0)]["class_name"] == "Bias_1" and rows[("bias", 1)]["class_name"] == "Bias_2"
+    assert rows[("bias", 1)]["log10_floored"] == -15 and abs(rows[("weight", -1)]["log10_mean"] - np.log10(505)) < 1e-9
+    assert EV.variance_by_group(var, ["neg", "pos"]).filter("class_no = 1").first()["class_name"] == "pos"
+
+
+def test_finetune_results_without_uncertainty(spark):
+    from vellum.operators import scoring as SC
+    gold = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, gold_label int")
+    scored = spark.createDataFrame([(1, [0.9, 0.1]), (2, [0.2, 0.8]), (3, [0.5, 0.5])], "doc_id long, probs array<double>")
+    unc = spark.createDataFrame([(1, [0.01, 0.02])], "doc_id long, variance array<double>")
+    rows = {r["doc_id"]: r for r in SC.finetune_results(gold, scored, unc).collect()}
+    assert rows[1]["diamond_uncertainty"] == [0.01, 0.02] and rows[2]["diamond_uncertainty"] is None and len(rows) == 2
+    assert all(r["diamond_uncertainty"] is None for r in SC.finetune_results(gold, scored).collect())
+
+
+def test_training_table_samples_maps_and_encodes(spark):
+    from vellum.operators import textops as TO
+    df = spark.createDataFrame([(i, f"word{'ab'[i % 2]} text @user", "pos" if i % 2 else "neg") for i in range(20)], "doc_id long, t string, lab string")
+    vocab = spark.createDataFrame([("text", 0)], "term string, token_id long")
+    out = TO.prepare_training_table(df, {"text_field": "t", "label_field": "lab"}, {"neg": 0, "pos": 1}, vocab, n=8, max_len=4)
+    rows = out.collect()
+    assert len(rows) == 8 and out.columns == ["doc_id", "label", "split", "clean_text", "input_ids", "attention_mask"]
+    assert all(r["label"] == r["doc_id"] % 2 and len(r["input_ids"]) == 4 and 1 in r["input_ids"] and "@" not in r["clean_text"] for r in rows)

@@ -117,6 +117,24 @@ def ranked_parameters(variance: DataFrame, order=("class_no", "term")) -> DataFr
     return global_index(variance, [F.col("variance")] + [F.col(c) for c in order], "rank")
 
 
+def variance_by_group(variance: DataFrame, labels: list[str] | None = None, floor: float = 1e-15) -> DataFrame:
+    """Mean parameter variance on a log10 scale: ``param, class_no, class_name, log10_mean, log10_floored``.
+
+    One row per parameter tensor (class −1, ``all``) and one per class bias, named by
+    ``labels`` or ``Bias_i`` (from 1).
+    """
+    def logs(df: DataFrame) -> DataFrame:
+        return df.select("param", "class_no", "class_name", F.log10("mv").alias("log10_mean"),
+                         F.log10(F.greatest(F.lit(floor), F.col("mv"))).alias("log10_floored"))
+    tensors = variance.groupBy("param").agg(F.avg("variance").alias("mv")).withColumn("class_no", F.lit(-1)).withColumn("class_name", F.lit("all"))
+    number = (F.col("class_no") + 1).cast("string")
+    name = F.concat(F.lit("Bias_"), number)
+    if labels:
+        name = F.coalesce(F.try_element_at(F.array(*[F.lit(x) for x in labels]), F.col("class_no") + 1), name)
+    bias = variance.filter(F.col("param") == "bias").select("param", "class_no", name.alias("class_name"), F.col("variance").alias("mv"))
+    return logs(tensors.select("param", "class_no", "class_name", "mv")).unionByName(logs(bias))
+
+
 def histogram(values: DataFrame, value_col: str = "variance", bins: int = 50, keys=()) -> DataFrame:
     """Equal-width bins over [min, max] (last bin closed) per ``keys``: ``(keys…, bin, lo, hi, n)``.
     Empty bins are omitted."""

@@ -276,6 +276,17 @@ def softmax_uncertainty(features: DataFrame, weights: DataFrame, bias: DataFrame
     return out.select("doc_id", "probs", var.alias("variance"))
 
 
+def finetune_results(gold: DataFrame, scored: DataFrame, uncertainty: DataFrame | None = None) -> DataFrame:
+    """``doc_id, gold_label, prob_distribution, diamond_uncertainty`` (arrays) of the scored rows of ``gold``.
+
+    A row without a stored uncertainty, or a run without any, has a null one.
+    """
+    out = gold.select("doc_id", "gold_label").join(scored.select("doc_id", F.col("probs").alias("prob_distribution")), "doc_id")
+    if uncertainty is None:
+        return out.withColumn("diamond_uncertainty", F.lit(None).cast("array<double>"))
+    return out.join(uncertainty.select("doc_id", F.col("variance").alias("diamond_uncertainty")), "doc_id", "left")
+
+
 def probability_interval(unc: DataFrame) -> DataFrame:
     """Per document and class: ``std = sqrt(max(var, 1e-15))``, mean ± 2 std; per
     document the shared range [min lo, max hi] widened by 10 % (−0.5…1.5 when flat)."""

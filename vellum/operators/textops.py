@@ -63,6 +63,27 @@ def unmapped_labels(df: DataFrame, label_col: str, mapping: dict) -> int:
         F.col("_m").isNull() & F.col(label_col).isNotNull()).count()
 
 
+def prepare_training_table(df: DataFrame, cfg: dict, mapping: dict | None = None, vocab: DataFrame | None = None, n: int | None = None,
+                           train_share: int = 80, seed: int = 42, max_len: int = 128, id_col: str = "doc_id") -> DataFrame:
+    """A table ready for training: ``doc_id, label, split, clean_text[, input_ids, attention_mask]``.
+
+    Takes the text (and label) column named by the configuration, a sample of ``n`` rows if
+    asked for, the table's own ``split`` or one by key hash, cleans the text, maps the labels,
+    and encodes to ids with a mask where a vocabulary is given.
+    """
+    from vellum.functions import text as T
+    from vellum.operators import tokens as TK
+    from vellum.sources import documents as SD
+    text, label = cfg["text_field"], cfg.get("label_field") or "label"
+    rows = SD.sample_documents(df, n, True, seed, id_col)
+    rows = rows if "split" in rows.columns else SD.split_documents(rows, train_share, id_col)
+    out = map_labels(rows, label, mapping).select(F.col(id_col).alias("doc_id"), F.col("label").cast("int").alias("label"), "split",
+                                                  T.clean_social(text).alias("clean_text"))
+    if vocab is None:
+        return out
+    return out.join(encode_fixed_length(TK.with_tokens(out, "clean_text"), vocab, max_len), "doc_id")
+
+
 # ---------------------------------------------------------------- encoding
 def encode_fixed_length(tokens: DataFrame, vocab: DataFrame, max_len: int = 128,
                         token_col: str = "tokens", id_col: str = "doc_id") -> DataFrame:

@@ -177,7 +177,4 @@ WITH d AS (SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de'
            FROM documents)
 SELECT doc_id, label, split, {_sql_clean_social('text')} AS clean_text FROM d""")
 def q_prepare(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    d = SD.split_documents(d)
-    d = TO.map_labels(d, "lang", {"en": 0, "fr": 1, "de": 2, "es": 3})
-    return d.select("doc_id", F.col("label").cast("int"), "split", T.clean_social("text").alias("clean_text"))
+    return TO.prepare_training_table(table(spark, sf_dir, "documents"), {"text_field": "text", "label_field": "lang"}, {"en": 0, "fr": 1, "de": 2, "es": 3})

@@ -270,9 +270,9 @@ def q_finetune(spark, sf_dir):
     m, u = uncertainty_table(spark, sf_dir)
     test = m.docs.filter(~F.col("is_train")).select("doc_id", F.col("label").alias("gold_label"))
     fmt = lambda c, f: F.array_join(F.transform(c, lambda x: F.format_string(f, x)), ",")
-    return (test.join(u, "doc_id")
-                .select("doc_id", "gold_label", fmt(F.col("probs"), "%.6f").alias("prob_distribution"),
-                        fmt(F.col("variance"), "%.6e").alias("uncertainty_distribution")))
+    rows = SC.finetune_results(test, u.select("doc_id", "probs"), u.select("doc_id", "variance"))
+    return rows.select("doc_id", "gold_label", fmt(F.col("prob_distribution"), "%.6f").alias("prob_distribution"),
+                       fmt(F.col("diamond_uncertainty"), "%.6e").alias("uncertainty_distribution"))
 
 
 # ---------------------------------------------------------------- wide / long prediction tables
@@ -476,14 +476,8 @@ SELECT 'bias' AS param, class_no, {_class_name_sql()} AS class_name, round(log10
        round(log10(greatest(1e-15, variance)), 6) FROM var WHERE param = 'bias'""")
 def q_var_group(spark, sf_dir):
     _, _, var = fisher_tables(spark, sf_dir)
-    g = var.groupBy("param").agg(F.avg("variance").alias("mv")).select(
-        "param", F.lit(-1).alias("class_no"), F.lit("all").alias("class_name"),
-        F.round(F.log10("mv"), 6).alias("log10_mean"), F.round(F.log10(F.greatest(F.lit(1e-15), "mv")), 6).alias("log10_floored"))
-    names = F.element_at(F.array(*[F.lit(x) for x in LANGS]), F.col("class_no") + 1)
-    b = var.filter(F.col("param") == "bias").select(
-        "param", "class_no", names.alias("class_name"), F.round(F.log10("variance"), 6).alias("log10_mean"),
-        F.round(F.log10(F.greatest(F.lit(1e-15), "variance")), 6).alias("log10_floored"))
-    return g.unionByName(b)
+    g = EV.variance_by_group(var, list(LANGS))
+    return g.select("param", "class_no", "class_name", *[F.round(c, 6).alias(c) for c in ("log10_mean", "log10_floored")])
 
 
 def _hist_sql(value: str, bins: int) -> str:
