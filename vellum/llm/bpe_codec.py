@@ -14,6 +14,7 @@ a third of all text is one entry per block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,6 @@ from vellum.llm import textspans as ts
 from vellum.llm.lineage import materialise
 
 SHARD_ROWS = 2048  # documents per shard of the word table
-_PACK = 8192       # words given to the tokenizer at once
 
 
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -116,14 +116,9 @@ def _encode_shard(path: str):
         lists = group["words"].combine_chunks()
         coded = lists.flatten().dictionary_encode()
         spelled = coded.dictionary.to_pylist()
-        found: list[np.ndarray] = []
-        for lo in range(0, len(spelled), _PACK):
-            found += pt.encode_words(vocab, spelled[lo:lo + _PACK])
-        for i, word in enumerate(spelled):
-            if word in vocab.special:
-                found[i] = np.array([vocab.special[word]], np.uint32)
-        size = np.array([len(f) for f in found], np.int64)
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        found = pt.encode_words(vocab, spelled)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
         begin = np.cumsum(size) - size
         index = np.asarray(coded.indices).astype(np.int64)
         out_size = size[index]

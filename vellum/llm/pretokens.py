@@ -161,21 +161,26 @@ class Vocabulary:
 
     def pieces(self) -> list[tuple[int, bytes]]:
         """(id, bytes) of every token."""
-        # Byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        others = [b for b in range(256) if b not in set(plain)]
-        byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+        byte_of = {c: b for b, c in byte_letters().items()}
         out = {i: t for t, i in self.special.items()}
         out.update({i: bytes(byte_of[c] for c in token) for token, i in self.vocab.items() if i not in out})
         return sorted(out.items())
 
 
+@lru_cache(maxsize=1)
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode_words(vocab: Vocabulary, spelled: list[bytes]) -> list[np.ndarray]:
-    """Ids of single words (no special tokens) by the tokenizers library."""
-    found = vocab.tokenizer.encode_batch_fast([w.decode("utf-8") for w in spelled], add_special_tokens=False)
-    return [np.array(e.ids, np.uint32) for e in found]
+def encode_words(vocab: Vocabulary, spelled: list[bytes]) -> list[list[int]]:
+    """Ids of single words, special tokens included, by the tokenizers library's BPE model."""
+    letters, merge, special = byte_letters(), vocab.tokenizer.model.tokenize, vocab.special
+    return [[special[w]] if w in special else [t.id for t in merge(w.decode("latin-1").translate(letters))] for w in spelled]
