@@ -91,8 +91,11 @@ def _words_by_shard(path: str, shards: int):
                 b = _Block(part, batch.column(0).slice(part.lo, part.n), vocab, shards)
                 if len(b.words):
                     first = np.flatnonzero(np.append(True, b.shard[1:] != b.shard[:-1]))
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(b.words)), pa.int32()), b.words)
-                    yield pa.RecordBatch.from_arrays([pa.array(b.shard[first]), pa.array(np.full(len(first), b.name)), lists], names=["shard", "block", "words"])
+                    last = np.append(first[1:], len(b.words))
+                    data, off = ts.utf8_buffers(b.words)
+                    spelled = [zstandard.compress(data[off[i]:off[j]].tobytes(), 3) for i, j in zip(first, last, strict=True)]
+                    sizes = [_pack(np.diff(off[i:j + 1])) for i, j in zip(first, last, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(b.shard[first]), pa.array(np.full(len(first), b.name)), pa.array(spelled), pa.array(sizes)], names=["shard", "block", "words", "lengths"])
     return run
 
 
@@ -113,8 +116,10 @@ def _encode_shard(path: str):
     """Ids of a shard's words: each distinct word encoded once, returned to every block that holds it."""
     def run(group: pa.Table) -> pa.Table:
         vocab = pt.vocabulary(path)
-        lists = group["words"].combine_chunks()
-        coded = lists.flatten().dictionary_encode()
+        lengths = [_unpack(x) for x in group["lengths"].to_pylist()]
+        text = b"".join(map(zstandard.decompress, group["words"].to_pylist()))
+        bounds = np.append(0, np.cumsum(np.concatenate(lengths)))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(text)]).dictionary_encode()
         spelled = coded.dictionary.to_pylist()
         found = pt.encode_words(vocab, spelled)
         size = np.fromiter(map(len, found), np.int64, len(found))
@@ -123,9 +128,9 @@ def _encode_shard(path: str):
         index = np.asarray(coded.indices).astype(np.int64)
         out_size = size[index]
         ids = flat[ragged(begin[index], out_size)].astype("<u4")
-        per_row = np.append(0, np.cumsum(np.asarray(lists.value_lengths())))
+        per_row = np.append(0, np.cumsum([len(x) for x in lengths]))
         ends = np.append(0, np.cumsum(out_size))[per_row]
-        rows = range(len(lists))
+        rows = range(len(lengths))
         return pa.table({
             "block": group["block"], "shard": group["shard"],
             "sizes": pa.array([_pack(out_size[per_row[i]:per_row[i + 1]]) for i in rows], pa.binary()),
@@ -185,10 +190,11 @@ def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     shards = max(16, src.count() // shard_rows)
     id_type = src.schema["id"].dataType
-    words = src.mapInArrow(_words_by_shard(tokenizer, shards), "shard int, block long, words array<binary>")
+    words = src.mapInArrow(_words_by_shard(tokenizer, shards), "shard int, block long, words binary, lengths binary")
     coded = materialise(words.groupBy("shard").applyInArrow(_encode_shard(tokenizer), "block long, shard int, sizes binary, tokens binary, used array<int>"), "words")
     vocab = F.broadcast(pieces(docs.sparkSession, tokenizer))  # bounded by the vocabulary
-    spelled = coded.select("block", F.explode("used").alias("id")).distinct().join(vocab, "id")
+    used = coded.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("used"))).alias("used"))
+    spelled = used.select("block", F.explode("used").alias("id")).join(vocab, "id")
     parts = coded.select("block", "shard", "sizes", "tokens").unionByName(spelled, allowMissingColumns=True)
     blocks = src.mapInArrow(_codes_by_block(tokenizer, shards), T.StructType([
         T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("counts", T.ArrayType(T.LongType())),
