@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are runs of key-like characters with a digit, found by one regular expression;
-splitting the text by the same expression gives the words around each. Features describe a
+Candidates are runs of key-like characters and every value assigned to a credential name,
+found by one regular expression; splitting the text by the same expression gives the words around each. Features describe a
 candidate's length, its character transitions (changes of class, and how likely its letter
 pairs are in the corpus' words), its coverage by dictionary words, whether it is part of a
 path or the document stands under a test path, and its neighbouring words. A random forest
@@ -26,7 +26,12 @@ from pyspark.sql import functions as F
 
 from vellum.llm.lineage import materialise
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{12,}+={0,2}"
+_NAME = r"(?i:password|passwd|passphrase|pwd|token|secret(?:[_-]?access)?(?:[_-]?key)?|api[_-]?key|access[_-]?key)"
+_ASSIGNED = _NAME + r"""["']?\s{0,3}[=:]\s{0,3}["']?"""
+_RUN = r"[A-Za-z0-9_+/\-]"
+#: The value of a credential name (in quotes: up to the closing one); else a run that is no such name itself.
+CANDIDATE = (rf"""(?<=[=:]\s{{0,3}}["']?)(?<={_ASSIGNED})(?:(?<=["'])[^"'\r\n]{{1,200}}(?=["'])|[^\s"'&<>]*[^\s"'&<>.,;)\]}}])"""
+             rf"""|(?<!{_RUN})(?!{_RUN}*{_NAME}["']?\s{{0,3}}[=:]){_RUN}{{12,}}+={{0,2}}""")
 CONTEXT = 48            # characters kept on either side
 MAX_DOCS, MAX_TRAIN = 2000, 8000
 MAX_DICTIONARY, MAX_NEIGHBOURS = 300, 200
@@ -65,12 +70,21 @@ def labelled_by_format(rows: DataFrame) -> DataFrame:
     """Label candidates by unmistakable formats: the labelled findings of the production query.
 
     1: an access key id (``AKIA`` and 16 capitals or digits), or a value assigned to a name like
-    password, token, secret or api key. 0: everything else (card and phone numbers, ids,
-    parts of addresses and paths).
+    password, token, secret or api key (after a colon, as in prose, only one with a digit or a
+    sign, in quotes, or of 12 characters). 0: numbers, words, parts of addresses and paths, fill
+    of one character. Null: any other format, which may be a key or not.
     """
-    key = F.col("value").rlike(r"^AKIA[0-9A-Z]{16}$")
-    assigned = F.col("before").rlike(r"""(?i)(?:password|passwd|pwd|token|secret|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?$""")
-    return rows.withColumn("label", F.when(key | assigned, 1.0).otherwise(0.0))
+    v, before = F.col("value"), F.col("before")
+    key = v.rlike(r"^AKIA[0-9A-Z]{16}$")
+    assigned = before.rlike(_ASSIGNED + "$")
+    sure = before.rlike(r"""[="']\s{0,3}$""") | v.rlike(r"[^A-Za-z]") | (F.length(v) >= 12)
+    number = v.rlike(r"^[0-9+/_\-]+$")
+    word = v.rlike(r"^[_\-/+]*(?:[A-Z]?[a-z]{1,24}|[A-Z]{1,11})(?:[_\-/+]+(?:[A-Z]?[a-z]{1,24}|[A-Z]{1,11}))*[_\-/+]*$")
+    path = v.rlike(r"^/?[a-z_\-]+[0-9]*(?:/[a-z0-9_\-]+)+/?$") | before.rlike(r"(?:://|www\.)\S*$")
+    address = before.rlike(r"@$") | F.col("after").rlike(r"^@")
+    fill = v.rlike(r"(.)\1{15}")
+    return rows.withColumn("label", F.when(key | (assigned & sure), 1.0).when(assigned, F.lit(None).cast("double"))
+                           .when(number | word | path | address | fill, 0.0))
 
 
 @dataclass
