@@ -172,3 +172,13 @@ def test_keys_without_a_digit_and_short_or_odd_values_are_found(spark, leaks):
 def test_unknown_formats_have_no_label(spark):
     docs = spark.createDataFrame([(1, "see q7Zk2Lx9Vb4Nw8Rt5Yp3 here"), (2, "call 4900000000000003"), (3, "aussergewoehnlich")], "doc_id long, text string")
     assert {r["id"]: r["label"] for r in secret_scan.labelled_by_format(secret_scan.candidates(docs)).collect()} == {1: None, 2: 0.0, 3: 0.0}
+
+
+def test_words_are_counted_over_all_documents(spark):
+    name = ["".join("abcdefghij"[int(d)] for d in f"{k:04d}") for k in range(3000)]
+    docs = spark.createDataFrame([(k, f"word {name[k % 1500]} more") for k in range(3000)], "doc_id long, text string")
+    none = spark.createDataFrame([], "value string, before string, after string, path string, label double")
+    scanner = secret_scan.train(docs, none)
+    assert {r["word"] for r in scanner.dictionary.collect()} == {"word", "more", *name[:1500]}
+    rows = spark.createDataFrame([(f"{name[700]}-{name[1400]}-1234", "", "", None), ("kkkkkkkk-1234", "", "", None)], "value string, before string, after string, path string")
+    assert {r["value"]: round(r["f_coverage"], 6) for r in scanner.features(rows).collect()} == {f"{name[700]}-{name[1400]}-1234": round(8 / 14, 6), "kkkkkkkk-1234": 0.0}

@@ -8,8 +8,9 @@ path or the document stands under a test path, and its neighbouring words. A ran
 learns from labelled findings which candidates are secrets. Everything on the path from
 text to verdict is a column expression or MLlib's own transformer, so it runs in the JVM.
 
-Fitted on samples of a documented bound: the letter-pair table, dictionary and neighbour
-table come from ``MAX_DOCS`` documents and ``MAX_TRAIN`` distinct findings, chosen by hash.
+Words and letter pairs are counted over all documents; the dictionary is a table of every word
+in a share ``WORD_SHARE`` of them, joined with the candidates' parts. Only labelled findings are
+sampled: forest and neighbour table come from ``MAX_TRAIN`` distinct ones, chosen by hash.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ _RUN = r"[A-Za-z0-9_+/\-]"
 CANDIDATE = (rf"""(?<=[=:]\s{{0,3}}["']?)(?<={_ASSIGNED})(?:(?<=["'])[^"'\r\n]{{1,200}}(?=["'])|[^\s"'&<>]*[^\s"'&<>.,;)\]}}])"""
              rf"""|(?<!{_RUN})(?!{_RUN}*{_NAME}["']?\s{{0,3}}[=:]){_RUN}{{12,}}+={{0,2}}""")
 CONTEXT = 48            # characters kept on either side
-MAX_DOCS, MAX_TRAIN = 2000, 8000
-MAX_DICTIONARY, MAX_NEIGHBOURS = 300, 200
+MAX_TRAIN, MAX_NEIGHBOURS = 8000, 200
+WORD_SHARE = 1e-4       # of the documents hold a word of the dictionary; two at least
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 _NONE = -8.0            # letter-pair score of a candidate without letter pairs
@@ -91,7 +92,7 @@ def labelled_by_format(rows: DataFrame) -> DataFrame:
 class Scanner:
     """Tables and forest of a fitted scanner; ``prior`` stands in where the labels hold one class."""
 
-    dictionary: list[str]
+    dictionary: list[str] | DataFrame  # column ``word``
     pairs: list[float]
     neighbours: dict[str, float]
     forest: PipelineModel | None = None
@@ -109,13 +110,17 @@ class Scanner:
         total = F.aggregate(letters, F.lit(0.0), lambda acc, p: acc + F.element_at(table, (F.ascii(p) - 97) * 26 + F.ascii(F.substring(p, 2, 1)) - 96))
         word = F.regexp_extract(F.lower("before"), r"([\p{L}_]+)[^\p{L}_]*$", 1)
         odds = F.coalesce(F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in self.neighbours]), F.array(*[F.lit(x) for x in self.neighbours.values()])), word), F.lit(0.0)) if self.neighbours else F.lit(0.0)
-        covered = F.length(F.regexp_replace(low, "|".join(sorted(self.dictionary, key=lambda w: (-len(w), w))), "")) if self.dictionary else n
+        if isinstance(self.dictionary, DataFrame):
+            rows = rows.join(self.words_in(rows), "value", "left")
+            bare = n - F.coalesce("_covered", F.lit(0))
+        else:
+            bare = F.length(F.regexp_replace(low, "|".join(sorted(self.dictionary, key=lambda w: (-len(w), w))), "")) if self.dictionary else n
         columns = {
             "length": n, "digits": share("[0-9]"), "capitals": share("[A-Z]"),
             "variety": F.size(F.array_distinct(F.split(v, ""))) / n,
             "class_changes": share("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])"),
             "letter_pairs": F.when(F.size(letters) > 0, total / F.size(letters)).otherwise(_NONE),
-            "coverage": 1 - covered / n,
+            "coverage": 1 - bare / n,
             "slashes": share("/"),
             "in_path": F.col("before").rlike(r"(://|[./\\])\S*$").cast("int"),
             "test_path": F.coalesce(F.col("path").rlike(r"(?i)(^|[/_.\-])(tests?|examples?|mocks?|fixtures?|docs?)([/_.\-]|$)"), F.lit(False)).cast("int"),
@@ -125,7 +130,13 @@ class Scanner:
             "in_address": (F.col("before").rlike(r"[@.]$") | F.col("after").rlike(r"^(@|\.[A-Za-z0-9])")).cast("int"),
         }
         rows = rows.withColumn("_letters", F.regexp_extract_all(low, F.lit("(?=([a-z]{2}))"), 1))
-        return rows.withColumns({f"f_{k}": c.cast("double") for k, c in columns.items()}).drop("_letters")
+        return rows.withColumns({f"f_{k}": c.cast("double") for k, c in columns.items()}).drop("_letters", "_covered")
+
+    def words_in(self, rows: DataFrame) -> DataFrame:
+        """``value, _covered``: letters of each value that belong to words of the dictionary."""
+        parts = F.regexp_extract_all("value", F.lit("[A-Z]?[a-z]{2,}|[A-Z]{3,}"), 0)
+        part = rows.select("value").distinct().select("value", F.explode_outer(parts).alias("word")).withColumn("word", F.lower("word"))
+        return part.join(self.dictionary, "word", "left_semi").groupBy("value").agg(F.sum(F.length("word")).alias("_covered"))
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Add ``score`` (share of trees for a secret) and ``is_secret``."""
@@ -144,9 +155,8 @@ def _share(n: int, most: int) -> Column:
 def train(docs: DataFrame, findings: DataFrame, text: str = "text", trees: int = 40, depth: int = 6, seed: int = 5) -> Scanner:
     """Fit on labelled ``findings`` (``candidates`` with a 0/1 ``label``; null labels are ignored)."""
     body = docs.select(F.lower(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("t"))
-    sample = body.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < _share(body.count(), MAX_DOCS)).distinct()
-    words = materialise(sample.select(F.explode_outer(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\p{L}{2,}"), 0))).alias("word")).filter("word IS NOT NULL").groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
-    dictionary = [r["word"] for r in words.filter(F.col("word").rlike("^[a-z]{3,}$")).orderBy(F.col("n").desc(), "word").limit(MAX_DICTIONARY).collect()]
+    words = materialise(body.select(F.explode_outer(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\p{L}{2,}"), 0))).alias("word")).filter("word IS NOT NULL").groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    dictionary = words.filter(F.col("word").rlike("^[a-z]{3,}$") & (F.col("n") >= max(2.0, WORD_SHARE * body.count()))).select("word")
     pair = (words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("p"))
             .filter(F.col("p").rlike("^[a-z]{2}$")).groupBy("p").count())
     count = {r["p"]: r["count"] for r in pair.collect()}  # 676 pairs at most
