@@ -273,3 +273,16 @@ def test_training_table_samples_maps_and_encodes(spark):
     rows = out.collect()
     assert len(rows) == 8 and out.columns == ["doc_id", "label", "split", "clean_text", "input_ids", "attention_mask"]
     assert all(r["label"] == r["doc_id"] % 2 and len(r["input_ids"]) == 4 and 1 in r["input_ids"] and "@" not in r["clean_text"] for r in rows)
+
+
+def test_kmeans_tries_every_k_and_clusters_with_the_chosen_one(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+    from vellum.plans import q_models
+    rows = [(k, Vectors.sparse(14, [k % 14], [1.0 + (k // 14) / 100])) for k in range(28)]
+    vectors = spark.createDataFrame(rows, ["doc_id", "features"]).coalesce(1).persist()
+    monkeypatch.setattr(q_models, "_tfidf_vectors", lambda *_: vectors)
+    sweep = {r["k"]: r for r in q_models.q_kmeans_sweep(spark, "").collect()}
+    assert sorted(sweep) == list(range(2, 28))
+    chosen = [k for k, r in sweep.items() if r["chosen"]]
+    assert len(chosen) == 1 and chosen[0] > 10
+    assert q_models.q_kmeans(spark, "").select("Kcluster_topic").distinct().count() == chosen[0]

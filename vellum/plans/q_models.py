@@ -139,17 +139,22 @@ def q_pca_tfidf(spark, sf_dir):
     return p.select("doc_id", "coords", encode_coords("coords").alias("Kcluster_PCA"))
 
 
+def _sweep(t):
+    """k = 2 to min(150, documents - 1)."""
+    return MD.kmeans_sweep(t, range(2, max(3, min(150, t.count() - 1) + 1)), 42)
+
+
 @register("kmeans_cluster")
 def q_kmeans(spark, sf_dir):
     t = _tfidf_vectors(spark, sf_dir)
-    m = MD.kmeans_fit(t, 8, 42)
+    m = MD.kmeans_fit(t, MD.choose_k(_sweep(t)), 42)
     return m.transform(t).select("doc_id", F.col("prediction").cast("int").alias("Kcluster_topic"))
 
 
 @register("kmeans_sweep")
 def q_kmeans_sweep(spark, sf_dir):
     t = _tfidf_vectors(spark, sf_dir)
-    sweep = MD.kmeans_sweep(t, range(2, 11), 42)
+    sweep = _sweep(t)
     best = MD.choose_k(sweep)
     return sweep.withColumn("chosen", F.col("k") == F.lit(best))
 
