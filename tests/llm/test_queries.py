@@ -23,7 +23,7 @@ def test_query_matches_its_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))
     import __spark_entry__
     assert {*Q.QUERIES, "pipeline"} <= set(__spark_entry__.queries())
 

@@ -32,12 +32,6 @@ from vellum.llm.lineage import materialise
 SHARD_ROWS = 2048  # documents per shard of the word table
 
 
-def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Indices of the runs ``[start, start + length)``, one after the other."""
-    begin = np.cumsum(length) - length
-    return np.repeat(start - begin, length) + np.arange(int(length.sum()))
-
-
 def _pack(codes: np.ndarray) -> bytes:
     """Compressed uint32s, by byte planes (small codes are the frequent ones)."""
     return zstandard.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
@@ -127,7 +121,7 @@ def _encode_shard(path: str):
         begin = np.cumsum(size) - size
         index = np.asarray(coded.indices).astype(np.int64)
         out_size = size[index]
-        ids = flat[ragged(begin[index], out_size)].astype("<u4")
+        ids = flat[ts.ragged(begin[index], out_size)].astype("<u4")
         per_row = np.append(0, np.cumsum([len(x) for x in lengths]))
         ends = np.append(0, np.cumsum(out_size))[per_row]
         rows = range(len(lengths))
@@ -157,13 +151,13 @@ def _assemble(id_type: pa.DataType):
             if len(place) != len(size):
                 raise RuntimeError("a block's rows changed between two reads of the input")
             word = place[codes]
-            tokens = flat[ragged(begin[word], size[word])]
+            tokens = flat[ts.ragged(begin[word], size[word])]
             counts = np.array(docs["counts"][row].as_py(), np.int64)
             w_end = np.append(0, np.cumsum(size[word]))
             t_off = w_end[np.append(0, np.cumsum(counts))]
             at = np.searchsorted(known, tokens)
             p_len = np.diff(p_off)[at]
-            text = piece[ragged(p_off[at], p_len)].tobytes()
+            text = piece[ts.ragged(p_off[at], p_len)].tobytes()
             b_off = np.append(0, np.cumsum(p_len))[t_off]
             ids = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer((t_off * 4).astype(np.int64)), pa.py_buffer(tokens.astype("<u4"))]).cast(pa.binary())
             decoded = pa.array([text[a:b].decode("utf-8", "replace") for a, b in zip(b_off[:-1].tolist(), b_off[1:].tolist(), strict=True)], pa.string())

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm import textspans as ts
-from vellum.llm.bpe_codec import ragged
+from vellum.llm.textspans import ragged
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 17

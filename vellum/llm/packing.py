@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from vellum.llm import pretokens as pt
 from vellum.llm import textspans as ts
-from vellum.llm.bpe_codec import ragged
+from vellum.llm.textspans import ragged
 from vellum.llm.lineage import materialise
 from vellum.operators.ranking import global_index
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe_codec, language_id, ngram_join, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, topk_search, url_filter
+from vellum.llm import bpe_codec, language_id, ngram_join, packing, piece_codec, quality_classifier, quality_rules, secret_scan, suffix_dedup, topk_search, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -112,10 +112,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def tokenizer_path() -> str:
-    """Place of the public tokenizer file that the queries use."""
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Place of a public tokenizer file that the queries use."""
     import public_tokenizers
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 @register("op10_bpe_codec")
@@ -155,3 +158,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "place", "start", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
+@register("op11_piece_codec")
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = piece_codec.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
+    return rows.select("doc_id", "n_tokens", F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), "agrees")
