@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe_codec, hard_negatives, language_id, ngram_join, packing, piece_codec, quality_classifier, quality_rules, secret_scan, suffix_dedup, topk_search, url_filter
+from vellum.llm import bpe_codec, hard_negatives, language_id, ngram_join, packing, piece_codec, quality_classifier, quality_rules, resampling, secret_scan, suffix_dedup, topk_search, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -183,3 +183,8 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
     rows = table(spark, sf_dir, "embeddings").select("vec_id", label, topk_search.quantise("embedding", 256).alias("vector"))
     return hard_negatives.mine(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
+@register("op13_importance_resampling")
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -130,7 +130,11 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 def word_spans(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, document) of each maximal run of ``[^\\x20\\x09-\\x0D]`` bytes."""
-    inside = ~_SPACE[chunk.data]
+    return runs(chunk, ~_SPACE[chunk.data])
+
+
+def runs(chunk: Chunk, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document) of each maximal run of marked bytes in one text."""
     if not len(inside):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
