@@ -42,12 +42,15 @@ def test_any_ids_decode_as_in_the_library(vocab):
 
 
 def test_agenda_takes_the_best_score_then_the_leftmost():
-    rank = {p: k for k, p in enumerate(["bc", "ab", "aa", "cc", "bcc"])}
-    assert piece_codec.merge(list("abc"), rank) == ["a", "bc"] and piece_codec.merge(list("abcc"), rank) == ["a", "bcc"]
-    assert piece_codec.merge(list("aaaaa"), rank) == ["aa", "aa", "a"]
-    assert piece_codec.merge([], rank) == []
+    m = piece_codec.Merges({p: -float(k) for k, p in enumerate(["bc", "ab", "aa", "cc", "bcc"])})
+    spelled = lambda t: [m.symbols[s] for s in m.merge(t)[0]]
+    assert spelled("abc") == ["a", "bc"] and spelled("abcc") == ["a", "bcc"] and spelled("aaaaa") == ["aa", "aa", "a"]
+    assert m.merge("") == ([], []) and m.merge("xab") == ([-1, m.number["ab"]], [0, 1])
     halves = {}
-    assert piece_codec.merge(list("abd"), rank, frozenset(["ab"]), halves) == ["ab", "d"] and halves == {"ab": ("a", "b")}
+    assert m.merge("abd", frozenset([m.number["ab"]]), halves)[1] == [0, 2]
+    assert halves == {m.number["ab"]: (m.number["a"], m.number["b"])}
+    ties = piece_codec.Merges({"ab": -1.0, "bc": -1.0, "cd": 0.0})
+    assert [ties.symbols[s] for s in ties.merge("abcbcd")[0]] == ["ab", "c", "b", "cd"]
 
 
 def test_round_trip_of_odd_rows(spark, odd_docs, odd_texts, empty_docs, model, vocab):

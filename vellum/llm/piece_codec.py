@@ -33,47 +33,74 @@ from pyspark.sql.pandas.types import to_arrow_type
 from vellum.llm import textspans as ts
 
 MARK = "▁"  # stands for a space
-CACHE_SEGMENTS = 1 << 18  # segments a worker remembers between batches
-CACHE_LENGTH = 64  # longer segments (bytes) are not remembered
+CACHE_SEGMENTS = 1 << 18  # segments a worker remembers between batches, about; twice as many at most
+CACHE_LENGTH = 64  # longer segments (characters) are not remembered
 
 codecs.register_error("vellum-byte", lambda e: ("�", e.start + 1))
 
 
-def merge(symbols: list[str], rank: dict[str, int], unused: frozenset[str] = frozenset(), halves: dict | None = None) -> list[str]:
-    """Pieces of one segment: adjacent pairs are joined by score, the leftmost first among equals.
+class Merges:
+    """Which symbols join into which: pieces and single characters are numbered symbols.
 
-    ``symbols`` are its characters, ``rank`` the pieces that may be formed, by descending score
-    (equal scores, equal ranks). The agenda holds ``rank * n + left`` of each pair; an entry is
-    stale when the symbols at its place have grown or gone since, so that they spell another
-    rank. Pieces in ``unused`` may be passed through but not kept: ``halves`` gets the last pair
-    that spelled each.
+    ``rank`` maps a pair of symbols, written ``left * m + right``, to the place of the piece it
+    spells by descending score (equal scores, equal places), ``made`` to that piece.
     """
-    n, sym, get, push, pop = len(symbols), list(symbols), rank.get, heapq.heappush, heapq.heappop
-    before, after = list(range(-1, n)), list(range(1, n + 1))  # n: no neighbour on the right
-    spelled = list(map(str.__add__, sym, sym[1:]))
-    agenda = [found * n + i for i, found in enumerate(map(get, spelled)) if found is not None]
-    heapq.heapify(agenda)
-    if unused:
-        halves.update({p: (sym[i], sym[i + 1]) for i, p in enumerate(spelled) if p in unused})
-    while agenda:
-        found, left = divmod(pop(agenda), n)
-        right = after[left]
-        if right == n or not sym[left]:
-            continue
-        joined = sym[left] + sym[right]
-        if get(joined) != found:
-            continue
-        sym[left], sym[right] = joined, ""
-        after[left] = right = after[right]
-        before[right] = left
-        for a, b in ((left, right), (before[left], left)):
-            if a >= 0 and b < n:
-                found = get(sym[a] + sym[b])
-                if found is not None:
-                    push(agenda, found * n + a)
-                    if unused and sym[a] + sym[b] in unused:
-                        halves[sym[a] + sym[b]] = (sym[a], sym[b])
-    return [s for s in sym if s]
+
+    def __init__(self, score: dict[str, float]):
+        place = {x: k for k, x in enumerate(sorted(set(score.values()), reverse=True))}
+        self.symbols = list(dict.fromkeys([*score, *(c for p in score for c in p)]))
+        self.number = {s: i for i, s in enumerate(self.symbols)}
+        self.m = len(self.symbols) + 1  # so that no pair's key meets that of a pair with an unknown character (-1)
+        self.rank: dict[int, int] = {}
+        self.made: dict[int, int] = {}
+        for p, x in score.items():
+            for i in range(1, len(p)):
+                a, b = self.number.get(p[:i]), self.number.get(p[i:])
+                if a is not None and b is not None:
+                    self.rank[a * self.m + b] = place[x]
+                    self.made[a * self.m + b] = self.number[p]
+
+    def merge(self, text: str, unused: frozenset[int] = frozenset(), halves: dict | None = None) -> tuple[list[int], list[int]]:
+        """Symbols of one segment, and where each begins: adjacent pairs join by score, the leftmost first among equals.
+
+        The agenda holds ``rank * n + left`` of each pair; an entry is stale when the symbols at
+        its place have grown or gone since, so that they spell another rank. Symbols in
+        ``unused`` may be passed through but not kept: ``halves`` gets the last pair that
+        spelled each. Characters of no piece are symbol -1.
+        """
+        n, m, get, push, pop = len(text), self.m, self.rank.get, heapq.heappush, heapq.heappop
+        number = self.number.get
+        sym = [number(c, -1) for c in text]
+        agenda = []
+        for i in range(n - 1):
+            found = get(sym[i] * m + sym[i + 1])
+            if found is not None:
+                agenda.append(found * n + i)
+                if unused and self.made[sym[i] * m + sym[i + 1]] in unused:
+                    halves[self.made[sym[i] * m + sym[i + 1]]] = (sym[i], sym[i + 1])
+        heapq.heapify(agenda)
+        before, after = list(range(-1, n)), list(range(1, n + 1))  # n: no neighbour on the right
+        while agenda:
+            found, left = divmod(pop(agenda), n)
+            right = after[left]
+            if right == n or sym[left] is None:
+                continue
+            key = sym[left] * m + sym[right]
+            if get(key) != found:
+                continue
+            sym[left], sym[right] = self.made[key], None
+            after[left] = right = after[right]
+            before[right] = left
+            for a, b in ((left, right), (before[left], left)):
+                if a >= 0 and b < n:
+                    key = sym[a] * m + sym[b]
+                    found = get(key)
+                    if found is not None:
+                        push(agenda, found * n + a)
+                        if unused and self.made[key] in unused:
+                            halves[self.made[key]] = (sym[a], sym[b])
+        at = [i for i, s in enumerate(sym) if s is not None]
+        return [sym[i] for i in at], at
 
 
 class Pieces:
@@ -86,18 +113,18 @@ class Pieces:
         byte = {i for i in kinds if sp.is_byte(i)}
         silent = {i for i in kinds if sp.is_control(i)}
         plain = [i for i in kinds if i not in byte and i not in silent and not sp.is_unknown(i)]
-        self.id_of = {self.piece[i]: i for i in plain}
-        order = {x: k for k, x in enumerate(sorted({sp.get_score(i) for i in plain}, reverse=True))}
-        self.rank = {self.piece[i]: order[sp.get_score(i)] for i in plain}
-        self.unused = frozenset(self.piece[i] for i in plain if sp.is_unused(i))
+        words = {self.piece[i]: i for i in plain}
+        self.merges = Merges({p: sp.get_score(i) for p, i in words.items()})
+        self.id_of = [words.get(s, -1) for s in self.merges.symbols] + [-1]  # the last for unknown characters
+        self.unused = frozenset(self.merges.number[self.piece[i]] for i in plain if sp.is_unused(i))
         self.unknown = sp.unk_id()
         self.byte_id = {int(self.piece[i][1:-1], 16): i for i in byte} if len(byte) == 256 else {}
         # Neighbouring characters that some piece holds together; merges cross no other border.
-        inner = sorted({c for p in self.id_of if len(p) > 1 for c in p})
+        inner = sorted({c for p in words if len(p) > 1 for c in p})
         self.place = np.zeros(0x110000, np.uint16)
         self.place[[ord(c) for c in inner]] = np.arange(1, len(inner) + 1)
         self.joins = np.zeros((len(inner) + 1, len(inner) + 1), bool)
-        for p in self.id_of:
+        for p in words:
             at = self.place[[ord(c) for c in p]]
             self.joins[at[:-1], at[1:]] = True
         # What each id decodes to.
@@ -110,39 +137,54 @@ class Pieces:
         # A text's first piece gives up one space when the vocabulary puts one before each text.
         dummy, usual = sp.normalize("a").startswith(MARK), set(plain)
         self.opens = np.array([dummy and i in usual and self.piece[i].startswith(MARK) for i in kinds])
-        self._cache: dict[bytes, bytes] = {}
+        self._cache: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def segment(self, text: str) -> list[int]:
         """Ids of one segment."""
-        halves: dict[str, tuple[str, str]] = {}
-        todo = merge(list(text), self.rank, self.unused, halves)[::-1]
+        halves: dict[int, tuple[int, int]] = {}
+        symbols, at = self.merges.merge(text, self.unused, halves)
+        if halves:
+            symbols, at = self._apart(symbols, at, halves)
+        ids = [self.id_of[s] for s in symbols]
+        if -1 not in ids:
+            return ids
         out: list[int] = []
-        while todo:
-            s = todo.pop()
-            if s in halves:
-                todo += halves[s][::-1]
-                continue
-            i = self.id_of.get(s)
-            if i is not None:
+        for i, k in zip(ids, at, strict=True):
+            if i >= 0:
                 out.append(i)
             elif self.byte_id:
-                out += [self.byte_id[b] for b in s.encode()]
+                out += [self.byte_id[b] for b in text[k].encode()]
             else:
                 out.append(self.unknown)
         return out
 
-    def encode(self, segments: list[bytes]) -> list[bytes]:
+    def _apart(self, symbols: list[int], at: list[int], halves: dict[int, tuple[int, int]]) -> tuple[list[int], list[int]]:
+        """Symbols with the unused ones taken apart again into the pairs that formed them."""
+        todo, out = list(zip(symbols, at, strict=True))[::-1], []
+        while todo:
+            s, k = todo.pop()
+            if s in halves:
+                a, b = halves[s]
+                todo += [(b, k + len(self.merges.symbols[a])), (a, k)]
+            else:
+                out.append((s, k))
+        return [s for s, _ in out], [k for _, k in out]
+
+    def encode(self, segments: list[str]) -> list[bytes]:
         """Ids (as uint32s) of distinct segments, from the cache where they were met before."""
-        cache, out = self._cache, []
-        if len(cache) > CACHE_SEGMENTS:
-            cache.clear()
+        out = []
         for s in segments:
-            ids = cache.get(s)
+            ids = self._cache.get(s)
             if ids is None:
-                ids = array("I", self.segment(s.decode())).tobytes()
+                ids = self._older.get(s)
+                if ids is None:
+                    ids = array("I", self.segment(s)).tobytes()
                 if len(s) <= CACHE_LENGTH:
-                    cache[s] = ids
+                    self._cache[s] = ids
             out.append(ids)
+        if len(self._cache) > CACHE_SEGMENTS:  # the segments met since the last change stay
+            self._older, self._cache = self._cache, {}
         return out
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +197,7 @@ class Pieces:
         start[off] = True
         cut = np.flatnonzero(start)
         begin = cut[:-1] if len(data) else np.zeros(0, np.int64)
-        segments = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        segments = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         found = self.encode(segments.dictionary.to_pylist())
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.uint32).astype(np.int64)
