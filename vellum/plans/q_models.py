@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vellum.operators import centres as CE
 from vellum.operators import models as MD
 from vellum.operators import textops as TO
 from vellum.operators import tokens as TK
@@ -90,7 +91,7 @@ def q_doc_emb(spark, sf_dir):
 @register("reduce_embeddings")
 def q_reduce_emb(spark, sf_dir):
     e = MD.as_vector(_emb(spark, sf_dir), "embedding", "features")
-    r = MD.reduce_embeddings(e, "features", 5)
+    r = MD.reduce_embeddings(e, "features", 5, id_col="vec_id")
     return r.select("vec_id", "reduced")
 
 
@@ -120,7 +121,7 @@ def q_lda_matrix(spark, sf_dir):
 @register("pca_topic_mixture")
 def q_pca_lda(spark, sf_dir):
     m = MD.as_vector(_lda_matrix(spark, sf_dir), "topic_mix", "features")
-    p = MD.pca_coordinates(m, "features", 3, "coords")
+    p = MD.pca_coordinates(m, "features", 3, "coords", id_col="doc_id")
     from vellum.functions.text import encode_coords
     return p.select("doc_id", "coords", encode_coords("coords").alias("LDA_PCA_Coordinates"))
 
@@ -128,35 +129,25 @@ def q_pca_lda(spark, sf_dir):
 def _tfidf_vectors(spark, sf_dir):
     d = _doc_tokens(spark, sf_dir)
     d = d.withColumn("terms", TK.ngrams("tokens", 1, 2))
-    return MD.tfidf_vectors(d, "terms", min_df=0.02, max_df=0.57).persist()
+    return MD.tfidf_vectors(d, "terms", min_df=0.02, max_df=0.57)
 
 
 @register("pca_tfidf")
 def q_pca_tfidf(spark, sf_dir):
     t = _tfidf_vectors(spark, sf_dir)
-    p = MD.pca_coordinates(t, "features", 3, "coords")
+    p = MD.pca_coordinates(t, "features", 3, "coords", id_col="doc_id")
     from vellum.functions.text import encode_coords
     return p.select("doc_id", "coords", encode_coords("coords").alias("Kcluster_PCA"))
 
 
-def _sweep(t):
-    """k = 2 to min(150, documents - 1)."""
-    return MD.kmeans_sweep(t, range(2, max(3, min(150, t.count() - 1) + 1)), 42)
-
-
 @register("kmeans_cluster")
 def q_kmeans(spark, sf_dir):
-    t = _tfidf_vectors(spark, sf_dir)
-    m = MD.kmeans_fit(t, MD.choose_k(_sweep(t)), 42)
-    return m.transform(t).select("doc_id", F.col("prediction").cast("int").alias("Kcluster_topic"))
+    return CE.cluster(_tfidf_vectors(spark, sf_dir)).select("doc_id", F.col("cluster").alias("Kcluster_topic"))
 
 
 @register("kmeans_sweep")
 def q_kmeans_sweep(spark, sf_dir):
-    t = _tfidf_vectors(spark, sf_dir)
-    sweep = _sweep(t)
-    best = MD.choose_k(sweep)
-    return sweep.withColumn("chosen", F.col("k") == F.lit(best))
+    return CE.sweep(_tfidf_vectors(spark, sf_dir))
 
 
 @register("hierarchical_clusters")
@@ -171,7 +162,7 @@ def q_sil_1d(spark, sf_dir):
     m, sc = _scored(spark, sf_dir)
     ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts")
     v = MD.as_vector(sc.filter(F.forall("probs", lambda p: p.isNotNull())), "probs", "features")
-    p = MD.pca_coordinates(v, "features", 1, "c", normalise=True)
+    p = MD.pca_coordinates(v, "features", 1, "c", normalise=True, id_col="doc_id")
     return (p.join(m.docs.select("doc_id", "source"), "doc_id").join(ev, "doc_id", "left")
              .select("doc_id", "source", "ts", F.col("c")[0].alias("value")))
 
