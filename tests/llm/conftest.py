@@ -15,6 +15,12 @@ def words(rng, n, vocabulary=400):
     return " ".join(f"w{rng.randrange(vocabulary)}{'é' if rng.random() < 0.05 else ''}" for _ in range(n))
 
 
+def twins(size=2048):
+    """Two different words of a and b in Thue-Morse order: polynomial hashes modulo 2**64 cannot tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(size)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 @pytest.fixture(scope="session")
 def odd_texts():
     """(doc_id, text) pairs: null, empty, blank, short, very long, repeated, near and shared passages."""
@@ -27,6 +33,9 @@ def odd_texts():
             (8, long), (9, long + " tail"), (10, passage + " " + words(rng, 80)), (11, words(rng, 60) + " " + passage), (12, "one two"),
             (13, "x" * 20_000), (14, "é" * 150 + passage), (15, "日本語のテキスト 😀 <|endoftext|> it's we'll"), (16, "12345 !!! ..."), (17, base + "\n" + base),
             (18, "line a b\nline a b\n\nline a b\r\nother"), (19, "café au lait " * 30)]
+    one, two = twins()
+    five = words(rng, 4)
+    rows += [(20, f".{one}.{two}"), (21, f"{one}\n{two}\n{one} x y\n{two} x y"), (22, f"{one} {five}"), (23, f"{two} {five}")]
     for k in range(40):
         copy = list(near)
         copy[(7 * k) % len(copy)] = f"edit{k}"

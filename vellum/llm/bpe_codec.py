@@ -19,6 +19,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,14 +47,15 @@ class _Block:
     """One chunk of documents: its distinct words by shard, and the codes of all its words.
 
     Codes number the distinct words from the most frequent on; ``place[code]`` is the word's
-    position in the list sorted by shard and hash, in which ids come back.
+    position in the list sorted by shard and first occurrence, in which ids come back.
     """
 
     def __init__(self, part: ts.Chunk, ids: pa.Array, vocab: pt.Vocabulary, shards: int):
         w = pt.words(part, vocab)
-        h = ts.span_hash(ts.prefix_hash(part.data), w.start, w.end)
-        self.hash, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        self.shard = (ts.mix64(self.hash) % np.uint64(shards)).astype(np.int32)
+        inverse, contents = ts.codes(part.data, w.start, w.end)
+        count = np.bincount(inverse, minlength=len(contents))
+        spelled = np.fromiter(map(xxhash.xxh3_64_intdigest, contents.to_pylist()), np.uint64, len(contents))
+        self.shard = (spelled % np.uint64(shards)).astype(np.int32)
         order = np.argsort(self.shard, kind="stable")
         rank = np.argsort(-count, kind="stable")
         code = np.empty(len(rank), np.int64)
@@ -62,19 +64,13 @@ class _Block:
         position[order] = np.arange(len(order))
         self.place, self.codes = position[rank], code[inverse]
         self.counts = np.bincount(w.doc, minlength=part.n)
-        spelled = pa.Array.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(np.append(w.start, len(part.data)).astype(np.int64)), pa.py_buffer(part.data)])
-        self.words = spelled.take(pa.array(first[order])).cast(pa.binary())
+        self.words = contents.take(pa.array(order)).cast(pa.binary())
         self.shard = self.shard[order]
         # Name of the block from its contents, the same whenever its rows are read again.
-        key = _id_hash(ids)
-        text = ts.mix64(h + (np.arange(len(h), dtype=np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
-        docs = ts.mix64((key + self.counts.astype(np.uint64)) + (np.arange(part.n, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xE7037ED1A0B428DB))
-        self.name = int((np.add.reduce(text) ^ np.add.reduce(docs)).view(np.int64)) if len(h) or part.n else 0
-
-
-def _id_hash(ids: pa.Array) -> np.ndarray:
-    data, off = ts.utf8_buffers(ids.cast(pa.string()))
-    return ts.span_hash(ts.prefix_hash(data), off[:-1], off[1:])
+        whole = xxhash.xxh3_128()
+        for numbers in (*ts.utf8_buffers(ids.cast(pa.string())), part.off, part.data):
+            whole.update(np.ascontiguousarray(numbers))
+        self.name = int.from_bytes(whole.digest()[:8], "little", signed=True)
 
 
 def _words_by_shard(path: str, shards: int):

@@ -51,7 +51,7 @@ def grams_of(part: ts.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     A text of 1 to n - 1 words has one n-gram, its whole word sequence.
     """
     start, end, doc = ts.word_spans(part)
-    words = ts.span_hash(ts.prefix_hash(part.data), start, end)
+    words = ts.digests(part.data, start, end)
     h, d = ts.ngram_hash(words, doc, n)
     for k in range(1, n):
         count = np.bincount(doc, minlength=part.n)

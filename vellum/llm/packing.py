@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from vellum.llm import pretokens as pt
 from vellum.llm import textspans as ts
-from vellum.llm.textspans import ragged
 from vellum.llm.lineage import materialise
+from vellum.llm.textspans import ragged
 from vellum.operators.ranking import global_index
 
 WINDOW = 1024
@@ -54,8 +54,8 @@ class WordIds:
     def encode(self, part: ts.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a chunk's documents."""
         w = pt.words(part, self.vocab)
-        first, inverse = pt.distinct(part, w)
-        spelled = pa.Array.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(np.append(w.start, len(part.data)).astype(np.int64)), pa.py_buffer(part.data)]).take(pa.array(first)).to_pylist()
+        inverse, contents = ts.codes(part.data, w.start, w.end)
+        spelled = contents.to_pylist()
         if len(self.known) > _CACHE_WORDS:
             self.known.clear()
         new = [s for s in spelled if s not in self.known]

@@ -131,14 +131,6 @@ def words(part: ts.Chunk, vocab: Vocabulary) -> Words:
     return Words(begin, end, part.doc_of(begin), special)
 
 
-def distinct(part: ts.Chunk, w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(first, inverse): one occurrence of each distinct word, and each word's place in that list."""
-    h = ts.span_hash(ts.prefix_hash(part.data), w.start, w.end)
-    h ^= ts.mix64((w.special + 2).astype(np.uint64)) * (w.special >= 0)
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    return first, inverse
-
-
 class Vocabulary:
     """A tokenizer file: its library tokenizer, special tokens and pieces."""
 

@@ -57,7 +57,6 @@ def measure(chunk: ts.Chunk) -> dict[str, np.ndarray]:
     """All measurements of a chunk of documents, one int64 array each."""
     n, data = chunk.n, chunk.data
     start, end, doc = ts.word_spans(chunk)
-    prefix = ts.prefix_hash(data)
     words = np.bincount(doc, minlength=n)
 
     heads = np.zeros(len(data) + 1, np.int64)  # code points: bytes that do not continue one
@@ -66,14 +65,14 @@ def measure(chunk: ts.Chunk) -> dict[str, np.ndarray]:
 
     l_start, l_end, l_doc = ts.line_spans(chunk)
     has_word = np.searchsorted(start, l_end) > np.searchsorted(start, l_start)
-    l_hash, w_doc = ts.span_hash(prefix, l_start[has_word], l_end[has_word]), l_doc[has_word]
-    distinct = _distinct_per_doc(l_hash, w_doc, n)
+    line, w_doc = ts.codes(data, l_start[has_word], l_end[has_word])[0], l_doc[has_word]
+    distinct = _distinct_per_doc(line, w_doc, n)
 
-    grams, g_doc = ts.ngram_hash(ts.span_hash(prefix, start, end), doc, 3)
+    word = ts.codes(data, start, end)[0]
     repeat = np.zeros(len(start) + 2, bool)
-    if len(grams):
-        place = np.flatnonzero(doc[:len(doc) - 2] == doc[2:])
-        again = place[_occurs_again(grams, g_doc)]
+    place = np.flatnonzero(doc[:len(doc) - 2] == doc[2:])  # windows of three words in one document
+    if len(place):
+        again = place[_occurs_again(word[place], word[place + 1], word[place + 2], doc[place])]
         for k in range(3):
             repeat[again + k] = True
     repeats = np.bincount(doc, weights=repeat[:len(start)], minlength=n).astype(np.int64)
@@ -85,24 +84,22 @@ def measure(chunk: ts.Chunk) -> dict[str, np.ndarray]:
     }
 
 
-def _distinct_per_doc(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+def _distinct_per_doc(code: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    order = np.lexsort((code, doc))
+    code, doc = code[order], doc[order]
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
     return np.bincount(doc[new], minlength=n)
 
 
-def _occurs_again(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Mask of hashes that occur at least twice in their document."""
-    key = h ^ ts.mix64(doc.astype(np.uint64) + np.uint64(1))
-    order = np.argsort(key)
-    key = key[order]
-    same = np.zeros(len(key) + 1, bool)
-    same[1:-1] = key[1:] == key[:-1]
-    out = np.empty(len(key), bool)
-    out[order] = same[:-1] | same[1:]
-    return out
+def _occurs_again(*parts: np.ndarray) -> np.ndarray:
+    """Mask of the rows whose parts, all together, occur at least twice."""
+    key = parts[0]
+    for part in parts[1:]:
+        key = key * (int(part.max()) + 1) + part
+        if len(key) and int(key.max()) >= 1 << 31:
+            key = np.unique(key, return_inverse=True)[1]
+    return np.bincount(key)[key] > 1
 
 
 def ledger(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -15,6 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 4 << 20
 
@@ -122,12 +123,35 @@ def prefix_hash(symbols: np.ndarray) -> np.ndarray:
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of spans ``[start, end)``; equal contents hash alike wherever they stand."""
+    """64-bit hash of spans ``[start, end)``; equal contents hash alike wherever they stand.
+
+    For features and for spans of a few hundred bytes: a polynomial modulo 2**64 gives some
+    pairs of spans of 1,024 bytes and more the same hash. Words and lines of any length are
+    compared by ``codes`` or ``digests``.
+    """
     _, down = _powers(len(prefix))
     h = (prefix[end] - prefix[start]) * down[start]
     return mix64(h ^ ((end - start).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)))
 
 
+def codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(code, contents): spans numbered by their bytes, in order of first occurrence; exact."""
+    size = end - start
+    if len(start) and not (start[1:] == end[:-1]).all():
+        data = data[ragged(start, size)]
+    elif len(start):
+        data = data[start[0]:end[-1]]
+    off = np.append(0, np.cumsum(size)).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return np.asarray(coded.indices).astype(np.int64), coded.dictionary
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """xxhash of the bytes of each span; each distinct span is hashed once."""
+    code, contents = codes(data, start, end)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, contents.to_pylist()), np.uint64, len(contents))[code]
+
+
 def word_spans(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, document) of each maximal run of ``[^\\x20\\x09-\\x0D]`` bytes."""
     return runs(chunk, ~_SPACE[chunk.data])
