@@ -99,9 +99,10 @@ def test_index_prefers_lexical_neighbours():
     docs = [rng.permutation(topics[k % 2])[:50] for k in range(8)]
     df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=400)
     idf = np.maximum(np.log((100 - df + 0.5) / (df + 0.5)), 0)
-    s = packing.Index(docs, idf, 50.0).scores(0)
+    flat, off = np.concatenate(docs), np.append(0, np.cumsum([len(d) for d in docs]))
+    s = packing.Index(flat, off, idf, 50.0).scores(0)
     assert min(s[2::2]) > max(s[1::2])
-    sequences = list(packing.pack_documents(docs, idf, 50.0, 100))
+    sequences = list(packing.pack_documents(flat, off, idf, 50.0, 100))
     assert {p[0] % 2 for p in sequences[0]} == {0}
     assert sum(p[2] for q in sequences for p in q) == 400
 
@@ -125,3 +126,26 @@ def test_packing_finds_neighbours_in_every_block(spark, tokenizer, library, monk
     pairs = [(a, b) for m in members.values() for i, a in enumerate(m) for b in m[:i]]
     related = {i for m in members.values() for i in m if m.count(i) > 1}
     assert len(related) >= 18 and sum(a == b for a, b in pairs) > 0.4 * len(pairs)
+
+
+def test_routing_keeps_near_copies_within_reach(spark, tokenizer, monkeypatch):
+    """Recall of the best neighbour that fits, against a search of all documents, for seeds with a near copy."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(packing, "SHARD_DOCS", 12)
+    rng = random.Random(9)
+    rows, passage = [], " ".join(f"q{rng.randrange(900)}" for _ in range(40))
+    for k in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(70)]
+        for i in range(3):
+            copy = list(base)
+            copy[rng.randrange(70)] = f"edit{i}"
+            rows.append((10 * k + i, " ".join(copy) + (" " + passage if k % 3 == 0 else "")))  # a third share a passage
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    tokens, idf, average, dtype, n = packing.prepare(docs, tokenizer)
+    shards = {r["uid"]: r["shard"] for r in packing.routes(tokens, idf, dtype, n).collect()}
+    assert n == len(rows) == len(shards) and max(collections.Counter(shards.values()).values()) <= 13 and len(set(shards.values())) >= 14
+    best = packing.best_fits(tokens, tokens.filter(F.col("id") % 10 == 0), idf, average, dtype).collect()
+    near = [r for r in best if r["score"] >= 0.9 * r["self"]]
+    assert len(near) >= 55 and np.mean([shards[r["seed"]] == shards[r["uid"]] for r in near]) >= 0.9
+    ids = {r["uid"]: r["id"] for r in tokens.collect()}
+    assert all(ids[r["seed"]] // 10 == ids[r["uid"]] // 10 for r in near)

@@ -1,19 +1,19 @@
 """Lexical retrieval packing of tokenised documents into fixed windows.
 
-Documents are tokenised once. Blocks of about ``SHARD_DOCS`` documents each hold a BM25
-inverted index of all their documents, with document frequencies and the average length
-taken over the whole table. A seed document opens a window; the index returns its unused
-neighbours by score; those that fit are placed whole, best first, and the best of the rest
-is cut to fill the window and seeds the next one. A table of one block is packed seed by seed
-(``pack_documents``). A larger one is packed in rounds (``_rounds``): every open window is
-searched against every block of unused documents, a document goes to the window that it
-scores best for, and what no window got is searched again in the next round. What stays short
-is joined, and its last window written as sequences of power-of-two lengths, so nothing is padded.
+Documents are tokenised once. Sketches route related documents (near copies, shared passages,
+shared rare tokens) into the same shard of about ``SHARD_DOCS`` documents. A shard holds a BM25
+inverted index of all its documents, with document frequencies and the average length taken
+over the whole table. A seed document opens a window; the index returns its unused neighbours
+by score; those that fit are placed whole, best first, and the best of the rest is cut to fill
+the window and seeds the next one. A shard's last window is written as sequences of
+power-of-two lengths, so nothing is padded.
+
+The algorithm is the same at every size; a shard bounds a task's work and memory. What routing
+misses against a search of all documents is measured with ``best_fits``.
 """
 
 from __future__ import annotations
 
-import pickle
 from array import array
 from collections.abc import Iterator
 
@@ -27,18 +27,15 @@ from vellum.llm import pretokens as pt
 from vellum.llm import textspans as ts
 from vellum.llm.lineage import materialise
 from vellum.llm.textspans import ragged
-from vellum.operators.ranking import global_index
 
 WINDOW = 1024
 SHARD_DOCS = 1024
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
 END_ID = 0           # closes every document
-WHOLE, CUT = 24, 4   # neighbours that a window asks for in a round: that fit whole, of any length
-TIE = 20             # scores of one step of 1 / TIE in the logarithm count as equal
-OPENED = 0.5         # share of the windows still needed that a round opens: the seeds of one round are not each other's neighbours
+SHINGLE = 5          # tokens of a hashed window of the routing sketch
+SHINGLE_VALUES, TOKEN_VALUES = 4, 4
 _CACHE_WORDS = 400_000
-_PARTITIONS = 48     # of either side of a search, at most
 
 
 class WordIds:
@@ -93,14 +90,32 @@ def tokenise(docs: DataFrame, tokenizer: str, text: str, id_col: str) -> DataFra
     return src.mapInArrow(run, T.StructType([src.schema["id"], T.StructField("n", T.LongType()), T.StructField("tokens", T.BinaryType())]))
 
 
+def _term_counts(flat: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, token, count) of every distinct token of each document, in that order."""
+    n = len(off) - 1
+    kind = np.uint32 if n * size < 1 << 32 else np.uint64
+    key = np.sort(np.repeat(np.arange(n, dtype=kind) * kind(size), np.diff(off)) + flat.astype(kind))
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    tf = np.diff(np.append(first, len(key)))
+    key = key[first].astype(np.int64)
+    return key // size, key % size, tf
+
+
+def _weighted(flat: np.ndarray, off: np.ndarray, idf: np.ndarray, average: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, token, BM25 weight) of every distinct token of each document that has a weight."""
+    doc, token, tf = _term_counts(flat, off, len(idf))
+    use = idf[token] > 0
+    doc, token, tf = doc[use], token[use], tf[use]
+    return doc, token, idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.diff(off)[doc] / average))
+
+
 def document_frequency(tokens: DataFrame, dtype: np.dtype, size: int) -> DataFrame:
     """``token, df`` over all documents: counted within each task, then summed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            data, off = ts.utf8_buffers(batch.column(0))
-            key = np.repeat(np.arange(batch.num_rows), np.diff(off) // dtype.itemsize) * size + np.frombuffer(data.tobytes(), dtype)
-            total += np.bincount(np.unique(key) % size, minlength=size)
+            for part in ts.chunks(batch.column(0)):
+                total += np.bincount(_term_counts(np.frombuffer(part.data.tobytes(), dtype), part.off // dtype.itemsize, size)[1], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["token", "df"])
 
@@ -110,40 +125,38 @@ def document_frequency(tokens: DataFrame, dtype: np.dtype, size: int) -> DataFra
 class Index:
     """BM25 inverted index of one shard's documents."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, average: float):
-        length = np.array([len(d) for d in docs], np.int64)
-        key, tf = np.unique(np.repeat(np.arange(len(docs)), length) * len(idf) + np.concatenate(docs), return_counts=True)
-        doc, token = key // len(idf), key % len(idf)
-        self.n = len(docs)
+    def __init__(self, flat: np.ndarray, off: np.ndarray, idf: np.ndarray, average: float):
+        self.n = len(off) - 1
+        doc, token, weight = _weighted(flat, off, idf, average)
         self.bounds = np.searchsorted(doc, np.arange(self.n + 1))  # terms of each document
-        self.terms, self.term_of = np.unique(token, return_inverse=True)
-        weight = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / average))
+        terms = np.zeros(len(idf), np.int64)
+        terms[token] = 1
+        self.term_of = (np.cumsum(terms) - 1)[token]
         order = np.argsort(self.term_of, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        self.size = np.bincount(self.term_of, minlength=len(self.terms))
+        self.size = np.bincount(self.term_of)
         self.start = np.cumsum(self.size) - self.size
-        self.useful = idf[self.terms] > 0
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document of the shard against a seed's distinct tokens."""
         t = self.term_of[self.bounds[seed]:self.bounds[seed + 1]]
-        t = t[self.useful[t]]
         at = ragged(self.start[t], self.size[t])
         return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
 
 
-def pack_documents(docs: list[np.ndarray], idf: np.ndarray, average: float, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
-    """Sequences of pieces ``(document, start, length)`` that hold every token of ``docs`` once."""
-    index = Index(docs, idf, average)
-    length = np.array([len(d) for d in docs], np.int64)
-    unused = np.ones(len(docs), bool)
+def pack_documents(flat: np.ndarray, off: np.ndarray, idf: np.ndarray, average: float, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
+    """Sequences of pieces ``(document, start, length)`` that hold every token of the documents
+    ``flat[off[i]:off[i + 1]]`` once."""
+    index = Index(flat, off, idf, average)
+    length = np.diff(off)
+    unused = np.ones(len(length), bool)
     carry: tuple[int, int] | None = None
     nxt = 0
     while True:
         if carry is None:
-            while nxt < len(docs) and not unused[nxt]:
+            while nxt < len(length) and not unused[nxt]:
                 nxt += 1
-            if nxt == len(docs):
+            if nxt == len(length):
                 return
             carry = (nxt, 0)
             unused[nxt] = False
@@ -189,209 +202,124 @@ def _powers_of_two(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[in
         yield seq
 
 
-def _postings(group: pa.Table, idf: np.ndarray, average: float, dtype: np.dtype) -> bytes:
-    """A block's ``(uid, n, postings by term: documents of each term, document, weight)``."""
-    data, off = ts.utf8_buffers(group["tokens"])
-    off = off // dtype.itemsize
-    length = np.diff(off)
-    key, tf = np.unique(np.repeat(np.arange(len(length)), length) * len(idf) + np.frombuffer(data.tobytes(), dtype), return_counts=True)
-    doc, token = key // len(idf), key % len(idf)
-    use = idf[token] > 0
-    doc, token, tf = doc[use], token[use], tf[use]
-    weight = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / average))
-    order = np.argsort(token, kind="stable")
-    terms, size = np.unique(token, return_counts=True)
-    return pickle.dumps((group["uid"].to_numpy(), group["n"].to_numpy(), terms.astype(np.int32), size.astype(np.int32), doc[order].astype(np.int32), weight[order]))
-
-
-def _queries(group: pa.Table, idf: np.ndarray, average: float, dtype: np.dtype) -> bytes:
-    """A block's ``(wid, uid, room, terms of each window's seed)``."""
-    data, off = ts.utf8_buffers(group["tokens"])
-    off = off // dtype.itemsize
-    key = np.unique(np.repeat(np.arange(len(off) - 1), np.diff(off)) * len(idf) + np.frombuffer(data.tobytes(), dtype))
-    key = key[idf[key % len(idf)] > 0]
-    bounds = np.searchsorted(key // len(idf), np.arange(len(off)))
-    return pickle.dumps((group["wid"].to_numpy(), group["uid"].to_numpy(), group["room"].to_numpy(), bounds, (key % len(idf)).astype(np.int32)))
-
-
-def _search(queries: bytes, postings: bytes, size: int, docs: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(wid, uid, n, fits, key) of the best documents of one block, for every window of another."""
-    wid, seed, room, bounds, asked = pickle.loads(queries)
-    uid, n, terms, count, doc, weight = pickle.loads(postings)
-    per_term, start = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    per_term[terms], start[terms] = count, np.cumsum(count) - count
-    for k in range(len(wid)):
-        t = asked[bounds[k]:bounds[k + 1]]
-        at = ragged(start[t], per_term[t])
-        score = np.bincount(doc[at], weights=weight[at], minlength=len(uid))
-        near = np.flatnonzero(score > 0)
-        # Near copies score alike for every window: each window takes those that follow its seed.
-        key = np.floor(np.log(score[near]) * TIE) - (uid[near] - seed[k]) % docs / docs
-        fits = n[near] <= room[k]
-        for which, most in ((True, WHOLE), (False, CUT)):
-            at = np.flatnonzero(fits == which)
-            if len(at) > most:
-                at = at[np.argpartition(key[at], len(at) - most)[len(at) - most:]]
-            yield np.full(len(at), wid[k]), uid[near[at]], n[near[at]], np.full(len(at), which), key[at]
-
-
-_ASKED = "wid long, uid long, n long, fits boolean, key double"
-_PIECES = "wid long, offset long, uid long, start long, length long"
-_START_BITS = 31  # of a window's name: the document that opens it, and where in it
-
-
-def _opened(uid: int, at: int, n: int, window: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """Pieces of the windows that a document opens from its token ``at`` on."""
-    while at < n:
-        take = min(window, n - at)
-        yield uid << _START_BITS | at, 0, uid, at, take
-        at += take
-
-
-def _fill(wid: int, room: int, got: list[dict], waits: bool, window: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """Pieces that a window places of the documents it got: whole ones, best first, then a cut one.
-
-    ``waits``: the window had asked for documents that fit whole, so it cuts none in this round.
-    """
-    rest = sorted(got, key=lambda g: (-g["key"], g["uid"]))
-    for g in [g for g in rest if g["fits"]]:
-        if g["n"] <= room:
-            yield wid, window - room, g["uid"], 0, g["n"]
-            room -= g["n"]
-    cut = next((g for g in rest if not g["fits"]), None)
-    if room and cut and not waits:
-        yield wid, window - room, cut["uid"], 0, room
-        yield from _opened(cut["uid"], room, cut["n"], window)
-
-
-def _rounds(docs: DataFrame, n_docs: int, idf, average: float, dtype: np.dtype, window: int) -> DataFrame:
-    """``wid, offset, uid, start, length``: windows filled from all unused documents.
-
-    ``docs``: ``uid`` (0 to ``n_docs`` - 1), ``n``, ``tokens``. A round opens windows by a hash
-    sample of the unused documents, as many as the others can fill; a round in which fewer than
-    a tenth of the unused found a place is followed by one that opens half of them, so the rounds end.
-    """
-    spark = docs.sparkSession
-    size = len(idf.value)
-    free = docs.select("uid", "n")
-    opened = spark.createDataFrame([], "wid long, uid long, room long")
-    pieces = spark.createDataFrame([], _PIECES)
-    slow, number = False, 0
-
-    def blocks(rows: DataFrame, build) -> tuple[DataFrame, int]:
-        most = max(1, -(-rows.count() // SHARD_DOCS), -(-(rows.agg(F.sum("n")).first()[0] or 0) // SHARD_TOKENS))
-        dealt = rows.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(most)))
-        made = dealt.groupBy("block").applyInArrow(lambda g: pa.table({"blob": pa.array([build(g, idf.value, average, dtype)], pa.binary())}), "blob binary")
-        return materialise(made, "blocks"), min(most, _PARTITIONS)
-
-    def start(rows: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield _rows([p for uid, n in zip(batch["uid"].to_pylist(), batch["n"].to_pylist(), strict=True) for p in _opened(uid, 0, n, window)])
-        return rows.select("uid", "n").mapInArrow(run, _PIECES)
+def _weights(df: np.ndarray, n_docs: int) -> np.ndarray:
+    """BM25's inverse document frequency of every token (0 for those of most documents)."""
+    return np.maximum(np.log((n_docs - df + 0.5) / (df + 0.5)), 0.0)
 
-    while True:
-        left, tokens, room = free.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.lit(window) - F.col("n") % window)).first()
-        if not left:
-            return pieces
-        spare = opened.agg(F.coalesce(F.sum("room"), F.lit(0))).first()[0]
-        share = max(OPENED * (tokens - spare) / (tokens + room), 0.5 if slow else 0.0)
-        chosen = free.filter(F.pmod(F.xxhash64("uid", F.lit(number)), F.lit(1_000_000)) < int(share * 1_000_000))
-        if (slow or not spare) and chosen.isEmpty():
-            chosen = free.filter(F.col("uid") == free.agg(F.min("uid")).first()[0])
-        new = materialise(start(chosen), "pieces")
-        pieces = pieces.unionByName(new)
-        opened = materialise(opened.unionByName(_short(new, window)), "open")
-        free = materialise(free.join(new.select("uid").distinct(), "uid", "left_anti"), "free")
-        if opened.isEmpty() or free.isEmpty():
-            number += 1
-            continue
-        asked_by, a = blocks(opened.join(docs, "uid"), _queries)
-        index, b = blocks(free.join(docs.select("uid", "tokens"), "uid"), _postings)
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for q, p in zip(batch["q"], batch["p"], strict=True):
-                    cols = list(zip(*_search(q.as_py(), p.as_py(), size, n_docs), strict=True))
-                    if cols:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["wid", "uid", "n", "fits", "key"])
-
-        pairs = asked_by.select(F.col("blob").alias("q")).repartition(a).crossJoin(index.select(F.col("blob").alias("p")).repartition(b))
-        best = Window.partitionBy("wid", "fits").orderBy(F.col("key").desc(), "uid")
-        found = pairs.mapInArrow(search, _ASKED).withColumn("rank", F.row_number().over(best))
-        found = materialise(found.filter(F.col("rank") <= F.when(F.col("fits"), WHOLE).otherwise(CUT)).drop("rank"), "found")
-        waits = found.groupBy("wid").agg(F.max("fits").alias("waits"))
-        # A window that waits for whole ones takes no document away from one that cuts.
-        wanted = found.join(waits, "wid").filter("fits OR NOT waits")
-        given = wanted.groupBy("uid").agg(F.max(F.struct("key", F.negative("wid").alias("w"), "n", "fits", "waits")).alias("g"))
-        given = given.groupBy((-F.col("g.w")).alias("wid")).agg(F.collect_list(F.struct("g.key", "uid", "g.n", "g.fits")).alias("got"), F.max("g.waits").alias("waits"))
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield _rows([p for r in batch.to_pylist() for p in _fill(r["wid"], r["room"], r["got"], r["waits"], window)])
-
-        new = materialise(given.join(opened.select("wid", "room"), "wid").mapInArrow(place, _PIECES), "pieces")
-        pieces = pieces.unionByName(new)
-        placed = new.groupBy("wid").agg(F.sum("length").alias("more"))
-        still = opened.join(placed, "wid", "left").withColumn("room", F.col("room") - F.coalesce("more", F.lit(0))).drop("more")
-        begun = _short(new.join(opened.select("wid"), "wid", "left_anti"), window)
-        opened = materialise(still.unionByName(begun).filter("room > 0"), "open")
-        free = materialise(free.join(new.select("uid").distinct(), "uid", "left_anti"), "free")
-        slow, number = free.count() > 0.9 * left, number + 1
-
-
-def _rows(pieces: list[tuple[int, ...]]) -> pa.RecordBatch:
-    cols = np.array(pieces, np.int64).reshape(-1, 5).T
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["wid", "offset", "uid", "start", "length"])
-
-
-def _short(pieces: DataFrame, window: int) -> DataFrame:
-    """The windows of one piece that have room: ``wid, uid, room``; the piece's document is their seed."""
-    return pieces.filter(F.col("length") < window).select("wid", "uid", (F.lit(window) - F.col("length")).alias("room"))
-
-
-def _joined(pieces: DataFrame, window: int) -> DataFrame:
-    """``pieces`` with the short windows joined end to end, about ``SHARD_DOCS`` at a time."""
-    total = pieces.groupBy("wid").agg(F.sum("length").alias("total")).filter(F.col("total") < window)
-    short = materialise(global_index(total.select("wid"), [F.col("wid")], "k"), "short")
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("k", "ascending"), ("offset", "ascending")])
-        rest, out = list(zip(*[group[c].to_pylist() for c in ("uid", "start", "length")], strict=True)), []
-        seq, room = [], window
-        for uid, at, n in rest:
-            while n:
-                take = min(n, room)
-                seq.append((uid, at, take))
-                uid, at, n, room = uid, at + take, n - take, room - take
-                if not room:
-                    out.append(seq)
-                    seq, room = [], window
-        out += _powers_of_two(seq)
-        rows = [(s[0][0] << _START_BITS | s[0][1], place, *p) for s in out for place, p in zip(np.cumsum([0, *[p[2] for p in s[:-1]]]).tolist(), s, strict=True)]
-        return pa.Table.from_batches([_rows(rows)])
-
-    again = pieces.join(short, "wid").withColumn("shard", F.floor(F.col("k") / SHARD_DOCS)).groupBy("shard").applyInArrow(run, _PIECES)
-    return pieces.join(short, "wid", "left_anti").unionByName(again)
-
-
-def _pack_blocks(tokens: DataFrame, n_docs: int, idf, average: float, dtype: np.dtype, window: int, schema: T.StructType) -> DataFrame:
-    """Pieces of a table of several blocks, with the columns of ``schema``."""
-    # Rows of one id and text are alike, so any order among them gives the same pieces.
-    docs = materialise(global_index(tokens.withColumn("h", F.xxhash64("id", "tokens")), [F.col("h"), F.col("id"), F.col("tokens")], "uid").drop("h"), "numbered")
-    pieces = materialise(_joined(_rounds(docs, n_docs, idf, average, dtype, window), window), "packed")
-    byte = dtype.itemsize
-    raw = pieces.join(docs, "uid").select("id", "start", "length", F.col("n").alias("doc_tokens"), F.col("wid").alias("sequence_id"), "offset",
-                                          F.substring("tokens", (F.col("start") * byte + 1).cast("int"), (F.col("length") * byte).cast("int")).alias("ids"))
-
-    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Sketcher:
+    """Routing values of a document: what it shares, with high probability, with related ones.
+
+    ``SHINGLE_VALUES`` are minima of hashed token 5-grams: near copies and documents that share
+    a passage agree on them. ``TOKEN_VALUES`` are pairs of samples of its tokens, each token with
+    a chance in proportion to its weight: documents of one subject agree on them. ``lead`` is
+    the first sample alone.
+    """
+
+    def __init__(self, idf: np.ndarray):
+        rng = np.random.default_rng(11)
+        with np.errstate(divide="ignore"):
+            race = -np.log(rng.random((2 * TOKEN_VALUES, len(idf)))) / idf  # the least wins: a draw by weight
+        self.rank = np.empty(race.shape, np.uint32)
+        np.put_along_axis(self.rank, np.argsort(race, axis=1, kind="stable"), np.arange(len(idf), dtype=np.uint32)[None], axis=1)
+        self.useful = int((idf > 0).sum())
+        numbers = np.arange(1, SHINGLE_VALUES + TOKEN_VALUES + 1, dtype=np.uint64)
+        self.seeds, self.marks = ts.mix64(numbers * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1), ts.mix64(numbers * np.uint64(0xA0761D6478BD642F))
+
+    def __call__(self, flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(value or 0 by document and kind, lead) of documents of one token at least."""
+        first, length = off[:-1], np.diff(off)
+        values = np.zeros((len(first), SHINGLE_VALUES + TOKEN_VALUES), np.uint64)
+        best = [np.minimum.reduceat(r[flat], first) for r in self.rank]
+        for j in range(TOKEN_VALUES):
+            a, b = best[2 * j].astype(np.uint64), best[2 * j + 1].astype(np.uint64)
+            v = ts.mix64((a << np.uint64(32) | b) + self.marks[j])
+            values[:, SHINGLE_VALUES + j] = np.where(best[2 * j] < self.useful, v & ~np.uint64(1), 0)
+        if len(flat) >= SHINGLE:
+            h = np.zeros(len(flat) - SHINGLE + 1, np.uint64)
+            for k in range(SHINGLE):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + flat[k:k + len(h)] + np.uint64(1)
+            h = ts.mix64(h)
+            long = np.flatnonzero(length >= SHINGLE)
+            # A document's shingles, then those that run into the next one (left out).
+            cuts = np.stack([first[long], first[long] + length[long] - SHINGLE + 1], axis=1).ravel()
+            cuts = cuts[:-1] if len(cuts) and cuts[-1] >= len(h) else cuts
+            for j in range(SHINGLE_VALUES if len(long) else 0):
+                values[long, j] = ts.mix64(np.minimum.reduceat((h * self.seeds[j]) >> np.uint64(8), cuts)[::2] + self.marks[j]) | np.uint64(1)  # odd: a shingle's
+        return values.view(np.int64), best[0].astype(np.int64)
+
+
+def routes(tokens: DataFrame, idf, dtype: np.dtype, n_docs: int) -> DataFrame:
+    """``uid, shard``: shards of about ``SHARD_DOCS`` documents (or ``SHARD_TOKENS`` ids) that share routing values.
+
+    A document goes by the shingle value that the fewest others share, its closest copies'; one
+    without any goes by the token value that most documents share, as long as a shard can hold
+    them all. Documents of one value stand next to each other; a value of more documents than a
+    shard holds, however many, fills several shards. Only keys are moved here.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = Sketcher(idf.value)
         for batch in batches:
-            data, off = ts.utf8_buffers(batch["ids"])
-            ids = np.frombuffer(data.tobytes(), dtype).astype("<u4")
-            blob = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((off // byte * 4).astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
-            yield batch.set_column(6, "ids", blob)
+            for part in ts.chunks(batch.column(2)):
+                found, lead = sketch(np.frombuffer(part.data.tobytes(), dtype), part.off // dtype.itemsize)
+                row, kind = np.nonzero(found)
+                bounds = np.searchsorted(row, np.arange(part.n + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, part.n), batch.column(1).slice(part.lo, part.n), pa.array(lead),
+                                                  pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found[row, kind]))], names=["uid", "n", "lead", "values"])
+
+    keys = materialise(tokens.select("uid", "n", "tokens").mapInArrow(run, "uid long, n long, lead long, values array<long>"), "sketches")
+    each = keys.select("uid", F.explode("values").alias("value"))
+    counts = materialise(each.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "values")
+    often = max(SHARD_DOCS, n_docs // 1000)
+    hot = F.broadcast(counts.filter(F.col("c") > often))  # at most 1,000 values of each kind
+    shared = (each.join(hot.select("value"), "value", "left_anti").join(counts.filter(F.col("c") <= often), "value")
+              .unionByName(each.join(hot, "value")))
+    text = F.col("value").bitwiseAND(F.lit(1)) == 1
+    choice = F.struct(text.alias("text"), F.when(text | (F.col("c") > SHARD_DOCS), -F.col("c")).otherwise(F.col("c")).alias("c"), "value")
+    chosen = shared.groupBy("uid").agg(F.max(choice).alias("best"))
+    order = ["alone", "key", "uid"]
+    placed = (keys.select("uid", "n", "lead").join(chosen, "uid", "left")
+              .select("uid", F.col("best").isNull().alias("alone"), F.coalesce("best.value", "lead").alias("key"),
+                      F.greatest(F.lit(SHARD_TOKENS // SHARD_DOCS), F.least("n", F.lit(SHARD_TOKENS))).alias("cost"))
+              .repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    placed = materialise(placed, "order").withColumn("part", F.shiftrightunsigned("at", 33))
+    # Prefix sums of the costs: of the partitions before, and of the rows before in the partition.
+    sums = placed.groupBy("part").agg(F.sum("cost").alias("sum"))
+    before = sums.select("part", F.coalesce(F.sum("sum").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    here = F.coalesce(F.sum("cost").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return (placed.withColumn("here", here).join(F.broadcast(before), "part")  # one row a partition
+            .select("uid", F.floor((F.col("before") + F.col("here")) / SHARD_TOKENS).cast("long").alias("shard")))
+
+
+def best_fits(tokens: DataFrame, asked: DataFrame, idf, average: float, dtype: np.dtype, window: int = WINDOW) -> DataFrame:
+    """``seed, uid, score, self``: the best-scoring document that fits each seed's window whole, by exhaustive search.
+
+    ``asked`` (``uid, n, tokens``) is a bounded set of seeds that is sent to every task; all
+    documents are scored against it, and nothing is pruned. With it the shards' recall is measured.
+    """
+    seeds = asked.select("uid", "n", "tokens").orderBy("uid").collect()
+    query = np.zeros((len(idf.value), len(seeds)))
+    for k, r in enumerate(seeds):
+        query[np.unique(np.frombuffer(r["tokens"], dtype)), k] = 1.0
+    names, room = np.array([r["uid"] for r in seeds], np.int64), np.array([window - r["n"] % window for r in seeds])
+    sent = tokens.sparkSession.sparkContext.broadcast(query)
 
-    return raw.mapInArrow(widen, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, off = ts.utf8_buffers(batch.column(2))
+            doc, token, weight = _weighted(np.frombuffer(data.tobytes(), dtype), off // dtype.itemsize, idf.value, average)
+            first = np.searchsorted(doc, np.arange(len(uid) + 1))
+            for i in range(len(uid)):
+                at = slice(first[i], first[i + 1])
+                score = weight[at] @ sent.value[token[at]]
+                fit = np.flatnonzero((score > 0) & ((n[i] <= room) | (names == uid[i])))
+                yield pa.RecordBatch.from_arrays([pa.array(names[fit]), pa.array(np.full(len(fit), uid[i])), pa.array(score[fit])], names=["seed", "uid", "score"])
+
+    scored = tokens.select("uid", "n", "tokens").mapInArrow(run, "seed long, uid long, score double")
+    own = scored.filter("seed = uid").select("seed", F.col("score").alias("self"))
+    best = scored.filter("seed <> uid").groupBy("seed").agg(F.max(F.struct("score", F.negative("uid").alias("u"))).alias("b"))
+    return best.select("seed", (-F.col("b.u")).alias("uid"), "b.score").join(own, "seed")
 
 
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
@@ -399,33 +327,21 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc
 
     ``ids`` are the piece's ids as little-endian unsigned 32-bit integers; ``offset`` is the
     piece's place in its sequence, ``start`` its place in its document. A sequence has
-    ``window`` ids, or a power of two (at the end of a block of short windows).
+    ``window`` ids, or a power of two (at the end of a shard).
 
     Defined results: a null or empty text is the closing id alone; repeated rows are packed
     row by row; texts longer than a window fill windows of their own first; further columns
     are ignored; an empty table gives an empty one.
     """
-    vocab = pt.Vocabulary(tokenizer)
-    dtype = WordIds(vocab).dtype
-    size = max(max(vocab.vocab.values()), *vocab.special.values()) + 1
-    tokens = materialise(tokenise(docs, tokenizer, text, id_col), "tokens")
-    n_docs, n_tokens = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # Bounded by the vocabulary, whatever the table holds.
-    df = np.zeros(size, np.int64)
-    for row in document_frequency(tokens, dtype, size).collect():
-        df[row["token"]] = row["df"]
-    idf = docs.sparkSession.sparkContext.broadcast(np.maximum(np.log((n_docs - df + 0.5) / (df + 0.5)), 0.0))
-    average = max(1.0, n_tokens / max(1, n_docs))
-    shards = max(1, -(-n_docs // SHARD_DOCS), -(-n_tokens // SHARD_TOKENS))
+    tokens, idf, average, dtype, n_docs = prepare(docs, tokenizer, text, id_col)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("h", "ascending")])
         data, off = ts.utf8_buffers(group["tokens"])
         flat = np.frombuffer(data.tobytes(), dtype)
         off = off // dtype.itemsize
-        parts = [flat[a:b].astype(np.int64) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        base = int(group["shard"][0].as_py()) << 32
-        out = [(base + k, place, *p) for k, seq in enumerate(pack_documents(parts, idf.value, average, window))
+        base = group["shard"][0].as_py() << 32
+        out = [(base + k, place, *p) for k, seq in enumerate(pack_documents(flat, off, idf.value, average, window))
                for place, p in zip(np.cumsum([0, *[p[2] for p in seq[:-1]]]).tolist(), seq, strict=True)]
         seq_id, place, doc, start, n = np.array(out, np.int64).reshape(-1, 5).T
         ids = flat[ragged(off[doc] + start, n)].astype("<u4")
@@ -434,10 +350,20 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc
         return pa.table({"id": group["id"].take(pa.array(doc)), "start": pa.array(start), "length": pa.array(n), "doc_tokens": pa.array(np.diff(off)[doc]),
                          "sequence_id": pa.array(seq_id), "offset": pa.array(place), "ids": blob})
 
-    h = F.xxhash64("id", "tokens")
     long = T.LongType()
     schema = T.StructType([tokens.schema["id"], *[T.StructField(c, long) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")], T.StructField("ids", T.BinaryType())])
-    if shards > 1:
-        return _pack_blocks(tokens, n_docs, idf, average, dtype, window, schema).withColumnRenamed("id", id_col)
-    dealt = tokens.withColumn("h", h).withColumn("shard", F.lit(0).cast("long"))
+    dealt = tokens.select("uid", "id", "tokens").join(routes(tokens, idf, dtype, n_docs), "uid").withColumn("h", F.xxhash64("id", "tokens"))
     return dealt.groupBy("shard").applyInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def prepare(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_id"):
+    """(tokens, idf, average length, dtype, documents): the written token table ``uid, id, n, tokens`` and its BM25 statistics."""
+    vocab = pt.Vocabulary(tokenizer)
+    dtype = WordIds(vocab).dtype
+    size = max(max(vocab.vocab.values()), *vocab.special.values()) + 1
+    tokens = materialise(tokenise(docs, tokenizer, text, id_col).withColumn("uid", F.monotonically_increasing_id()), "tokens")
+    n_docs, n_tokens = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    df = np.zeros(size, np.int64)
+    for row in document_frequency(tokens, dtype, size).collect():  # bounded by the vocabulary, whatever the table holds
+        df[row["token"]] = row["df"]
+    return tokens, docs.sparkSession.sparkContext.broadcast(_weights(df, n_docs)), max(1.0, n_tokens / max(1, n_docs)), dtype, n_docs
