@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -226,9 +226,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, part.n), spans, kept], names=["r", "spans", "kept"])
 
 
+def _within(names: list[str], path: str) -> Column:
+    """A column of the row ``r``, or a field of one of its structs (``column.field``)."""
+    if path in names or "." not in path:
+        return F.col("r").getField(path)
+    column, field = path.split(".", 1)
+    return F.col("r").getField(column).getField(field)
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD, seed: int = SEED) -> DataFrame:
     """Every row of ``docs`` with ``n_bytes``, ``n_removed``, ``spans`` and ``kept``.
 
+    ``text`` and ``id_col`` are columns, or fields of a struct column (``row.text``).
     ``spans`` (``array<struct<start, stop>>``, UTF-8 byte offsets, ascending and disjoint) are
     the maximal repeated byte runs; ``kept`` (binary) is the text without them.
 
@@ -240,7 +249,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     if not 0 < seed < threshold or threshold - seed > 255:
         raise ValueError("seed must be shorter than the threshold, by 255 bytes at most")
     names = docs.columns
-    ids, body = F.col("r").getField(id_col), F.coalesce(F.col("r").getField(text).cast("string"), F.lit(""))
+    ids, body = _within(names, id_col), F.coalesce(_within(names, text).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"))
     odd = rows.select(ids.cast("long").alias("uid")).groupBy("uid").count().filter("uid IS NULL OR count > 1")
     if odd.isEmpty():
