@@ -99,7 +99,8 @@ def _occurs_again(*parts: np.ndarray) -> np.ndarray:
         key = key * (int(part.max()) + 1) + part
         if len(key) and int(key.max()) >= 1 << 31:
             key = np.unique(key, return_inverse=True)[1]
-    return np.bincount(key)[key] > 1
+    _, key, count = np.unique(key, return_inverse=True, return_counts=True)
+    return count[key] > 1
 
 
 def ledger(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
