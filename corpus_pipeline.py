@@ -43,12 +43,12 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def repeated_passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every byte of an earlier 100-byte string is cut; documents with nothing left go."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
-    cut = suffix_dedup.remove_repeats(rows).filter("n_removed < n_bytes OR n_bytes = 0")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    cut = suffix_dedup.remove_repeats(rows, text="row.text", id_col="row.doc_id").filter("n_removed < n_bytes OR n_bytes = 0")
     # A cut may fall inside a character; what is left of that character goes too.
     left = F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")) \
         .otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
-    return _with_text(cut.withColumn("left", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(left)), docs.columns)
+    return _with_text(cut.withColumn("left", F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(left)), docs.columns)
 
 
 def _with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
