@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.operators import centres as CE
+from vellum.operators import lda as LD
 from vellum.operators import models as MD
 from vellum.operators import textops as TO
 from vellum.operators import tokens as TK
@@ -84,8 +85,7 @@ def q_lemma(spark, sf_dir):
 @register("document_embeddings")
 def q_doc_emb(spark, sf_dir):
     d = _doc_tokens(spark, sf_dir)
-    e = MD.document_embeddings(d, "word2vec", "tokens", dim=16)
-    return e.select("doc_id", MD.vector_to_array("embedding").alias("embedding"))
+    return MD.document_embeddings(d, "indexing", "tokens", dim=16).select("doc_id", "embedding")
 
 
 @register("reduce_embeddings")
@@ -95,21 +95,25 @@ def q_reduce_emb(spark, sf_dir):
     return r.select("vec_id", "reduced")
 
 
+def _lda_counts(spark, sf_dir):
+    d = _doc_tokens(spark, sf_dir)
+    counts = TK.term_counts(d, F.col("tokens"), ("doc_id",))
+    return d.select("doc_id"), LD.B.write_blocks(counts)
+
+
 @register("lda_fit")
 def q_lda(spark, sf_dir):
-    d = _doc_tokens(spark, sf_dir)
-    _, counted = MD.count_vectors(d, "tokens", out_col="counts")
-    model = MD.lda_fit(counted, k=10, seed=42, max_iter=10)
-    topics = model.describeTopics(10)
-    return topics.select(F.col("topic").cast("int").alias("topic"), "termIndices", "termWeights")
+    """The ten likeliest terms of each of ten topics."""
+    _, blocks = _lda_counts(spark, sf_dir)
+    model = LD.fit(blocks.counts, k=10, seed=42, passes=10, blocks=blocks)
+    blocks.drop()
+    return LD.describe(model, 10)
 
 
 def _lda_matrix(spark, sf_dir, k=10):
-    d = _doc_tokens(spark, sf_dir)
-    _, counted = MD.count_vectors(d, "tokens", out_col="counts")
-    counted = counted.persist()
-    model = MD.lda_fit(counted, k=k, seed=42, max_iter=10)
-    return MD.lda_topic_matrix(model, counted, k)
+    docs, blocks = _lda_counts(spark, sf_dir)
+    model = LD.fit(blocks.counts, k=k, seed=42, passes=10, blocks=blocks)
+    return LD.topic_matrix(model, blocks.counts, docs, blocks=blocks)
 
 
 @register("lda_topic_matrix")
@@ -120,8 +124,7 @@ def q_lda_matrix(spark, sf_dir):
 
 @register("pca_topic_mixture")
 def q_pca_lda(spark, sf_dir):
-    m = MD.as_vector(_lda_matrix(spark, sf_dir), "topic_mix", "features")
-    p = MD.pca_coordinates(m, "features", 3, "coords", id_col="doc_id")
+    p = MD.pca_coordinates(_lda_matrix(spark, sf_dir), "topic_mix", 3, "coords", id_col="doc_id")
     from vellum.functions.text import encode_coords
     return p.select("doc_id", "coords", encode_coords("coords").alias("LDA_PCA_Coordinates"))
 
