@@ -16,9 +16,11 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,11 +37,11 @@ K1, B = 1.2, 0.75
 END_ID = 0           # closes every document
 SHINGLE = 5          # tokens of a hashed window of the routing sketch
 SHINGLE_VALUES, TOKEN_VALUES = 4, 8
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 1 << 18  # about; twice as many at most
 
 
 class WordIds:
-    """Ids of words, remembered across the chunks of a task (a bounded number of words)."""
+    """Ids of words, remembered across the chunks and tasks of a worker (a bounded number of words)."""
 
     def __init__(self, vocab: pt.Vocabulary):
         self.vocab = vocab
@@ -47,18 +49,20 @@ class WordIds:
         self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.code = "H" if top < 1 << 16 else "I"
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, part: ts.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a chunk's documents."""
         w = pt.words(part, self.vocab)
         inverse, contents = ts.codes(part.data, w.start, w.end)
         spelled = contents.to_pylist()
-        if len(self.known) > _CACHE_WORDS:
-            self.known.clear()
-        new = [s for s in spelled if s not in self.known]
-        for s, ids in zip(new, pt.encode_words(self.vocab, new), strict=True):
-            self.known[s] = array(self.code, ids).tobytes()
-        blobs = [self.known[s] for s in spelled]
+        known, older = self.known, self.older
+        known.update({s: older[s] for s in spelled if s not in known and s in older})
+        new = [s for s in spelled if s not in known]
+        known.update({s: array(self.code, ids).tobytes() for s, ids in zip(new, pt.encode_words(self.vocab, new), strict=True)})
+        blobs = [known[s] for s in spelled]
+        if len(known) > _CACHE_WORDS:  # the words met since the last change stay
+            self.older, self.known = known, {}
         size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
         flat = np.frombuffer(b"".join(blobs), self.dtype)
         n = size[inverse]
@@ -67,13 +71,25 @@ class WordIds:
         return ids, ends[np.append(0, np.cumsum(np.bincount(w.doc, minlength=part.n)))]
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    return WordIds(pt.vocabulary(path))
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of the compressed id lists of a column."""
+    expand = zstandard.ZstdDecompressor().decompress
+    raw = [expand(b) for b in column.to_pylist()]
+    return np.frombuffer(b"".join(raw), dtype), np.append(0, np.cumsum([len(r) for r in raw], dtype=np.int64)) // dtype.itemsize
+
+
 def tokenise(docs: DataFrame, tokenizer: str, text: str, id_col: str) -> DataFrame:
     """``id, n, tokens``: each document's ids and the closing id, as little-endian unsigned integers
-    of two bytes (four, for a vocabulary of 65,536 ids or more)."""
+    of two bytes (four, for a vocabulary of 65,536 ids or more), compressed."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(pt.vocabulary(tokenizer))
+        words, squeeze = word_ids(tokenizer), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for part in ts.chunks(batch.column(1)):
                 ids, off = words.encode(part)
@@ -83,9 +99,9 @@ def tokenise(docs: DataFrame, tokenizer: str, text: str, id_col: str) -> DataFra
                 body = np.ones(len(out), bool)
                 body[ends - 1] = False
                 out[body] = ids
-                bounds = np.append(0, ends) * words.dtype.itemsize
-                blob = pa.Array.from_buffers(pa.large_binary(), part.n, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, part.n), pa.array(n), blob], names=["id", "n", "tokens"])
+                raw, bounds = out.tobytes(), (np.append(0, ends) * words.dtype.itemsize).tolist()
+                blobs = [squeeze(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, part.n), pa.array(n), pa.array(blobs, pa.binary())], names=["id", "n", "tokens"])
 
     return src.mapInArrow(run, T.StructType([src.schema["id"], T.StructField("n", T.LongType()), T.StructField("tokens", T.BinaryType())]))
 
@@ -115,7 +131,7 @@ def document_frequency(tokens: DataFrame, dtype: np.dtype, size: int) -> DataFra
         total = np.zeros(size, np.int64)
         for batch in batches:
             for part in ts.chunks(batch.column(0)):
-                total += np.bincount(_term_counts(np.frombuffer(part.data.tobytes(), dtype), part.off // dtype.itemsize, size)[1], minlength=size)
+                total += np.bincount(_term_counts(*unpacked(batch.column(0).slice(part.lo, part.n), dtype), size)[1], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["token", "df"])
 
@@ -262,7 +278,7 @@ def routes(tokens: DataFrame, idf, dtype: np.dtype, n_docs: int) -> DataFrame:
         sketch = Sketcher(idf.value)
         for batch in batches:
             for part in ts.chunks(batch.column(2)):
-                found, lead = sketch(np.frombuffer(part.data.tobytes(), dtype), part.off // dtype.itemsize)
+                found, lead = sketch(*unpacked(batch.column(2).slice(part.lo, part.n), dtype))
                 row, kind = np.nonzero(found)
                 bounds = np.searchsorted(row, np.arange(part.n + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, part.n), batch.column(1).slice(part.lo, part.n), pa.array(lead),
@@ -307,15 +323,14 @@ def best_fits(tokens: DataFrame, asked: DataFrame, idf, average: float, dtype: n
     seeds = asked.select("uid", "n", "tokens").orderBy("uid").collect()
     query = np.zeros((len(idf.value), len(seeds)))
     for k, r in enumerate(seeds):
-        query[np.unique(np.frombuffer(r["tokens"], dtype)), k] = 1.0
+        query[np.unique(unpacked(pa.array([r["tokens"]]), dtype)[0]), k] = 1.0
     names, room = np.array([r["uid"] for r in seeds], np.int64), np.array([window - r["n"] % window for r in seeds])
     sent = tokens.sparkSession.sparkContext.broadcast(query)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data, off = ts.utf8_buffers(batch.column(2))
-            doc, token, weight = _weighted(np.frombuffer(data.tobytes(), dtype), off // dtype.itemsize, idf.value, average)
+            doc, token, weight = _weighted(*unpacked(batch.column(2), dtype), idf.value, average)
             first = np.searchsorted(doc, np.arange(len(uid) + 1))
             for i in range(len(uid)):
                 at = slice(first[i], first[i + 1])
@@ -344,9 +359,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("h", "ascending")])
-        data, off = ts.utf8_buffers(group["tokens"])
-        flat = np.frombuffer(data.tobytes(), dtype)
-        off = off // dtype.itemsize
+        flat, off = unpacked(group["tokens"], dtype)
         base = group["shard"][0].as_py() << 32
         out = [(base + k, place, *p) for k, seq in enumerate(pack_documents(flat, off, idf.value, average, window))
                for place, p in zip(np.cumsum([0, *[p[2] for p in seq[:-1]]]).tolist(), seq, strict=True)]
@@ -359,7 +372,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc
 
     long = T.LongType()
     schema = T.StructType([tokens.schema["id"], *[T.StructField(c, long) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")], T.StructField("ids", T.BinaryType())])
-    dealt = tokens.select("uid", "id", "tokens").join(routes(tokens, idf, dtype, n_docs), "uid").withColumn("h", F.xxhash64("id", "tokens"))
+    dealt = tokens.select("uid", "id", "tokens").join(routes(tokens, idf, dtype, n_docs).hint("merge"), "uid").withColumn("h", F.xxhash64("id", "tokens"))
     return dealt.groupBy("shard").applyInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
