@@ -36,7 +36,7 @@ SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
 END_ID = 0           # closes every document
 SHINGLE = 5          # tokens of a hashed window of the routing sketch
-SHINGLE_VALUES, TOKEN_VALUES = 4, 8
+SHINGLE_VALUES, TOKEN_VALUES = 4, 12
 _CACHE_WORDS = 1 << 18  # about; twice as many at most
 
 
