@@ -41,7 +41,7 @@ s AS (SELECT e.vec_id, CASE WHEN ab.a IS NULL OR ab.b IS NULL THEN 0 ELSE (ab.b
       FROM e LEFT JOIN ab ON ab.i = e.vec_id)
 SELECT round(avg(s), 6) AS silhouette, count(*) AS n FROM s""")
 def q_silhouette(spark, sf_dir):
-    s = MD.silhouette(_emb(spark, sf_dir), "vec_id", "embedding", "label", block_rows=256)
+    s = MD.silhouette(_emb(spark, sf_dir), "vec_id", "embedding", "label")
     return s.select(F.round("silhouette", 6).alias("silhouette"), "n")
 
 
