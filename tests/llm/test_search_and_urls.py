@@ -45,6 +45,7 @@ def test_few_candidates_repeated_queries_and_no_rows(vectors):
     assert topk_search.top_k(few, q.filter("false"), 10).count() == 0
 
 
+BLOCKED = ("ads-track.example.com", "spam-farm.example.org", "casino-win.example.net", "adult-x.example.com", "cheap-pills.example.net", "free-bets.example.net")
 URLS = [(0, None), (1, ""), (2, "no scheme/path"), (3, "https://EXAMPLE.org/es/x"), (4, "http://a.example.org/en/12?q=1"), (5, "https://example.org"),
         (6, "https://x.com/fr/1#a"), (7, "https://x.com/de/"), (8, "https://com/de/y"), (9, "https://notorg/"), (10, "ftp://ADS-track.example.com:80/x"),
         (11, "https://m.ads-track.example.com/x"), (12, "https://bads-track.example.com/x"), (13, "https://ok.net/bad/page?x=1"), (14, "https://ok.net/bad/page/2"),
@@ -54,7 +55,7 @@ URLS = [(0, None), (1, ""), (2, "no scheme/path"), (3, "https://EXAMPLE.org/es/x
 
 def test_url_verdicts(spark):
     pages = spark.createDataFrame(URLS, "page_id long, url string").withColumn("host", F.lit("h")).withColumn("entry", F.lit("e"))
-    blocked = spark.createDataFrame([*[(b,) for b in url_filter.BLOCKED], ("ok.net/bad/page",), (None,), ("",), (url_filter.BLOCKED[0],)], "entry string")
+    blocked = spark.createDataFrame([*[(b,) for b in BLOCKED], ("ok.net/bad/page",), (None,), ("",), (BLOCKED[0],)], "entry string")
     rows = url_filter.judge(pages, blocked).collect()
     assert len(rows) == len(URLS)
     got = {r["page_id"]: (r["host"], r["path"][:9], r["rule"], r["verdict"]) for r in rows if r["page_id"] != 19}
@@ -75,3 +76,16 @@ def test_probe_in_many_shards(spark, monkeypatch):
     stored = spark.range(0, 3000, 3).selectExpr("concat('host', id) AS entry")
     wanted = spark.range(0, 1000).selectExpr("concat('host', id % 500) AS entry")
     assert {r["entry"] for r in url_filter.probe(wanted, stored).collect()} == {f"host{i}" for i in range(0, 500, 3)}
+
+
+def test_listed_names_are_blocked_under_every_domain(spark):
+    from tests.conftest import SF_SMALL
+    urls = ["https://m.casino-win.example.com/x", "http://free-bets.co.uk/", "http://adult-x.test:8080/a", "http://my-adult-x.test/", "http://a.b.org/casino-win.example.com", "http://casino-win"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = url_filter.variants(url_filter.NAMES, pages)
+    assert listed.count() == listed.distinct().count() >= 6 * 10
+    got = {r["page_id"]: r["listed"] for r in url_filter.judge(pages, listed).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: False, 5: False}
+    pages = spark.read.parquet(f"{SF_SMALL.replace('0.001', '0.1')}/pages.parquet")
+    found = url_filter.judge(pages, url_filter.variants(url_filter.NAMES, pages)).filter("listed").count()
+    assert found == pages.filter(F.col("url").rlike("://([^/?#]*[.])?(ads-track|spam-farm|casino-win|adult-x|cheap-pills|free-bets)[.]")).count() == 136

@@ -72,7 +72,7 @@ def _rule_sql(value: str) -> str:
     return f"CASE {cases} END"
 
 
-_LISTED_SQL = " OR ".join(f"host = '{b}' OR ends_with(host, '.{b}') OR host || path = '{b}'" for b in url_filter.BLOCKED)
+_LISTED_SQL = f"regexp_matches(host, '(^|\\.)({'|'.join(url_filter.NAMES)})\\.')"
 
 
 @register("op8_url_filter", rf"""
@@ -82,8 +82,8 @@ SELECT page_id, host, path, {_rule_sql("name")} AS rule, ({_LISTED_SQL}) AS list
        coalesce({_rule_sql("verdict")}, CASE WHEN {_LISTED_SQL} THEN 'block' ELSE 'allow' END) AS verdict FROM p
 """)
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocked = spark.createDataFrame([(b,) for b in url_filter.BLOCKED], "entry string")
-    return url_filter.judge(table(spark, sf_dir, "pages"), blocked)
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.variants(url_filter.NAMES, pages))
 
 
 @register("op9_ngram_jaccard_join", r"""

@@ -22,6 +22,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.lineage import materialise
+from vellum.operators.common import checked_broadcast
+
 SHARD_ROWS = 1 << 20  # keys, and probes, of one shard at most (on average)
 
 
@@ -40,9 +43,8 @@ class Rule:
 RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
          Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
 
-#: Production blocklist: hosts (with their subdomains) or host + path.
-BLOCKED = ("ads-track.example.com", "spam-farm.example.org", "casino-win.example.net", "adult-x.example.com",
-           "cheap-pills.example.net", "free-bets.example.net")
+#: Production blocklist: names of blocked sites; under which domains they stand is read from the pages.
+NAMES = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
 
 
 def host_of(url: Column) -> Column:
@@ -73,6 +75,16 @@ def parent_domains(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
 
 
+def variants(names: tuple[str, ...], pages: DataFrame, url: str = "url") -> DataFrame:
+    """``entry``: every listed name under every domain that occurs in ``pages`` (``name.example.org``, ``name.org``, …).
+
+    The list grows with the distinct domains of the input, ``len(names)`` entries for each.
+    """
+    hosts = pages.select(host_of(F.col(url)).alias("host")).filter("host <> ''").distinct()
+    domains = hosts.select(F.explode(parent_domains(F.col("host"))).alias("domain")).distinct()
+    return domains.select(F.explode(F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.concat(n, F.lit("."), F.col("domain")))).alias("entry"))
+
+
 def probe(entries: DataFrame, blocklist: DataFrame) -> DataFrame:
     """The distinct ``entry`` strings of ``entries`` that the blocklist holds.
 
@@ -122,11 +134,13 @@ def judge(pages: DataFrame, blocklist: DataFrame, rules: tuple[Rule, ...] = RULE
     domains = hosts.select("host", F.explode(parent_domains(h)).alias("entry"))
     exact = parts.filter("host <> '' AND path <> ''").select(F.concat(h, p).alias("entry"))
     hits = probe(domains.select("entry").unionByName(exact), blocklist).distinct()
-    bad_hosts = domains.join(hits, "entry", "left_semi").select("host").distinct().withColumn("bad_host", F.lit(True))
+    hits = materialise(hits, "listed")
+    bad_hosts = materialise(domains.join(hits, "entry", "left_semi").select("host").distinct().withColumn("bad_host", F.lit(True)), "hosts")
     bad_pages = hits.select(F.col("entry").alias("_page"), F.lit(True).alias("bad_page"))
     listed = F.coalesce("bad_host", F.lit(False)) | F.coalesce("bad_page", F.lit(False))
-    return (parts.join(bad_hosts, "host", "left")
-            .withColumn("_page", F.concat(h, p)).join(bad_pages, "_page", "left")
+    # The listed hosts found are few; where they are counted to be, a common host moves no page.
+    return (parts.join(checked_broadcast(bad_hosts), "host", "left")
+            .withColumn("_page", F.concat(h, p)).join(checked_broadcast(bad_pages), "_page", "left")
             .select(id_col, "host", "path", longest_rule(rules, h, p, "name").alias("rule"),
                     F.coalesce(longest_rule(rules, h, p, "verdict"), F.when(listed, "block").otherwise("allow")).alias("verdict"),
                     listed.alias("listed")))
