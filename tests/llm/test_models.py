@@ -182,3 +182,22 @@ def test_words_are_counted_over_all_documents(spark):
     assert {r["word"] for r in scanner.dictionary.collect()} == {"word", "more", *name[:1500]}
     rows = spark.createDataFrame([(f"{name[700]}-{name[1400]}-1234", "", "", None), ("kkkkkkkk-1234", "", "", None)], "value string, before string, after string, path string")
     assert {r["value"]: round(r["f_coverage"], 6) for r in scanner.features(rows).collect()} == {f"{name[700]}-{name[1400]}-1234": round(8 / 14, 6), "kkkkkkkk-1234": 0.0}
+
+
+def test_candidates_of_any_length_in_addresses_and_other_languages(spark):
+    phrase = " ".join(["correct horse battery staple"] * 10)
+    rows = {1: f'password="{phrase}" end', 2: "passwort: Geheim123!", 3: "use postgres://u:p4ssw0rd@h/db now", 4: "contraseña = hola.mundo9",
+            5: f"odd \uffff text password={PASSWORD} \uffff and {KEY}", 6: "mot de passe: x9!y"}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    found = secret_scan.candidates(docs).collect()
+    values = {}
+    for r in found:
+        assert rows[r["id"]][r["start"]:r["start"] + len(r["value"])] == r["value"]
+        values.setdefault(r["id"], []).append(r["value"])
+    assert values[1] == [phrase] and values[2] == ["Geheim123!"] and "p4ssw0rd" in values[3] and values[4] == ["hola.mundo9"] and values[6] == ["x9!y"]
+    assert sorted(values[5]) == sorted([PASSWORD, KEY])
+    labels = {(r["id"], r["value"]): r["label"] for r in secret_scan.labelled_by_format(secret_scan.candidates(docs)).collect()}
+    assert labels[(1, phrase)] == labels[(3, "p4ssw0rd")] == labels[(2, "Geheim123!")] == 1.0
+    marked = secret_scan.candidates(docs).select(F.col("id").alias("doc_id"), "text_key", "place", "value", F.lit(True).alias("is_secret"))
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, marked).collect()}
+    assert out[1] == 'password="[SECRET]" end' and out[5] == "odd \uffff text password=[SECRET] \uffff and [SECRET]"

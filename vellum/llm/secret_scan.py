@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives.
 
 Candidates are runs of key-like characters and every value assigned to a credential name,
-found by one regular expression; splitting the text by the same expression gives the words around each. Features describe a
+found by one regular expression, evaluated once; what stands between them gives the words around each. Features describe a
 candidate's length, its character transitions (changes of class, and how likely its letter
 pairs are in the corpus' words), its coverage by dictionary words, whether it is part of a
 path or the document stands under a test path, and its neighbouring words. A random forest
@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 
 from vellum.llm.lineage import materialise
 
-_NAME = r"(?i:password|passwd|passphrase|pwd|token|secret(?:[_-]?access)?(?:[_-]?key)?|api[_-]?key|access[_-]?key)"
+_NAME = r"(?i:passwor[dt]|passwd|passphrase|pwd|kennwort|mot[ _]de[ _]passe|contrase(?:ñ|n)a|token|secret(?:[_-]?access)?(?:[_-]?key)?|api[_-]?key|access[_-]?key)"
 _ASSIGNED = _NAME + r"""["']?\s{0,3}[=:]\s{0,3}["']?"""
 _RUN = r"[A-Za-z0-9_+/\-]"
-#: The value of a credential name (in quotes: up to the closing one); else a run that is no such name itself.
-CANDIDATE = (rf"""(?<=[=:]\s{{0,3}}["']?)(?<={_ASSIGNED})(?:(?<=["'])[^"'\r\n]{{1,200}}(?=["'])|[^\s"'&<>]*[^\s"'&<>.,;)\]}}])"""
+#: The value of a credential name (in quotes: up to the closing one), the password of an address
+#: (``scheme://user:password@host``); else a run that is no such name itself.
+CANDIDATE = (rf"""(?<=[=:]\s{{0,3}}["']?)(?<={_ASSIGNED})(?:(?<=["'])[^"'\r\n]+(?=["'])|[^\s"'&<>]*[^\s"'&<>.,;)\]}}])"""
+             r"""|(?<=:)(?<=://[^\s/:@"']{1,64}:)[^\s/:@"']+(?=@)"""
              rf"""|(?<!{_RUN})(?!{_RUN}*{_NAME}["']?\s{{0,3}}[=:]){_RUN}{{12,}}+={{0,2}}""")
 CONTEXT = 48            # characters kept on either side
 MAX_TRAIN, MAX_NEIGHBOURS = 8000, 200
@@ -44,6 +46,17 @@ FEATURES = ("length", "digits", "capitals", "variety", "class_changes", "letter_
             "neighbour", "assigned", "quoted", "in_address")
 
 
+_EDGE = "\uffff"  # no character; a text that holds it all the same is cut by two evaluations of the expression
+
+
+def _cut(t: Column) -> Column:
+    """A text cut at its candidates: what stands before the first, the first, what follows it, the second, …"""
+    cut = F.split(F.regexp_replace(t, CANDIDATE, f"{_EDGE}$0{_EDGE}"), _EDGE, -1)
+    gaps, found = F.split(t, CANDIDATE, -1), F.regexp_extract_all(t, F.lit(CANDIDATE), 0)
+    apart = F.flatten(F.zip_with(gaps, found, lambda g, v: F.filter(F.array(g, v), lambda x: x.isNotNull())))
+    return F.when(t.contains(_EDGE), apart).otherwise(cut)
+
+
 def candidates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = "source") -> DataFrame:
     """One row per candidate: ``id, text_key, place, start, value, before, after, path``.
 
@@ -52,12 +65,11 @@ def candidates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path
     """
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     where = F.col(f"`{path}`").cast("string") if path and path in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), t.alias("t"), where.alias("path")).filter(F.col("t").rlike(CANDIDATE))
-    parts = F.split("t", CANDIDATE, -1)
-    found = F.regexp_extract_all("t", F.lit(CANDIDATE), 0)
-    zipped = F.zip_with(found, F.zip_with(F.slice("parts", 1, F.size("parts") - 1), F.slice("parts", 2, F.size("parts") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-                        lambda v, c: F.struct(v.alias("value"), F.right(c["a"], F.lit(CONTEXT)).alias("before"), F.left(c["b"], F.lit(CONTEXT)).alias("after"), F.length(c["a"]).alias("gap")))
-    one = (rows.select("id", "path", F.xxhash64("t").alias("text_key"), "t", parts.alias("parts"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), t.alias("t"), where.alias("path"))
+    at = F.when(F.size("parts") > 1, F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2)))
+    zipped = F.transform(at, lambda i: F.struct(F.get("parts", i).alias("value"), F.right(F.get("parts", i - 1), F.lit(CONTEXT)).alias("before"),
+                                                F.left(F.get("parts", i + 1), F.lit(CONTEXT)).alias("after"), F.length(F.get("parts", i - 1)).alias("gap")))
+    one = (rows.select("id", "path", F.xxhash64("t").alias("text_key"), _cut(F.col("t")).alias("parts"))
            .select("id", "path", "text_key", F.posexplode_outer(zipped).alias("place", "c")).filter("c IS NOT NULL").select("id", "path", "text_key", "place", "c.*"))
     # Repeated rows have the same candidates, which count once.
     keys = ["id", "text_key", "path", "place"]
@@ -70,13 +82,14 @@ def candidates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path
 def labelled_by_format(rows: DataFrame) -> DataFrame:
     """Label candidates by unmistakable formats: the labelled findings of the production query.
 
-    1: an access key id (``AKIA`` and 16 capitals or digits), or a value assigned to a name like
+    1: an access key id (``AKIA`` and 16 capitals or digits), the password of an address, or a value assigned to a name like
     password, token, secret or api key (after a colon, as in prose, only one with a digit or a
     sign, in quotes, or of 12 characters). 0: numbers, words, parts of addresses and paths, fill
     of one character. Null: any other format, which may be a key or not.
     """
     v, before = F.col("value"), F.col("before")
     key = v.rlike(r"^AKIA[0-9A-Z]{16}$")
+    login = before.rlike(r"""://[^\s/:@"']{1,64}:$""") & F.col("after").startswith("@")
     assigned = before.rlike(_ASSIGNED + "$")
     sure = before.rlike(r"""[="']\s{0,3}$""") | v.rlike(r"[^A-Za-z]") | (F.length(v) >= 12)
     number = v.rlike(r"^[0-9+/_\-]+$")
@@ -84,7 +97,7 @@ def labelled_by_format(rows: DataFrame) -> DataFrame:
     path = v.rlike(r"^/?[a-z_\-]+[0-9]*(?:/[a-z0-9_\-]+)+/?$") | before.rlike(r"(?:://|www\.)\S*$")
     address = before.rlike(r"@$") | F.col("after").rlike(r"^@")
     fill = v.rlike(r"(.)\1{15}")
-    return rows.withColumn("label", F.when(key | (assigned & sure), 1.0).when(assigned, F.lit(None).cast("double"))
+    return rows.withColumn("label", F.when(key | login | (assigned & sure), 1.0).when(assigned, F.lit(None).cast("double"))
                            .when(number | word | path | address | fill, 0.0))
 
 
@@ -201,7 +214,6 @@ def redact(docs: DataFrame, found: DataFrame, text: str = "text", id_col: str =
     hits = found.filter("is_secret").groupBy(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("place").alias("_places"))
     rows = docs.withColumn("_k", F.xxhash64(t))
     joined = rows.join(hits, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
-    parts, values = F.split(t, CANDIDATE, -1), F.regexp_extract_all(t, F.lit(CANDIDATE), 0)
-    masked = F.transform(values, lambda v, i: F.when(F.array_contains("_places", i), F.lit(mask)).otherwise(v))
-    rebuilt = F.array_join(F.flatten(F.zip_with(parts, F.concat(masked, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+    # Candidate k is part 2 k + 1.
+    rebuilt = F.array_join(F.transform(_cut(t), lambda v, i: F.when((i % 2 == 1) & F.array_contains("_places", (i / 2).cast("int")), F.lit(mask)).otherwise(v)), "")
     return joined.withColumn(text, F.when(F.col("_places").isNull(), F.col(f"`{text}`")).otherwise(rebuilt)).drop("_k", "_id", "_key", "_places")
