@@ -137,27 +137,31 @@ def mc_dropout(features: DataFrame, weights: DataFrame, bias: DataFrame, docs: D
     a seeded hash of ``doc:term:sample:seed`` is ≥ p and scaled by 1/(1−p). Returns
     ``(doc_id, class_no, mc_mean, mc_std)`` with the population std across passes.
 
-    Samples are a generated column (``explode(sequence)``), not a join; a document that
-    loses every feature in a pass keeps its bias-only logits through the zero rows.
+    All passes of a feature are evaluated in its row (one masked value per pass and class), so
+    the features are joined once and one aggregate per document holds all passes; a document
+    that loses every feature in a pass keeps its bias-only logits through the zero row.
     """
     wide = wide_weights(weights, n_classes, term_col=term_col)
     b = bias_list(bias, n_classes)
-    samples = F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("sample")
-    f = features.select("doc_id", term_col, "x", samples)
-    f = f.filter(unit_hash(F.col("doc_id"), F.col(term_col), F.col("sample"), F.lit(seed)) >= F.lit(p))
-    f = f.withColumn("x", F.col("x") / F.lit(1.0 - p))
-    d = docs.select("doc_id", samples)
-    sums = _per_doc_sums(f, wide, d, n_classes, {"s": lambda k: F.col("x") * F.col(f"w_{k}")}, term_col,
-                         group=("doc_id", "sample"))
-    probs = softmax(F.array(*[F.col(f"s_{k}") + F.lit(b[k]) for k in range(n_classes)]))
-    per = sums.select("doc_id", "sample", probs.alias("p"))
-    agg = per.groupBy("doc_id").agg(*[F.avg(F.col("p")[k]).alias(f"m_{k}") for k in range(n_classes)],
-                                    *[F.stddev_pop(F.col("p")[k]).alias(f"sd_{k}") for k in range(n_classes)])
-    return agg.select("doc_id", F.posexplode(F.arrays_zip(
-        F.array(*[F.col(f"m_{k}") for k in range(n_classes)]).alias("m"),
-        F.array(*[F.col(f"sd_{k}") for k in range(n_classes)]).alias("s"))).alias("class_no", "z")) \
-              .select("doc_id", F.col("class_no").cast("int").alias("class_no"),
-                      F.col("z.m").alias("mc_mean"), F.col("z.s").alias("mc_std"))
+    passes, classes = range(1, n_samples + 1), range(n_classes)
+    names = [f"s_{i}_{k}" for i in passes for k in classes]
+    joined = features.join(checked_broadcast(wide), term_col)
+    masked = joined.select("doc_id", *[(F.col("x") * F.col(f"w_{k}") / F.lit(1.0 - p)).alias(f"v_{k}") for k in classes],
+                           *[(unit_hash(F.col("doc_id"), F.col(term_col), F.lit(i), F.lit(seed)) >= F.lit(p)).alias(f"keep_{i}") for i in passes])
+    kept = masked.select("doc_id", *[F.when(F.col(f"keep_{i}"), F.col(f"v_{k}")).otherwise(0.0).alias(f"s_{i}_{k}") for i in passes for k in classes])
+    zeros = docs.select("doc_id", *[F.lit(0.0).alias(n) for n in names])
+    sums = kept.unionByName(zeros).groupBy("doc_id").agg(*[F.sum(n).alias(n) for n in names])
+    probs = F.array(*[softmax(F.array(*[F.col(f"s_{i}_{k}") + F.lit(b[k]) for k in classes])) for i in passes])
+
+    def mean(k: int) -> Column:
+        return F.aggregate("probs", F.lit(0.0), lambda a, v: a + v[k]) / n_samples
+
+    def spread(k: int) -> Column:
+        return F.sqrt(F.aggregate("probs", F.lit(0.0), lambda a, v: a + (v[k] - F.col(f"m_{k}")) * (v[k] - F.col(f"m_{k}"))) / n_samples)
+
+    rows = sums.select("doc_id", probs.alias("probs")).select("doc_id", "probs", *[mean(k).alias(f"m_{k}") for k in classes])
+    each = F.array(*[F.struct(F.lit(k).alias("class_no"), F.col(f"m_{k}").alias("mc_mean"), spread(k).alias("mc_std")) for k in classes])
+    return rows.select("doc_id", F.explode(each).alias("c")).select("doc_id", "c.class_no", "c.mc_mean", "c.mc_std")
 
 
 def mc_dropout_scores(features: DataFrame, weights: DataFrame, intercept: float, docs: DataFrame,

@@ -1,4 +1,4 @@
-"""Training: MLlib linear models and the Fisher-preconditioned optimiser.
+"""Training: linear models and the Fisher-preconditioned optimiser.
 
 The optimiser's state is a table with one row per parameter (weight, momentum, Fisher
 diagonal). A step joins the batch's gradient table to it and updates the columns; only
@@ -13,27 +13,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators import linear as LN
 from vellum.operators import scoring as SC
 from vellum.operators.common import key_hash
 
 
-def train_classifier(df: DataFrame, features_col: str = "features", label_col: str = "label",
-                     max_iter: int = 50, reg: float = 0.0):
-    """Multinomial logistic regression (cross-entropy) on a vector column. MLlib's Python
-    API has no warm start; warm-starting from stored weights is done with
-    :func:`train_fisher_adam` (``init=``)."""
-    from pyspark.ml.classification import LogisticRegression
-    return LogisticRegression(featuresCol=features_col, labelCol=label_col, family="multinomial",
-                              maxIter=max_iter, regParam=reg).fit(df)
+def train_classifier(df: DataFrame, features_col: str = "features", label_col: str = "label", max_passes: int = 60,
+                     reg: float = 1e-3, init: LN.Linear | None = None) -> LN.Linear:
+    """Multinomial classifier (cross-entropy) on a vector column; ``init`` (a stored version, see
+    :func:`linear.load`) starts the fit from its weights."""
+    return LN.fit(df, "softmax", features_col, label_col, init=None if init is None else init.weights, reg=reg, max_passes=max_passes)
 
 
-def train_regressor(df: DataFrame, features_col: str = "features", label_col: str = "y", max_iter: int = 50,
-                    epsilon: float = 1.35):
-    """Single-output linear regression with the Huber loss (MLlib requires epsilon > 1 and
-    also fits a scale, unlike a smooth-L1 loss with beta 1)."""
-    from pyspark.ml.regression import LinearRegression
-    return LinearRegression(featuresCol=features_col, labelCol=label_col, loss="huber", epsilon=epsilon,
-                            maxIter=max_iter).fit(df)
+def train_regressor(df: DataFrame, features_col: str = "features", label_col: str = "y", max_passes: int = 60,
+                    reg: float = 0.0, init: LN.Linear | None = None) -> LN.Linear:
+    """Single-output regression with the smooth-L1 loss (beta 1, no fitted scale)."""
+    return LN.fit(df, "smooth_l1", features_col, label_col, init=None if init is None else init.weights, reg=reg, max_passes=max_passes)
 
 
 @dataclass(frozen=True)

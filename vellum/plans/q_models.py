@@ -191,10 +191,9 @@ def q_train_clf(spark, sf_dir):
     """Fit on the training split, predict the other."""
     t = _tfidf_vectors(spark, sf_dir)
     lab = SD.split_documents(TO.map_labels(t, "lang", {lang: i for i, lang in enumerate(LANGS)}))
-    model = TR.train_classifier(lab.filter("split = 'train'"), "features", "label", max_iter=30)
-    out = model.transform(lab.filter("split = 'test'"))
-    return out.select("doc_id", "label", F.col("prediction").cast("int").alias("pred"),
-                      MD.vector_to_array("probability").alias("probs"))
+    model = TR.train_classifier(lab.filter("split = 'train'"), "features", "label", max_passes=30)
+    out = model.predict(lab.filter("split = 'test'"))
+    return out.select("doc_id", "label", F.col("prediction").cast("int").alias("pred"), F.col("probability").alias("probs"))
 
 
 @register("train_regressor")
@@ -203,8 +202,8 @@ def q_train_reg(spark, sf_dir):
     t = _tfidf_vectors(spark, sf_dir)
     ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("value").alias("y"))
     df = SD.split_documents(t.join(ev, "doc_id"))
-    model = TR.train_regressor(df.filter("split = 'train'"), "features", "y", max_iter=30)
-    return model.transform(df.filter("split = 'test'")).select("doc_id", "y", "prediction")
+    model = TR.train_regressor(df.filter("split = 'train'"), "features", "y", max_passes=30)
+    return model.predict(df.filter("split = 'test'")).select("doc_id", "y", "prediction")
 
 
 def _fadam(spark, sf_dir):
