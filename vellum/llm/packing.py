@@ -236,8 +236,8 @@ class Sketcher:
         rng = np.random.default_rng(11)
         with np.errstate(divide="ignore"):
             race = -np.log(rng.random((2 * TOKEN_VALUES, len(idf)))) / idf  # the least wins: a draw by weight
-        self.rank = np.empty(race.shape, np.uint32)
-        np.put_along_axis(self.rank, np.argsort(race, axis=1, kind="stable"), np.arange(len(idf), dtype=np.uint32)[None], axis=1)
+        self.rank = np.empty(race.shape, np.uint16 if len(idf) <= 1 << 16 else np.uint32)
+        np.put_along_axis(self.rank, np.argsort(race, axis=1, kind="stable"), np.arange(len(idf)).astype(self.rank.dtype)[None], axis=1)
         self.useful = int((idf > 0).sum())
         numbers = np.arange(1, SHINGLE_VALUES + TOKEN_VALUES + 1, dtype=np.uint64)
         self.seeds, self.marks = ts.mix64(numbers * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1), ts.mix64(numbers * np.uint64(0xA0761D6478BD642F))
