@@ -286,3 +286,30 @@ def test_kmeans_tries_every_k_and_clusters_with_the_chosen_one(spark, monkeypatc
     chosen = [k for k, r in sweep.items() if r["chosen"]]
     assert len(chosen) == 1 and chosen[0] > 10
     assert q_models.q_kmeans(spark, "").select("Kcluster_topic").distinct().count() == chosen[0]
+
+
+def test_topic_reduction_matches_a_plain_one(spark):
+    from vellum.operators import topics as TP
+    rng = np.random.default_rng(12)
+    terms = [f"w{i}" for i in range(30)]
+    counts = {(t, w): int(rng.integers(1, 9)) for t in range(-1, 9) for w in rng.choice(terms, 12, replace=False)}
+    size = {t: 20 + (t * 7) % 5 for t in range(-1, 9)}
+    into = {t: t for t in size}
+    live = {t: n for t, n in size.items() if t >= 0}
+    while len(live) > 3:
+        n = {}
+        for (t, w), c in counts.items():
+            n[(into[t], w)] = n.get((into[t], w), 0) + c
+        f = {w: sum(c for (_, x), c in n.items() if x == w) for w in terms}
+        mean = sum(n.values()) // len({t for t, _ in n})
+        vec = {t: np.array([n.get((t, w), 0) * math.log(1 + mean / f[w]) if f[w] else 0.0 for w in terms]) for t in live}
+        s = min(live, key=lambda t: (live[t], t))
+        cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+        best = min((t for t in live if t != s), key=lambda t: (-cos(vec[s], vec[t]), t))
+        live[best] += live.pop(s)
+        into = {t: best if m == s else m for t, m in into.items()}
+    order = {t: i for i, t in enumerate(sorted(live, key=lambda t: (-live[t], t)))}
+    cc = spark.createDataFrame([(t, w, c) for (t, w), c in counts.items()], "topic int, term string, n long")
+    sizes = spark.createDataFrame(list(size.items()), "topic int, size long")
+    got = {r["topic"]: r["new_topic"] for r in TP.reduce_topics(cc, 3, sizes=sizes).collect()}
+    assert got == {t: order.get(m, -1) for t, m in into.items()}

@@ -12,6 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.operators.common import reuse
 from vellum.operators.ranking import global_index
 
 
@@ -60,6 +61,7 @@ def slice_f1(pairs: DataFrame, n_slices: int, order_col: str = "doc_id", chosen:
     """Cut the rows (in key order) into ``n`` slices of ``total // n`` rows, the last one
     taking the rest; weighted F1 per slice, plus their mean, population std and the
     z-score of ``chosen`` (default: F1 over all rows)."""
+    pairs = reuse(pairs)
     total = pairs.count()
     size = max(total // n_slices, 1)
     idx = global_index(pairs, [F.col(order_col)], "_i")
@@ -68,6 +70,7 @@ def slice_f1(pairs: DataFrame, n_slices: int, order_col: str = "doc_id", chosen:
     overall = weighted_f1(pairs).first()["weighted_f1"] if chosen is None else chosen
     stats = per.agg(F.avg("weighted_f1").alias("mean_f1"), F.stddev_pop("weighted_f1").alias("std_f1")).first()
     z = (overall - stats["mean_f1"]) / max(stats["std_f1"], 1e-12)
+    pairs.unpersist()  # the slices are checkpointed
     return per.select("slice", "weighted_f1", "n",
                       F.lit(stats["mean_f1"]).alias("mean_f1"), F.lit(stats["std_f1"]).alias("std_f1"),
                       F.lit(float(overall)).alias("chosen_f1"), F.lit(float(z)).alias("z"))
