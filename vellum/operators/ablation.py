@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.operators import evaluate as EV
+from vellum.operators import packed as P
 from vellum.operators import scoring as SC
 from vellum.operators.common import checked_broadcast
 
@@ -28,8 +29,14 @@ def _nested_curve(features: DataFrame, labels: DataFrame, wide: DataFrame, fract
     """
     m = len(fractions)
     cells = [(j, k) for j in range(m) for k in range(n_classes)]
-    joined = features.join(checked_broadcast(wide), term_col)
-    part = joined.select("doc_id", *[F.when(F.col(f"j_{k}") == j, F.col("x") * F.col(f"w_{k}")).otherwise(0.0).alias(f"s_{j}_{k}") for j, k in cells])
+    table = P.small_table(wide) if P.is_packed(features, term_col) else None
+    if table is not None:
+        part = features.select("doc_id", P.placed_sums(table, n_classes, m, term_col).alias("_s")).select(
+            "doc_id", *[F.col("_s")[i].alias(f"s_{j}_{k}") for i, (j, k) in enumerate(cells)])
+    else:
+        rows = P.unpack(features, (term_col, "x")) if P.is_packed(features, term_col) else features
+        joined = rows.join(checked_broadcast(wide), term_col)
+        part = joined.select("doc_id", *[F.when(F.col(f"j_{k}") == j, F.col("x") * F.col(f"w_{k}")).otherwise(0.0).alias(f"s_{j}_{k}") for j, k in cells])
     zeros = labels.select("doc_id", *[F.lit(0.0).alias(f"s_{j}_{k}") for j, k in cells])
     sums = part.unionByName(zeros).groupBy("doc_id").agg(*[F.sum(f"s_{j}_{k}").alias(f"s_{j}_{k}") for j, k in cells])
     running: list[list] = []

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.operators import linear as LN
+from vellum.operators import packed as P
 from vellum.operators import scoring as SC
 from vellum.operators.common import key_hash
 
@@ -112,7 +113,8 @@ def _residuals(state: DataFrame, features: DataFrame, labels: DataFrame, docs: D
 def _gradients(residuals: DataFrame, features: DataFrame, n: int, n_classes: int) -> DataFrame:
     """Mean cross-entropy gradient: ``param, class_no, term, g``."""
     each = [F.sum(F.col("r")[k] * F.col("x")).alias(str(k)) for k in range(n_classes)]
-    rows = features.join(residuals.select("doc_id", "r"), "doc_id").groupBy("term").agg(F.array(*each).alias("s"))
+    rows = features.join(residuals.select("doc_id", "r"), "doc_id")
+    rows = (P.unpack(rows) if P.is_packed(rows) else rows).groupBy("term").agg(F.array(*each).alias("s"))
     total = residuals.agg(F.array(*[F.sum(F.col("r")[k]) for k in range(n_classes)]).alias("s"))
     both = rows.select(F.lit("weight").alias("param"), "term", "s").unionByName(total.select(F.lit("bias").alias("param"), F.lit("").alias("term"), "s"))
     return both.select("param", "term", F.posexplode("s").alias("class_no", "g")).select("param", F.col("class_no").cast("int").alias("class_no"), "term", (F.col("g") / n).alias("g"))
