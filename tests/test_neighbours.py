@@ -63,3 +63,23 @@ def test_silhouette_matches_all_pairs_with_fewer_comparisons(spark):
     assert abs(row["silhouette"] - np.mean(want)) < 1e-9 and row["n"] == len(x) and row["compared"] < 0.5
     one = MD.silhouette(df.filter("label = 0")).first()
     assert one["silhouette"] == 0.0 and one["n"] == 25
+
+
+def test_copies_sent_do_not_grow_with_the_table(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(800, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    made, compare = [], NB.Cells.compare
+    monkeypatch.setattr(NB.Cells, "compare", lambda self, *a: made.append(self) or compare(self, *a))
+    assert MD.density_clusters(df, "vec_id", "embedding", 2, 1.15, exact_block_rows=16).count() == 800
+    assert made[0].table.selectExpr("max(size(cells))").first()[0] <= 16  # the triangle inequality excludes no cell here
+
+
+def test_strips_and_ties():
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(3000, 3)), rng.normal(size=(900, 3))
+    parts = list(NB.strips(a, b))
+    assert len(parts) > 1 and np.allclose(np.concatenate([d for _, d in parts]), NB.distances(a, b))
+    label = NB.tie(np.arange(7), np.array([6, 5, 2]), np.array([5, 4, 2]))
+    assert NB.tie(label, np.array([6]), np.array([1])).tolist() == [0, 1, 2, 3, 1, 1, 1]

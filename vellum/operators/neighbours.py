@@ -6,8 +6,9 @@ own, so it is copied to those cells and compared inside them. ``cluster_means``:
 distance to a cluster is at least the distance to its centroid, so clusters whose centroid is
 farther than the best mean so far need no comparison.
 
-Cells and clusters of any size are cut into blocks, and a task compares two blocks; it emits
-one row per point, never a row per pair.
+Cells and clusters of any size are cut into blocks, and a task compares two blocks in strips; it
+emits one row per point, never a row per pair. A point is sent once per block that it meets, so
+blocks grow with the input up to ``BLOCK_BYTES``: the copies sent stay a fixed multiple of it.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from pyspark.sql import functions as F
 
 from vellum.operators import rows as R
 
-BLOCK_ROWS = 1024
-CELL_ROWS = 512      # rows of a cell, about
+BLOCK_ROWS = 1024        # rows of a block, at least
+BLOCK_BYTES = 1 << 24    # numbers of a block in a task, at most
+CELL_BLOCKS = 16         # cells of all points, and blocks of a cluster, until blocks are that large
+CLUSTER_BLOCKS = 8
+STRIP_CELLS = 1 << 20    # distances computed at once
 MAX_PIVOTS = 1024
 
 
@@ -38,10 +42,29 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(d2, 0.0, None))
 
 
+def strips(a: np.ndarray, b: np.ndarray):
+    """Distances of ``a``'s rows to ``b``'s in strips of bounded size: (first row, matrix)."""
+    step = max(1, STRIP_CELLS // max(1, len(b)))
+    for lo in range(0, len(a), step):
+        yield lo, distances(a[lo:lo + step], b)
+
+
+def most_rows(width: int) -> int:
+    """Rows of ``width`` numbers that fill a block."""
+    return max(1, BLOCK_BYTES // (8 * max(1, width)))
+
+
+def cell_rows(points: DataFrame, least: int) -> int:
+    """Rows of a cell's blocks for ``id, v, ...``: ``least``, more for larger tables."""
+    n, width = points.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    return max(least, min(most_rows(width or 1), -(-n // CELL_BLOCKS)))
+
+
 def points_of(df: DataFrame, id_col: str, vec_col: str, *more: Column) -> DataFrame:
     """``id, v`` and further columns; rows without a vector are left out."""
     from pyspark.ml.functions import vector_to_array
-    v = F.col(vec_col).cast("array<double>") if dict(df.dtypes)[vec_col].startswith("array") else vector_to_array(vec_col)
+    kind = dict(df.dtypes)[vec_col]
+    v = F.col(vec_col) if kind == "array<float>" else F.col(vec_col).cast("array<double>") if kind.startswith("array") else vector_to_array(vec_col)
     return df.select(F.col(id_col).alias("id"), v.alias("v"), *more).filter("v IS NOT NULL")
 
 
@@ -61,7 +84,7 @@ class Cells:
 
     def __init__(self, points: DataFrame, eps: float, seed: int = 42, block_rows: int = BLOCK_ROWS):
         n = points.count()
-        most = min(MAX_PIVOTS, max(1, n // min(CELL_ROWS, block_rows)))
+        most = min(MAX_PIVOTS, max(1, n // block_rows))
         chosen = points.select("id", "v").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most).collect()
         pivots = np.array([r["v"] for r in chosen], float)
 
@@ -79,7 +102,7 @@ class Cells:
 
         kind = dict(points.dtypes)["id"]
         self.kind = kind
-        dealt = points.select("id", "v", "copies").mapInArrow(deal, f"id {kind}, v array<double>, copies long, home int, cells array<int>")
+        dealt = points.select("id", "v", "copies").mapInArrow(deal, f"id {kind}, v {dict(points.dtypes)['v']}, copies long, home int, cells array<int>")
         self.table, self.path = R.store(dealt, "cells")
         # One row per pivot: how many rows live in its cell, and how many are compared there.
         here = {r["home"]: r["count"] for r in self.table.groupBy("home").count().collect()}
@@ -105,6 +128,27 @@ class Cells:
         return home.drop(*drop).groupBy("cell", "a", "b").cogroup(_fresh(guests.drop(*drop)).groupBy("cell", "a", "b")).applyInArrow(run, schema)
 
 
+def itself(a: pa.Table, b: pa.Table) -> np.ndarray:
+    """The row of ``b`` that holds each row of ``a`` (by id), -1 where none does."""
+    at = pa.compute.index_in(a["id"].combine_chunks(), b["id"].combine_chunks())
+    return at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def tie(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (each node's smallest tied node) once ``a`` and ``b`` are tied too."""
+    a, b = label[a], label[b]
+    new = np.unique(a[a != b] * len(label) + b[a != b])
+    a, b = new // len(label), new % len(label)
+    while len(a):
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+        a, b = label[a], label[b]
+        a, b = a[a != b], b[a != b]
+    return label
+
+
 def core_distances(cells: Cells, eps: float, others: int) -> DataFrame:
     """``id, core``: the distance within which each point has ``others`` other points (copies count); only where that is at most ``eps``."""
     kind = cells.kind
@@ -114,16 +158,19 @@ def core_distances(cells: Cells, eps: float, others: int) -> DataFrame:
     def nearest(home: pa.Table, guests: pa.Table) -> pa.Table:
         if not home.num_rows or not guests.num_rows:
             return pa.table({"id": home["id"][:0], "d": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
-        d = distances(matrix(home["v"]), matrix(guests["v"]))
-        same = pa.compute.index_in(home["id"].combine_chunks(), guests["id"].combine_chunks()).to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(~np.isnan(same.astype(float)))
-        d[at, same[at].astype(int)] = np.inf
-        k = min(others, d.shape[1])
-        col = np.argpartition(d, k - 1, axis=1)[:, :k]
-        row = np.repeat(np.arange(len(d)), k)
-        far, col = d[row, col.ravel()], col.ravel()
-        keep = far <= eps
-        return pa.table({"id": home["id"].take(pa.array(row[keep])), "d": pa.array(far[keep]), "n": guests["copies"].take(pa.array(col[keep]))})
+        same = itself(home, guests)
+        k = min(others, guests.num_rows)
+        found = []
+        for lo, d in strips(matrix(home["v"]), matrix(guests["v"])):
+            at = np.flatnonzero(same[lo:lo + len(d)] >= 0)
+            d[at, same[lo + at]] = np.inf
+            col = np.argpartition(d, k - 1, axis=1)[:, :k]
+            row = np.repeat(np.arange(len(d)), k)
+            far, col = d[row, col.ravel()], col.ravel()
+            keep = far <= eps
+            found.append((lo + row[keep], far[keep], col[keep]))
+        row, far, col = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"id": home["id"].take(pa.array(row)), "d": pa.array(far), "n": guests["copies"].take(pa.array(col))})
 
     found = cells.compare(nearest, f"id {kind}, d double, n long")
     own = cells.table.select("id", F.lit(0.0).alias("d"), (F.col("copies") - 1).alias("n")).filter("n > 0")
@@ -139,21 +186,16 @@ def links(cells: Cells, core: DataFrame, eps: float) -> DataFrame:
         none = pa.table({"i": home["id"][:0], "j": home["id"][:0]})
         if not home.num_rows or not guests.num_rows:
             return none
-        reach = np.maximum(distances(matrix(home["v"]), matrix(guests["v"])), np.maximum(home["core"].to_numpy()[:, None], guests["core"].to_numpy()[None, :]))
-        a, b = np.nonzero(reach <= eps)
         ids = pa.concat_arrays([home["id"].combine_chunks(), guests["id"].combine_chunks()])
         coded = ids.dictionary_encode()
-        node = np.asarray(coded.indices)
-        a, b = node[a], node[len(home) + b]
+        node = np.asarray(coded.indices).astype(np.int64)
         label = np.arange(len(coded.dictionary))
-        while True:
-            new = label.copy()
-            np.minimum.at(new, a, label[b])
-            np.minimum.at(new, b, label[a])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
+        mine, theirs = home["core"].to_numpy(), guests["core"].to_numpy()
+        for lo, d in strips(matrix(home["v"]), matrix(guests["v"])):
+            a, b = np.nonzero(d <= eps)
+            a = a + lo
+            near = np.maximum(mine[a], theirs[b]) <= eps
+            label = tie(label, node[a[near]], node[len(home) + b[near]])
         tied = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"i": coded.dictionary.take(pa.array(tied)), "j": coded.dictionary.take(pa.array(label[tied]))}) if len(tied) else none
 
@@ -165,7 +207,9 @@ def links(cells: Cells, core: DataFrame, eps: float) -> DataFrame:
 def cluster_sums(asks: DataFrame, points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``id, grp, dsum, n``: summed distance of each asking point (``id, v, grp``) to the other points of a cluster, and their number."""
     kind = dict(points.dtypes)["id"]
-    size = lambda df, name: df.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+    width = points.agg(F.max(F.size("v"))).first()[0] or 1
+    rows = F.greatest(F.lit(block_rows), F.least(F.lit(most_rows(width)), F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCKS)))
+    size = lambda df, name: df.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
     sizes, _ = R.store(size(asks, "na").join(size(points, "nb"), "grp"), "cluster-blocks")
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -175,13 +219,13 @@ def cluster_sums(asks: DataFrame, points: DataFrame, block_rows: int = BLOCK_ROW
     def sums(asking: pa.Table, members: pa.Table) -> pa.Table:
         if not asking.num_rows or not members.num_rows:
             return pa.table({"id": asking["id"][:0], "grp": asking["grp"][:0], "dsum": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
-        d = distances(matrix(asking["v"]), matrix(members["v"]))
-        itself = pa.compute.index_in(asking["id"].combine_chunks(), members["id"].combine_chunks()).to_numpy(zero_copy_only=False).astype(float)
-        at = np.flatnonzero(~np.isnan(itself))
-        d[at, itself[at].astype(int)] = 0.0
-        n = np.full(len(d), d.shape[1])
-        n[at] -= 1
-        return pa.table({"id": asking["id"], "grp": asking["grp"], "dsum": pa.array(d.sum(axis=1)), "n": pa.array(n)})
+        same, total = itself(asking, members), np.zeros(asking.num_rows)
+        for lo, d in strips(matrix(asking["v"]), matrix(members["v"])):
+            at = np.flatnonzero(same[lo:lo + len(d)] >= 0)
+            d[at, same[lo + at]] = 0.0
+            total[lo:lo + len(d)] = d.sum(axis=1)
+        n = members.num_rows - (same >= 0)
+        return pa.table({"id": asking["id"], "grp": asking["grp"], "dsum": pa.array(total), "n": pa.array(n)})
 
     parts = left.groupBy("grp", "a", "b").cogroup(_fresh(right).groupBy("grp", "a", "b")).applyInArrow(sums, f"id {kind}, grp long, dsum double, n long")
     return parts.groupBy("id", "grp").agg(F.sum("dsum").alias("dsum"), F.sum("n").alias("n"))
@@ -199,7 +243,7 @@ def silhouettes(points: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFr
     groups = mean.orderBy("grp").collect()  # one row per cluster
     names, sizes = np.array([r["grp"] for r in groups], np.int64), {r["grp"]: r["n"] for r in groups}
     centres = np.array([r["c"] for r in groups], float).reshape(len(groups), width)
-    kind = dict(table.dtypes)["id"]
+    kind, vectors = dict(table.dtypes)["id"], dict(table.dtypes)["v"]
     n = sum(sizes.values())
 
     def first(batches):
@@ -210,7 +254,7 @@ def silhouettes(points: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFr
             near = np.where(np.isfinite(d.min(axis=1)), names[d.argmin(axis=1)], -1) if len(names) > 1 else np.full(len(d), -1)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), batch.column("grp"), pa.array(near.astype(np.int64))], names=["id", "v", "grp", "near"])
 
-    asked, _ = R.store(table.select("id", "v", F.col("grp").cast("long").alias("grp")).mapInArrow(first, f"id {kind}, v array<double>, grp long, near long"), "silhouette-asks")
+    asked, _ = R.store(table.select("id", "v", F.col("grp").cast("long").alias("grp")).mapInArrow(first, f"id {kind}, v {vectors}, grp long, near long"), "silhouette-asks")
     members = asked.select("id", "v", "grp")
     nearest = asked.filter(F.lit(len(names) > 1)).select("id", "v", F.col("near").alias("grp"))
     own_and_near, _ = R.store(cluster_sums(members.unionByName(nearest), members, block_rows), "silhouette-first")
@@ -225,7 +269,7 @@ def silhouettes(points: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFr
             take = pa.array(row[keep])
             yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("v").take(take), pa.array(grp[keep])], names=["id", "v", "grp"])
 
-    more, _ = R.store(asked.join(best, "id").select("id", "v", "grp", "near", "best").mapInArrow(rest, f"id {kind}, v array<double>, grp long"), "silhouette-rest")
+    more, _ = R.store(asked.join(best, "id").select("id", "v", "grp", "near", "best").mapInArrow(rest, f"id {kind}, v {vectors}, grp long"), "silhouette-rest")
     sums = own_and_near.unionByName(cluster_sums(more, members, block_rows)) if not more.isEmpty() else own_and_near
     compared = sums.agg(F.sum("n")).first()[0] or 0
     per = sums.join(asked.select("id", F.col("grp").alias("own")), "id").groupBy("id").agg(
