@@ -118,3 +118,17 @@ def test_neighbours_agree_with_the_full_cooccurrence_table(spark):
     assert np.allclose(v, [again[i] for i in range(48)])
     sim = v @ v.T - 2 * np.eye(48)
     assert all(i % 4 == j % 4 for i, j in enumerate(sim.argmax(1)))
+
+
+def test_settled_documents_leave_the_updates(monkeypatch):
+    rng = np.random.default_rng(8)
+    topic_word = rng.dirichlet(np.full(40, 0.1), 3).T + 1e-6
+    size = np.append(np.full(50, 1), 30)
+    doc = np.repeat(np.arange(51), size)
+    term, n = rng.integers(0, 40, len(doc)), np.ones(len(doc))
+    rows, exact = [], LD.digamma
+    monkeypatch.setattr(LD, "digamma", lambda x: rows.append(len(x)) or exact(x))
+    gamma, _, _ = LD.mixtures(doc, term, n, 51, topic_word, 0.1)
+    assert rows[0] == 51 and min(rows) < 51
+    one, _, _ = LD.mixtures(np.zeros(30, np.int64), term[-30:], n[-30:], 1, topic_word, 0.1)
+    assert np.allclose(gamma[50], one[0], atol=1e-12)
