@@ -149,3 +149,26 @@ def test_routing_keeps_near_copies_within_reach(spark, tokenizer, monkeypatch):
     assert len(near) >= 55 and np.mean([shards[r["seed"]] == shards[r["uid"]] for r in near]) >= 0.9
     ids = {r["uid"]: r["id"] for r in tokens.collect()}
     assert all(ids[r["seed"]] // 10 == ids[r["uid"]] // 10 for r in near)
+
+
+def test_word_ids_outlive_a_change_of_the_cache(monkeypatch, tokenizer, library):
+    """Words that are looked up in bulk keep their ids when the cache changes, and only new words are encoded."""
+    vocab, asked, run = pt.Vocabulary(tokenizer), [], pt.encode_words
+    monkeypatch.setattr(packing, "_CACHE_WORDS", 3)
+    monkeypatch.setattr(pt, "encode_words", lambda v, words: asked.extend(words) or run(v, words))
+    words = packing.WordIds(vocab)
+    for text in ["one two", "", "two three four", " four one six", "é two two"]:
+        ids, off = words.encode(next(ts.chunks(pa.array([text, "one", text]))))
+        want = [library.encode(t, add_special_tokens=False).ids for t in (text, "one", text)]
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == want
+    assert asked.count(b"one") == 1 and isinstance(words.known.words, pa.Array)
+
+
+def test_samples_of_a_sketch_read_distinct_tokens(monkeypatch):
+    sketch, read, plain = packing.Sketcher(np.linspace(0.0, 3.0, 40)), [], packing._term_counts
+    monkeypatch.setattr(packing, "_term_counts", lambda *a: read.append(plain(*a)) or read[-1])
+    docs = [[5, 9, 5, 5, 30, 0], [0], [30, 9, 5, 0, 9]]
+    values, lead = sketch(np.array(sum(docs, []), np.uint16), np.append(0, np.cumsum([len(d) for d in docs])))
+    assert lead.tolist() == [min(int(sketch.rank[0][t]) for t in d) for d in docs]
+    assert (values[0, packing.SHINGLE_VALUES:] == values[2, packing.SHINGLE_VALUES:]).all()
+    assert read[0][1].tolist() == [0, 5, 9, 30, 0, 0, 5, 9, 30]

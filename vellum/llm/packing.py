@@ -14,12 +14,14 @@ misses against a search of all documents is measured with ``best_fits``.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +39,30 @@ K1, B = 1.2, 0.75
 END_ID = 0           # closes every document
 SHINGLE = 5          # tokens of a hashed window of the routing sketch
 SHINGLE_VALUES, TOKEN_VALUES = 4, 12
-_CACHE_WORDS = 1 << 18  # about; twice as many at most
+TEXT_BYTES = 8 << 20  # tokenised at a time: a word that repeats in them is looked up once
+_CACHE_WORDS = 1 << 19  # about; twice as many at most
+
+
+@dataclass
+class Spelled:
+    """Words (bytes) with their ids, word after word in one array."""
+
+    words: pa.Array
+    ids: np.ndarray
+    off: np.ndarray
+
+    def at(self, words: pa.Array) -> np.ndarray:
+        """Place of each word, or -1."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        return np.asarray(pc.index_in(words, value_set=self.words).fill_null(-1)).astype(np.int64)
+
+    def take(self, at: np.ndarray) -> Spelled:
+        n = np.diff(self.off)[at]
+        return Spelled(self.words.take(pa.array(at)), self.ids[ragged(self.off[at], n)], np.append(0, np.cumsum(n)))
+
+    def __add__(self, other: Spelled) -> Spelled:
+        return Spelled(pa.concat_arrays([self.words, other.words]), np.concatenate([self.ids, other.ids]), np.append(self.off, self.off[-1] + other.off[1:]))
 
 
 class WordIds:
@@ -47,26 +72,27 @@ class WordIds:
         self.vocab = vocab
         top = max(max(vocab.vocab.values()), *vocab.special.values())
         self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
-        self.code = "H" if top < 1 << 16 else "I"
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known = self.older = self._spell(pa.array([], pa.large_binary()))
+
+    def _spell(self, words: pa.Array) -> Spelled:
+        ids = pt.encode_words(self.vocab, words.to_pylist())
+        return Spelled(words, np.fromiter(chain.from_iterable(ids), self.dtype), np.append(0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))))
 
     def encode(self, part: ts.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a chunk's documents."""
         w = pt.words(part, self.vocab)
         inverse, contents = ts.codes(part.data, w.start, w.end)
-        spelled = contents.to_pylist()
-        known, older = self.known, self.older
-        known.update({s: older[s] for s in spelled if s not in known and s in older})
-        new = [s for s in spelled if s not in known]
-        known.update({s: array(self.code, ids).tobytes() for s, ids in zip(new, pt.encode_words(self.vocab, new), strict=True)})
-        blobs = [known[s] for s in spelled]
-        if len(known) > _CACHE_WORDS:  # the words met since the last change stay
-            self.older, self.known = known, {}
-        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
-        flat = np.frombuffer(b"".join(blobs), self.dtype)
-        n = size[inverse]
-        ids = flat[ragged((np.cumsum(size) - size)[inverse], n)]
+        place = self.known.at(contents)
+        missing = np.flatnonzero(place < 0)
+        before = self.older.at(contents.take(pa.array(missing)))
+        back, new = missing[before >= 0], missing[before < 0]
+        place[back] = len(self.known.words) + np.arange(len(back))
+        place[new] = len(self.known.words) + len(back) + np.arange(len(new))
+        known = self.known + (self.older.take(before[before >= 0]) + self._spell(contents.take(pa.array(new)))) if len(missing) else self.known
+        # The words met since the last change stay.
+        self.older, self.known = (known, self._spell(contents[:0])) if len(known.words) > _CACHE_WORDS else (self.older, known)
+        n = np.diff(known.off)[place][inverse]
+        ids = known.ids[ragged(known.off[place][inverse], n)]
         ends = np.append(0, np.cumsum(n))
         return ids, ends[np.append(0, np.cumsum(np.bincount(w.doc, minlength=part.n)))]
 
@@ -91,7 +117,7 @@ def tokenise(docs: DataFrame, tokenizer: str, text: str, id_col: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, squeeze = word_ids(tokenizer), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for part in ts.chunks(batch.column(1)):
+            for part in ts.chunks(batch.column(1), TEXT_BYTES):
                 ids, off = words.encode(part)
                 n = np.diff(off) + 1
                 ends = np.cumsum(n)
@@ -246,7 +272,9 @@ class Sketcher:
         """(value or 0 by document and kind, lead) of documents of one token at least."""
         first, length = off[:-1], np.diff(off)
         values = np.zeros((len(first), SHINGLE_VALUES + TOKEN_VALUES), np.uint64)
-        best = [np.minimum.reduceat(r[flat], first) for r in self.rank]
+        doc, token, _ = _term_counts(flat, off, self.rank.shape[1])  # a token counts once in a minimum
+        begin = np.searchsorted(doc, np.arange(len(first)))
+        best = [np.minimum.reduceat(np.take(r, token), begin) for r in self.rank]
         for j in range(TOKEN_VALUES):
             a, b = best[2 * j].astype(np.uint64), best[2 * j + 1].astype(np.uint64)
             v = ts.mix64((a << np.uint64(32) | b) + self.marks[j])
