@@ -132,3 +132,24 @@ def test_settled_documents_leave_the_updates(monkeypatch):
     assert rows[0] == 51 and min(rows) < 51
     one, _, _ = LD.mixtures(np.zeros(30, np.int64), term[-30:], n[-30:], 1, topic_word, 0.1)
     assert np.allclose(gamma[50], one[0], atol=1e-12)
+
+
+def test_tokens_of_embeddings_are_made_once(spark):
+    """Counts, documents and neighbourhoods read a written table; rows that repeat an id count their terms once."""
+    from pyspark.sql import functions as F
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def split(text):
+        made.add(1)
+        return text.split()
+
+    texts = [(0, "a b c a"), (1, "b c"), (2, "a d"), (2, "d a a"), (3, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("tokens", split("text"))
+    got = RI.embed(df, dim=8).select("doc_id", "embedding").collect()
+    assert made.value == len(texts) and len(got) == len(texts)
+    whole = spark.createDataFrame([(0, "a b c a".split()), (1, ["b", "c"])], "doc_id long, tokens array<string>")
+    rows = whole.selectExpr("doc_id", "array_distinct(tokens) AS term", "transform(array_distinct(tokens), x -> 1L) AS n")
+    for packed, want in ((rows, {"a": 1, "b": 2, "c": 2}), (rows.unionAll(rows), {"a": 1, "b": 2, "c": 2})):
+        blocks = B.write_packed(packed)
+        assert blocks.n_docs == 2 and {r["term"]: r["docs"] for r in blocks.needs.collect()} == want

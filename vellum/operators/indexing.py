@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators import packed as P
 from vellum.operators import rows as R
 from vellum.operators import term_blocks as B
-from vellum.operators import tokens as TK
 
 PLACES = 4  # entries of an index vector that are not 0
 
@@ -72,11 +72,12 @@ def embed(df: DataFrame, tokens_col: str = "tokens", dim: int = 32, window: int
     zeros; rows that repeat an id share the vector of all their tokens together; an empty table
     gives an empty one.
     """
-    counts = TK.term_counts(df, F.col(tokens_col), (id_col,))
-    blocks = B.write_blocks(counts, id_col, "term", "n")
-    idf = F.log((F.lit(1.0) + blocks.n_docs) / (F.lit(1.0) + F.count(F.lit(1)))) + 1
-    weight = blocks.counts.select("doc", "term").distinct().groupBy("term").agg(idf.alias("idf"))
-    terms, _ = R.store(context_vectors(df, tokens_col, dim, window, seed).join(weight, "term"), "contexts")
+    # The tokens are made once: counts, documents and neighbourhoods are read from the written table.
+    held, _ = R.store(df.select(F.col(id_col), F.col(tokens_col).alias("tokens"), P.counted(F.col(tokens_col)).alias("c")), "tokens")
+    blocks = B.write_packed(held.select(id_col, "c.term", "c.n"), id_col)
+    idf = F.log((F.lit(1.0) + blocks.n_docs) / (F.lit(1.0) + F.sum("docs"))) + 1
+    weight = blocks.needs.groupBy("term").agg(idf.alias("idf"))
+    terms, _ = R.store(context_vectors(held, "tokens", dim, window, seed).join(weight, "term"), "contexts")
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         doc, term, n, ids, order = B.codes(block, answers)
