@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellum.operators import centres as CE
 from vellum.operators import lda as LD
 from vellum.operators import models as MD
+from vellum.operators import rows as R
 from vellum.operators import textops as TO
 from vellum.operators import tokens as TK
 from vellum.operators import topics as TP
@@ -130,7 +131,8 @@ def q_pca_lda(spark, sf_dir):
 
 
 def _tfidf_vectors(spark, sf_dir):
-    d = _doc_tokens(spark, sf_dir)
+    # Counting, vectorising and every fit above read the written tokens: a text is tokenised once.
+    d, _ = R.store(_doc_tokens(spark, sf_dir).drop("text"), "tokens")
     d = d.withColumn("terms", TK.ngrams("tokens", 1, 2))
     return MD.tfidf_vectors(d, "terms", min_df=0.02, max_df=0.57)
 
