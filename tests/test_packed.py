@@ -8,6 +8,7 @@ from vellum.operators import ablation as AB
 from vellum.operators import packed as P
 from vellum.operators import scoring as SC
 from vellum.operators import textops as TO
+from vellum.operators import tokens as TK
 from vellum.operators import train as TR
 from vellum.operators.common import unit_hash
 
@@ -107,3 +108,58 @@ def test_chunks_split_a_text_once(spark):
     chunks = TO.chunk_tokens(df, "longform", 4)
     assert [r["chunk_text"] for r in chunks.orderBy("chunk_no").collect()] == ["0 1 2 3", "4 5 6 7", "8 9"]
     assert chunks._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+TEXTS = [(1, "The cat's cat -- don't  cannot cannot; a<b>zé É</b>\n\tZÉ. U.S. naïve.) 日本語 x2 _y ſ"), (1, "cat\u2028dog\u00a0dog"),
+         (2, "the and 12 ..."), (None, "Dog (dog)--DOG [cat] wouldn't"), (3, ""), (4, None)]
+
+
+def _words(spark, repeat=1):
+    rows = spark.createDataFrame(TEXTS * repeat, "doc_id long, text string")
+    return rows, rows.select("doc_id", TK.counted_tokens("text").alias("c")).select("doc_id", "c.words", "c.n")
+
+
+def test_words_are_counted_without_an_array_of_tokens(spark):
+    rows, got = _words(spark)
+    want = rows.select("doc_id", P.counted(TK.filtered_tokens(F.col("text"))).alias("c")).select("doc_id", "c.term", "c.n")
+    assert dict(got.dtypes) == {"doc_id": "bigint", "words": "string", "n": "array<int>"}
+    assert [(r["doc_id"], r["words"].split(), r["n"]) for r in got.collect()] == [tuple(r) for r in want.collect()]
+    assert _set(P.unpack_words(got).select("doc_id", "term", "n")) == _set(P.unpack(want, ("term", "n")).select("doc_id", "term", "n"))
+    stats = P.unpack(want, ("term", "n")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
+    assert _set(P.word_frequencies(got)) == _set(stats)
+
+
+@pytest.mark.parametrize("limit", [4_000_000, 1])
+def test_places_give_what_names_give(monkeypatch, spark, limit):
+    monkeypatch.setattr(P, "PLACED_ROWS", limit)  # 1: the tables are joined
+    _, rows = _words(spark, 2)
+    known = P.pa.array(["cat", "dog", "naïve", "日本語"])
+    totals = P.with_totals(rows.select("doc_id", P.placed("words", "n", known).alias("c")).select("doc_id", "c.term", "c.n"))
+    assert dict(totals.dtypes)["term"] == "array<int>"
+    placed = P.shares(totals).select("doc_id", "term", "x")
+    names = placed.withColumn("term", P.named("term", known))
+    w = spark.createDataFrame([(k, i, 0.4 * i - 0.7 * k) for i in range(4) for k in range(2)], "class_no int, term int, w double")
+    at = spark.createDataFrame([(t,) for t in known.to_pylist()], "name string").select("name", P.place_of("name", known).alias("term"))
+    by_name = w.join(at, "term").select("class_no", F.col("name").alias("term"), "w")
+    b = spark.createDataFrame([(0, -0.5), (1, -0.9)], "class_no int, b double")
+    docs, labels = rows.select("doc_id"), spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, label int")
+    batches = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, batch long")
+    scores = [SC.score_probabilities(f, v, b, docs, 2) for f, v in ((placed, w), (names, by_name))]
+    assert _set(scores[0]) == _set(scores[1])
+    fim = [SC.fisher_accumulate(SC.batch_gradients(f, s, labels, batches, 2)[0], 2) for f, s in zip((placed, names), scores, strict=True)]
+    assert fim[0].count() > 0
+    assert _set(fim[0].join(at, "term").select("class_no", "name", "fim")) == _set(fim[1].select("class_no", "term", "fim"))
+    var = w.select("class_no", "term", F.abs("w").alias("variance")), by_name.select("class_no", "term", F.abs("w").alias("variance"))
+    assert _set(SC.softmax_uncertainty(placed, w, b, var[0], None, docs, 2, consider_bias=False)) == _set(
+        SC.softmax_uncertainty(names, by_name, b, var[1], None, docs, 2, consider_bias=False))
+
+
+def test_the_model_moves_places_not_names(spark):
+    from tests.conftest import SF_SMALL
+    from vellum.plans.model_fixture import lang_model
+    m = lang_model(spark, SF_SMALL)
+    assert dict(m.coded.dtypes)["term"] == "array<int>" and dict(m.coded_weights.dtypes)["term"] == "int"
+    names = [r["term"] for r in m.places.orderBy("place").collect()]
+    assert names == sorted(r["term"] for r in m.vocab.collect()) == [r["term"] for r in m.named(m.places.withColumn("term", F.col("place"))).orderBy("place").collect()]
+    assert {tuple(r) for r in m.weights.select("class_no", "term", "w").collect()} == {
+        (r["class_no"], names[r["term"]], r["w"]) for r in m.coded_weights.collect()}
