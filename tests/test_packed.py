@@ -163,3 +163,18 @@ def test_the_model_moves_places_not_names(spark):
     assert names == sorted(r["term"] for r in m.vocab.collect()) == [r["term"] for r in m.named(m.places.withColumn("term", F.col("place"))).orderBy("place").collect()]
     assert {tuple(r) for r in m.weights.select("class_no", "term", "w").collect()} == {
         (r["class_no"], names[r["term"]], r["w"]) for r in m.coded_weights.collect()}
+
+
+def test_a_model_beyond_the_limit_gives_the_same_scores(monkeypatch, spark):
+    from tests.conftest import SF_SMALL
+    from vellum.plans import model_fixture as MF
+    monkeypatch.setattr(MF, "_CACHE", {})
+    got = []
+    for limit in (4_000_000, 1):
+        monkeypatch.setattr(P, "PLACED_ROWS", limit)
+        MF._CACHE.clear()
+        m = MF.lang_model(spark, SF_SMALL)
+        assert (m.places is None) == (limit == 1) and P.is_packed(m.coded) == (limit > 1)
+        got.append([_set(SC.score_probabilities(m.coded, m.coded_weights, m.bias, m.docs.select("doc_id"), MF.K)),
+                    _set(m.weights.select("class_no", "term", "w")), _set(m.features.select("doc_id", "term", "n", "x"))])
+    assert got[0] == got[1]
