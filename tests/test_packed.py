@@ -1,5 +1,6 @@
 """Packed features: the same numbers as one row per term, without a row per term in joins."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +179,27 @@ def test_a_model_beyond_the_limit_gives_the_same_scores(monkeypatch, spark):
         got.append([_set(SC.score_probabilities(m.coded, m.coded_weights, m.bias, m.docs.select("doc_id"), MF.K)),
                     _set(m.weights.select("class_no", "term", "w")), _set(m.features.select("doc_id", "term", "n", "x"))])
     assert got[0] == got[1]
+
+
+def test_shared_counts_keep_every_term_that_the_share_keeps(spark):
+    """Terms of long form and of packed places agree, with rows that repeat an id, without one, or without terms."""
+    from vellum.operators import features as FE
+    from vellum.operators import tokens as TK
+    rng = np.random.default_rng(6)
+    rows = [(i % 55 if i % 9 else None, [f"w{int(t)}" for t in rng.zipf(1.4, rng.integers(0, 40)) if t < 400]) for i in range(60)] + [(70, [None, "w1"]), (71, None)]
+    df = spark.createDataFrame(rows, "doc_id long, terms array<string>").repartition(7).localCheckpoint()
+    for least in (0.02, 0.1, 0.3):
+        counts, vocab = TK.shared_counts(df, "terms", least, len(rows))
+        want = FE.tfidf(TK.term_counts(df.withColumn("terms", F.expr("filter(terms, x -> x IS NOT NULL)")), F.col("terms")), min_df=least, max_df=0.57, n_docs=len(rows))
+        got = FE.tfidf(counts, min_df=least, max_df=0.57, n_docs=len(rows), vocab=vocab)
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        a, b = (sorted((str(r["doc_id"]), r["term"], r["tf"], round(r["idf"], 9), round(r["w"], 9)) for r in t.collect()) for t in (got, want))
+        assert a == b and a
+    assert TK.shared_counts(df, "terms", 0.001, len(rows)) is None and TK.shared_counts(df.limit(0), "terms", 0.1, 0) is None
+
+
+def test_tfidf_shuffles_no_row_per_term(spark):
+    from tests.conftest import SF_SMALL
+    from vellum.plans.catalog import QUERIES
+    p = QUERIES["tfidf"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in p and p.index("Generate") < p.index("Exchange")  # terms are taken apart above the last exchange

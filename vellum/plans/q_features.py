@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import features as FE
+from vellum.operators import rows as R
 from vellum.operators import textops as TO
 from vellum.operators import tokens as TK
 from vellum.plans import sqlgen as S
@@ -68,9 +69,15 @@ kept AS (SELECT term, ln((1.0 + N) / (1.0 + df)) + 1 AS idf FROM st, nd WHERE df
 raw AS (SELECT doc_id, term, n * idf AS r FROM cnt JOIN kept USING (term))
 SELECT doc_id, term, round(r / sqrt(sum(r * r) OVER (PARTITION BY doc_id)), 6) AS w FROM raw""")
 def q_tfidf(spark, sf_dir):
-    _, c = _counts(spark, sf_dir, ngram=True)
     n = table(spark, sf_dir, "documents").count()
-    t = FE.tfidf(c, min_df=0.02, max_df=0.57, n_docs=n)
+    # A text is tokenised once; counting, weights and norms read what is written of it.
+    d, _ = R.store(TK.with_tokens(table(spark, sf_dir, "documents"), "text").select("doc_id", "tokens"), "tokens")
+    d = d.select("doc_id", TK.ngrams("tokens", 1, 2).alias("terms"))
+    shared = TK.shared_counts(d, "terms", 0.02, n)
+    if shared is not None:
+        t = FE.tfidf(R.store(shared[0], "shared-counts")[0], min_df=0.02, max_df=0.57, n_docs=n, vocab=shared[1])
+    else:
+        t = FE.tfidf(TK.term_counts(d, F.col("terms")), min_df=0.02, max_df=0.57, n_docs=n)
     return t.select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
