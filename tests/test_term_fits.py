@@ -153,3 +153,25 @@ def test_tokens_of_embeddings_are_made_once(spark):
     for packed, want in ((rows, {"a": 1, "b": 2, "c": 2}), (rows.unionAll(rows), {"a": 1, "b": 2, "c": 2})):
         blocks = B.write_packed(packed)
         assert blocks.n_docs == 2 and {r["term"]: r["docs"] for r in blocks.needs.collect()} == want
+
+
+def test_passes_shuffle_the_topics_only(spark, corpus):
+    """A pass's join and its blocks read what was dealt once; mixtures do not depend on the documents beside them."""
+    blocks = B.write_blocks(table(spark, corpus), block_docs=16)
+    coded = B.code(blocks)
+    topics = LD._start(blocks.needs, 3, 42).localCheckpoint()
+    plan = coded.meet(topics, lambda a, b: b, "term string")._jdf.queryExecution().executedPlan().toString()
+    top = plan.split("InMemoryRelation")[0]
+    assert top.count("Exchange hash") <= 2 and "Exchange hashpartitioning(block" not in top
+    coded.drop()
+    rng = np.random.default_rng(5)
+    size = rng.integers(0, 90, 40)
+    doc, topic_word = np.repeat(np.arange(40), size), rng.dirichlet(np.full(60, 0.2), 4).T + 1e-6
+    term, n, mix = rng.integers(0, 60, len(doc)), rng.integers(1, 5, len(doc)).astype(float), rng.permutation(len(doc))
+    gamma, stats, bound = LD.mixtures(doc, term, n, 40, topic_word, 0.3)
+    again = LD.mixtures(doc[mix], term[mix], n[mix], 40, topic_word, 0.3)
+    assert np.allclose(gamma, again[0]) and np.allclose(stats, again[1]) and np.isclose(bound, again[2])
+    for i in range(40):
+        own = doc == i
+        one, _, _ = LD.mixtures(np.zeros(own.sum(), np.int64), term[own], n[own], 1, topic_word, 0.3)
+        assert np.allclose(gamma[i], one[0], atol=1e-9)
